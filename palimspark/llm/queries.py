@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, token_orc
+from . import byte_bpe, packing, quality, secrets, token_orc, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,13 +31,32 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequence_digests(packing.read_sequences(spark, path))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.QUERY_COLUMNS)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select(*url_filter.QUERY_COLUMNS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_orc": op2_token_orc,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_quality_rules": op5_quality_rules,
+        "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
+        "op9_url_filter": op9_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_quality_rules": quality.oracle(),
+        "op7_secret_scan": secrets.oracle(),
+        "op9_url_filter": url_filter.oracle(),
+    }
