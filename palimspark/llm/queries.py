@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, minhash, packing, quality, secrets, token_orc, url_filter
+from . import byte_bpe, line_dedup, minhash, packing, quality, secrets, token_orc, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality.QUERY_COLUMNS)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_orc": op2_token_orc,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_rules": op5_quality_rules,
+        "op6_line_dedup": op6_line_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
@@ -63,6 +68,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_dedup": minhash.oracle(),
         "op5_quality_rules": quality.oracle(),
+        "op6_line_dedup": line_dedup.oracle(),
         "op7_secret_scan": secrets.oracle(),
         "op9_url_filter": url_filter.oracle(),
     }
