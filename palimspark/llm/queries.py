@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, minhash, packing, quality, secrets, token_orc, url_filter
+from . import byte_bpe, line_dedup, minhash, packing, quality, secrets, token_orc, toxicity, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select(*url_filter.QUERY_COLUMNS)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": op7_secret_scan,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
+        "op10_toxicity": op10_toxicity,
     }
 
 
