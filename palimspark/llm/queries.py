@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, minhash, packing, quality, secrets, token_orc, toxicity, url_filter
+from . import byte_bpe, embed_dedup, line_dedup, minhash, packing, quality, secrets, token_orc, toxicity, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(token_orc.read_tokens(spark, path))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     return byte_bpe.codec_digests(encoded)
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_token_orc": op2_token_orc,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_rules": op5_quality_rules,
         "op6_line_dedup": op6_line_dedup,
