@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimspark.plans import text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = [text_queries]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for module in MODULES for name, run in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
