@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimspark.plans import text_queries
+from palimspark.plans import hybrid, retrieval_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [text_queries]
+MODULES = [text_queries, retrieval_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return hybrid.retrieve(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
