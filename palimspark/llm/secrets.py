@@ -91,10 +91,10 @@ def all_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(spans_of(text, k, no, base) for no, (k, base) in enumerate(kinds))))
 
 
-def ownership(candidates: DataFrame, repository: str, owner: str) -> DataFrame:
+def ownership(candidates: DataFrame, repository: str, owner: str, spans: str = "spans") -> DataFrame:
     """For each hash, over rows of ``spans``: n_repositories and n_owners that hold it."""
     flat = candidates.select(
-        F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"),
+        F.explode(F.array_distinct(F.transform(spans, lambda s: s["hash"]))).alias("hash"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
     )
@@ -105,17 +105,17 @@ def is_live(span: Column) -> Column:
     return span["random"] & (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repositories") < EXAMPLE_REPOSITORIES)
 
 
-def with_verdicts(found: DataFrame, repository: str, owner: str) -> DataFrame:
+def with_verdicts(found: DataFrame, repository: str, owner: str, spans: str = "spans", live: str = "live") -> DataFrame:
     """``found`` (a written table: id columns and ``spans``) with ``live``: for each span whether its value is live.
 
     Hashes meet their counts in a join of small rows; texts stay out of it.
     """
     numbered = found.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows lie in files
-    counts = ownership(found, repository, owner)
-    single = numbered.select("_row", F.posexplode("spans").alias("_at", "span")).withColumn("hash", F.col("span.hash"))
+    counts = ownership(found, repository, owner, spans)
+    single = numbered.select("_row", F.posexplode(spans).alias("_at", "span")).withColumn("hash", F.col("span.hash"))
     judged = single.join(counts, "hash").select("_row", F.struct(F.col("_at"), is_live(F.col("span")).alias("live")).alias("v"))
-    rows = judged.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["live"]).alias("live"))
-    return numbered.join(rows, "_row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<boolean>"))).drop("_row")
+    rows = judged.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["live"]).alias(live))
+    return numbered.join(rows, "_row", "left").withColumn(live, F.coalesce(live, F.array().cast("array<boolean>"))).drop("_row")
 
 
 def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -135,9 +135,9 @@ def mask_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     some = F.lit(False)
     for kind in (*BASE_KINDS, *MORE_KINDS):
         some = some | text.rlike(kind.pattern)
-    hit = written(docs.filter(some).withColumn("spans", all_spans(text)), "secret-texts")
-    judged = with_verdicts(hit, repository, owner)
-    chosen = F.filter(F.transform("spans", lambda s, i: F.when(F.get("live", i), s)), lambda s: s.isNotNull())
+    hit = written(docs.filter(some).withColumn("_spans", all_spans(text)), "secret-texts")
+    judged = with_verdicts(hit, repository, owner, "_spans", "_live")
+    chosen = F.filter(F.transform("_spans", lambda s, i: F.when(F.get("_live", i), s)), lambda s: s.isNotNull())
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     masked = F.aggregate(
         chosen,
@@ -148,7 +148,7 @@ def mask_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    rebuilt = judged.withColumn("text", F.when(F.exists("live", lambda v: v), masked).otherwise(F.col("text"))).select(*docs.columns)
+    rebuilt = judged.withColumn("text", F.when(F.exists("_live", lambda v: v), masked).otherwise(F.col("text"))).select(*docs.columns)
     if "n_chars" in docs.columns:
         rebuilt = rebuilt.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return docs.filter(~some).unionByName(rebuilt)
