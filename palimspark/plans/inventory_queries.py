@@ -59,7 +59,7 @@ def s04_violations(spark, sf_dir):
     return R.violations(rows)
 
 
-@query(f"SELECT coalesce(category, 'total') AS category, sum(n) AS items, count(*) AS titles, count(*) FILTER (n > 1) AS multi_version, sum(n - 1) AS surplus FROM (SELECT category, title, count(*) AS n FROM {_V} GROUP BY ALL) GROUP BY ROLLUP (category)")
+@query(f"SELECT coalesce(category, 'total') AS category, CAST(sum(n) AS BIGINT) AS items, count(*) AS titles, count(*) FILTER (n > 1) AS multi_version, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT category, title, count(*) AS n FROM {_V} GROUP BY ALL) GROUP BY ROLLUP (category)")
 def a03_version_inventory(spark, sf_dir):
     return R.inventory(V.versions(spark, sf_dir))
 
@@ -69,7 +69,7 @@ def a04_status_distribution(spark, sf_dir):
     return R.status_distribution(V.versions(spark, sf_dir))
 
 
-@query(f"SELECT category, sum(pending) AS pending, sum(past) AS pending_past, sum(cur) AS current, count(*) FILTER (n > 1 AND oldest < newest) AS current_not_newest FROM (SELECT category, title, count(*) AS n, count(*) FILTER (status_code = 4) AS pending, count(*) FILTER (status_code = 4 AND effective_date <= DATE '2000-01-01') AS past, count(*) FILTER (status_code = 3) AS cur, max(effective_date) AS newest, min(effective_date) FILTER (status_code = 3) AS oldest FROM {_V} GROUP BY ALL) GROUP BY category")
+@query(f"SELECT category, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(past) AS BIGINT) AS pending_past, CAST(sum(cur) AS BIGINT) AS current, count(*) FILTER (n > 1 AND oldest < newest) AS current_not_newest FROM (SELECT category, title, count(*) AS n, count(*) FILTER (status_code = 4) AS pending, count(*) FILTER (status_code = 4 AND effective_date <= DATE '2000-01-01') AS past, count(*) FILTER (status_code = 3) AS cur, max(effective_date) AS newest, min(effective_date) FILTER (status_code = 3) AS oldest FROM {_V} GROUP BY ALL) GROUP BY category")
 def a05_truth_checks(spark, sf_dir):
     return R.truth_checks(V.versions(spark, sf_dir), "2000-01-01")
 
@@ -155,7 +155,7 @@ def w03_chunks(spark, sf_dir):
     return C.chunks(V.table(spark, sf_dir, "documents"), _MOST, _OVER)
 
 
-@query(f"SELECT sum(cut - start) AS chunk_chars, (SELECT sum(length(text)) FROM documents) AS source_chars, sum(cut - start) / (SELECT sum(length(text)) FROM documents) < 1.6 AS bounded FROM ({_WINDOWS})")
+@query(f"SELECT CAST(sum(cut - start) AS BIGINT) AS chunk_chars, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS source_chars, sum(cut - start) / (SELECT sum(length(text)) FROM documents) < 1.6 AS bounded FROM ({_WINDOWS})")
 def a14_expansion(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     cut = C.windows(docs, _MOST, _OVER).agg(F.sum(F.col("cut") - F.col("start")).alias("chunk_chars"))
@@ -163,7 +163,7 @@ def a14_expansion(spark, sf_dir):
     return cut.join(whole).withColumn("bounded", F.col("chunk_chars") / F.col("source_chars") < 1.6)
 
 
-@query("SELECT sum(n) AS chunks, count(*) AS digests, count(*) FILTER (n > 1) AS groups, sum(same_place) AS same_place, sum(across) AS across, max(n) AS largest FROM (SELECT t, sum(n) AS n, sum(n - 1) AS same_place, count(*) - 1 AS across FROM (SELECT md5(text) AS t, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY t)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS chunks, count(*) AS digests, count(*) FILTER (n > 1) AS groups, CAST(sum(same_place) AS BIGINT) AS same_place, CAST(sum(across) AS BIGINT) AS across, CAST(max(n) AS BIGINT) AS largest FROM (SELECT t, sum(n) AS n, sum(n - 1) AS same_place, count(*) - 1 AS across FROM (SELECT md5(text) AS t, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY t)")
 def a02_duplicate_report(spark, sf_dir):
     return C.duplicate_report(V.table(spark, sf_dir, "documents").withColumnRenamed("source", "place"))
 
@@ -181,7 +181,7 @@ def a16_top_groups(spark, sf_dir):
 _TERMS = "SELECT lower(left(line, 40)) AS term, CASE WHEN pos = 1 THEN 50 ELSE 5 END AS weight FROM (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)"
 
 
-@query(f"SELECT term, sum(weight) AS freq FROM ({_TERMS}) WHERE length(term) BETWEEN 2 AND 40 AND NOT regexp_matches(term, '[?!0-9|%#]') AND term NOT IN ('of.', 'les.') GROUP BY term HAVING sum(weight) >= 10 ORDER BY freq DESC, term LIMIT 500")
+@query(f"SELECT term, CAST(sum(weight) AS BIGINT) AS freq FROM ({_TERMS}) WHERE length(term) BETWEEN 2 AND 40 AND NOT regexp_matches(term, '[?!0-9|%#]') AND term NOT IN ('of.', 'les.') GROUP BY term HAVING sum(weight) >= 10 ORDER BY freq DESC, term LIMIT 500")
 def a06_term_mining(spark, sf_dir):
     lines = V.table(spark, sf_dir, "documents").select(F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     terms = lines.select(F.lower(F.left("line", F.lit(40))).alias("term"), F.when(F.col("pos") == 0, 50).otherwise(5).alias("weight"))

@@ -38,7 +38,7 @@ def s02_front_matter(spark, sf_dir):
     return meta.select("doc_id", F.try_element_at("m", F.lit("version")).alias("version"), files.status_of(F.col("m")).alias("status_code"), F.md5(files.body(F.col("t"))).alias("body"))
 
 
-@query("SELECT source AS doc_group, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source")
+@query("SELECT source AS doc_group, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
 def s07_corpus_round_trip(spark, sf_dir):
     path = shared_path(spark, "corpus")
     V.table(spark, sf_dir, "documents").select(F.sha2(F.concat_ws("|", "source", "doc_id"), 256).alias("node_id"), "text", F.col("source").alias("doc_group")).write.parquet(path)
