@@ -8,9 +8,10 @@ in a bin with a probability of their Jaccard similarity, with the concentration
 
 Equal sets are one node. Bins are cut into bands; nodes that agree in a band share a bucket. Buckets are
 never expanded into all pairs: first each node is checked against the smallest node of the bucket that it
-shares most often, then only nodes of one bucket whose components still differ are compared, first through one
-hub per component where that would be more than a few pairs a node, and at last exactly. All links are
-confirmed on the full sets.
+shares most often, then, for a few rounds, against nodes drawn by lot from its buckets whose components still
+differ from its own, which joins dense groups in a number of checks that is linear in their size. What still
+shares a bucket with another component after that is compared exactly, by a prefix join. All links are confirmed on
+the full sets.
 
 Defined results: null or empty texts, and texts of white space, have no shingles, are linked with nothing and
 are components of their own; a text with fewer words than a shingle is one shingle; repeated rows are
@@ -36,9 +37,9 @@ from .shared import checkpointed, written
 BANDS = 40
 #: With 6 rows to a band, a pair at 0.8 shares none of 40 bands with a probability of 5e-6, one at 0.85 of 6e-9.
 ROWS = 6
-#: Unverified pairs a node up to which the rest is compared in full; above it, hubs come first.
-PAIRS_PER_NODE = 4
-HUB_ROUNDS = 6
+#: Rounds in which a node is checked against so many others of its buckets, before the exact rest.
+HUB_ROUNDS = 3
+HUBS = 2
 
 _SHINGLE = np.uint64(0x9E3779B97F4A7C15)  # odd multipliers, as usual for 64-bit mixing
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -165,27 +166,48 @@ def _linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
     shared = buckets.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = shared.groupBy("node").agg(F.min_by("hub", F.struct(-F.col("n"), F.col("hub"))).alias("hub"))
     checked = written(_verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "pairs")
-    most = PAIRS_PER_NODE * max(1, nodes.count())
     for attempt in range(HUB_ROUNDS + 1):
         components = checkpointed(connected_components(checked.filter("linked")))
         labelled = buckets.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
-        mixed = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts")).filter("parts > 1")
-        mixed = checkpointed(mixed)
-        unseen = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2)).first()[0] or 0
-        if not unseen:
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        unsettled = checkpointed(labelled.join(mixed, "key"))
+        if unsettled.isEmpty():
             return components
-        open_rows = labelled.join(mixed.select("key"), "key")
-        last = unseen <= most or attempt == HUB_ROUNDS
-        others = open_rows if last else sizes.join(mixed.select("key"), "key", "left_semi").select("key", "component", F.col("hub").alias("node"))
-        x, y = open_rows.alias("x"), others.alias("y")
-        differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component") if last else F.col("x.component") != F.col("y.component"))
-        pairs = x.join(y, differ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        fresh = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        if attempt == HUB_ROUNDS:
+            pairs = _prefix_pairs(unsettled.select("node", "component").distinct(), sets, percent)
+        else:
+            pairs = _hub_pairs(unsettled, attempt)
+        fresh = pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         checked = checked.unionByName(written(_verified(fresh, sets, percent), "pairs"))
-        if last:
-            return connected_components(checked.filter("linked"))
-    raise AssertionError("unreachable")
+    return connected_components(checked.filter("linked"))
+
+
+def _hub_pairs(unsettled: DataFrame, attempt: int) -> DataFrame:
+    """Each node (key, node, component) with a few of the nodes that stand by lot for its buckets, of other components."""
+    lot = F.xxhash64("node", "key", F.lit(attempt))
+    hubs = unsettled.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("theirs")), lot).alias("h")).select("key", "h.*")
+    met = unsettled.join(hubs, "key").filter("component <> theirs").select("node", F.struct(F.xxhash64("hub", "node"), "hub").alias("h"))
+    few = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("h")), 1, HUBS).alias("hs"))  # at most one hub per band
+    return few.select("node", F.explode("hs.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of ``nodes`` of different components that can reach ``percent``, by prefixes in order of rarity.
+
+    Of two sets with that similarity each holds at most n - ceil(percent * n / 100) elements that the other lacks. So
+    among its so many plus one rarest elements there is one that is also among the other's. Elements that one
+    node alone has count as rarest, and a node with enough of them has no partner at all.
+    """
+    own = sets.join(nodes, "node").withColumn("n", F.size("elements"))
+    flat = own.select("node", F.explode("elements").alias("element"))
+    common = flat.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = flat.join(common, "element").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("shared"))
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") + 1 - (F.col("n") - F.size("shared"))
+    prefix = own.select("node", "component", "n").join(ranked, "node").withColumn("spare", spare).filter("spare > 0")
+    tokens = prefix.select("node", "component", "n", F.explode(F.slice("shared", F.lit(1), F.col("spare"))).alias("t")).select("node", "component", "n", "t.element")
+    x, y = tokens.alias("x"), tokens.alias("y")
+    fits = (F.col("x.element") == F.col("y.element")) & (F.col("x.component") < F.col("y.component")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    return x.join(y, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
