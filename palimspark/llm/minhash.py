@@ -204,9 +204,12 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = flat.join(common, "element").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("shared"))
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") + 1 - (F.col("n") - F.size("shared"))
     prefix = own.select("node", "component", "n").join(ranked, "node").withColumn("spare", spare).filter("spare > 0")
-    tokens = prefix.select("node", "component", "n", F.explode(F.slice("shared", F.lit(1), F.col("spare"))).alias("t")).select("node", "component", "n", "t.element")
+    tokens = prefix.select("node", "component", "n", (F.col("n") - F.size("shared")).alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.col("spare"))).alias("at", "t"))
+    tokens = tokens.select("node", "component", "n", "t.element", (F.col("n") - F.col("alone") - F.col("at")).alias("left"))
     x, y = tokens.alias("x"), tokens.alias("y")
-    fits = (F.col("x.element") == F.col("y.element")) & (F.col("x.component") < F.col("y.component")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    fits = (F.col("x.element") == F.col("y.element")) & (F.col("x.component") < F.col("y.component"))
+    # Behind their first common element neither may have too few left for the overlap that this similarity takes.
+    fits = fits & ((100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n")))
     return x.join(y, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
