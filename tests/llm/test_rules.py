@@ -70,6 +70,17 @@ def test_secrets_equal_brute_force(spark, make_docs):
     assert secrets.scan_secrets(make_docs([])).collect() == [] and secrets.mask_secrets(make_docs([])).collect() == []
 
 
+def test_a_secret_that_one_owner_repeats_is_live(spark):
+    own, example = "token = Zq81LmXw77Tr0v", "token = Copied42Example"
+    rows = [(i, f"{own} in file {i}", "en", "hot", 0) for i in range(3000)]
+    rows += [(3000 + i, f"see {example}", "en", f"src{i % 2}", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["n_live"] for r in secrets.span_digests(secrets.scan_secrets(docs)).collect()}
+    assert all(got[i] == 1 for i in range(3000)) and all(got[3000 + i] == 0 for i in range(10))
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs).collect()}
+    assert all(masked[i] == f"[SECRET] in file {i}" for i in range(3000)) and masked[3000] == f"see {example}"
+
+
 def test_urls(spark):
     link, refresh = "<link rel='canonical' href='{}'>", '<META http-equiv="Refresh" content="0; URL={}">'
     rows = [
