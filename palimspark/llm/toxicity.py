@@ -6,8 +6,11 @@ by which it gets shorter under the toxic dictionary than under the ordinary one.
 (the largest, how many reach each of five thresholds) and its length go through a logistic curve whose
 threshold is set on rows that the dictionaries haven't seen.
 
-Of toxic text only words are used for training that no ordinary training row has and that stand after several
-different words (so that repeated copies of one toxic text don't teach their other words).
+The toxic dictionary is trained on the telling words and word pairs of toxic texts' windows, not on whole windows: those
+teach mostly ordinary text. A word or pair tells if its share of toxic training texts is MIN_RATIO times its
+share of ordinary ones and its likelihood ratio reaches MIN_EVIDENCE, one rule for every size. Ordinary rows
+that have it count against it and don't rule it out. Equal texts count once, and a word in no more texts than
+it has different words before it (so that near copies of one toxic text don't teach their other words).
 
 Fitting uses a bounded sample of labelled rows (MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, chosen by a hash of the id);
 scoring reads every text whole. Rows with crc32(doc_id as text) mod 3 = 1 are never learned from; rows with 0
@@ -21,7 +24,8 @@ columns are passed through by ``with_toxicity``.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,8 +47,9 @@ WINDOW_BYTES = 32
 LEVEL = 3
 BASE_BYTES = 16_384
 TOXIC_BYTES = 8_192
-#: Different words that must stand before a word of toxic text; fewer where there are few toxic rows.
-MIN_CONTEXTS = 8
+#: Least likelihood ratio (G squared) and least ratio of shares of a word or pair that tells toxic texts.
+MIN_EVIDENCE = 22.0
+MIN_RATIO = 3.0
 GAIN_STEPS = (3, 4, 5, 6, 7)
 TOP_GAIN = 9
 THRESHOLD = 0.7
@@ -111,22 +116,49 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _words(window: bytes) -> list[bytes]:
-    return [w.strip(PUNCTUATION) for w in window.split()]
+def _words(lowered: bytes) -> list[bytes]:
+    return [w for part in lowered.split() if (w := part.strip(PUNCTUATION))]
+
+
+def _grams(words: list[bytes], n: int) -> list[bytes]:
+    return words if n == 1 else [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def evidence(toxic: int, n_toxic: int, ordinary: int, n_ordinary: int) -> float:
+    """Likelihood ratio of two shares; 0 where the toxic one isn't MIN_RATIO times the other."""
+    if toxic * n_ordinary < MIN_RATIO * (ordinary + 0.5) * n_toxic:
+        return 0.0
+    share = (toxic + ordinary) / (n_toxic + n_ordinary)
+    return 2 * sum(k * math.log(k / (n * share)) for k, n in ((toxic, n_toxic), (ordinary, n_ordinary)) if k)
+
+
+def telling_grams(toxic: list[str], ordinary: list[str], n: int) -> set[bytes]:
+    """Runs of n words that tell toxic texts from ordinary ones."""
+    toxic, ordinary = ([t.lower().encode() for t in dict.fromkeys(texts)] for texts in (toxic, ordinary))
+    held = Counter(g for t in toxic for g in set(_grams(_words(t), n)))
+    held = {g: k for g, k in held.items() if k > 1}
+    before: dict[bytes, set[bytes]] = defaultdict(set)
+    for text in toxic:
+        own = _words(text)
+        for left, gram in zip([b"", *own], _grams(own, n), strict=False):
+            if gram in held:
+                before[gram].add(left)
+    against = Counter(g for t in ordinary for g in set(_grams(_words(t), n)) if g in held)
+    return {g for g, k in held.items() if evidence(min(k, len(before[g])), len(toxic), against[g], len(ordinary)) >= MIN_EVIDENCE}
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary."""
     base = _dictionary([w for t in ordinary for w in windows(t)], BASE_BYTES)
-    common = {w for t in ordinary for w in _words(t.lower().encode())}
-    before: dict[bytes, set[bytes]] = defaultdict(set)
-    for text in toxic:
-        own = _words(text.lower().encode())
-        for left, word in zip([b"", *own], own, strict=False):
-            before[word].add(left)
-    least = min(MIN_CONTEXTS, max(2, len(toxic) // 25))
-    telling = {w for w, lefts in before.items() if w and len(lefts) >= least and w not in common}
-    samples = [b" " + b" ".join(kept) + b" " for t in toxic for w in windows(t) if (kept := [x for x in _words(w) if x in telling])]
+    telling = [telling_grams(toxic, ordinary, n) for n in (1, 2)]
+    samples = []
+    for text in dict.fromkeys(toxic):
+        for window in windows(text):
+            own, covered = _words(window), set()
+            for n, grams in enumerate(telling, 1):
+                covered.update(j for i, g in enumerate(_grams(own, n)) if g in grams for j in range(i, i + n))
+            if covered:
+                samples.append(b" " + b" ".join(own[i] for i in sorted(covered)) + b" ")
     return base, base + _dictionary(samples, TOXIC_BYTES)
 
 

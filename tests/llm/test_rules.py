@@ -100,6 +100,20 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_toxic_words_outlive_an_ordinary_row_and_phrases_tell():
+    rng = np.random.default_rng(6)
+    common = [f"lorem{i}" for i in range(200)]
+    toxic, ordinary = [], [" ".join(rng.choice(common, 60)) for _ in range(1200)]
+    for i in range(90):
+        words = rng.choice(common, 60).tolist()
+        words[20:20] = ["grobnik"] if i % 2 else ["lorem1", "lorem2"]
+        toxic.append(" ".join(words))
+    ordinary[0] += " grobnik"  # a mislabelled row
+    assert b" grobnik " in toxicity.train_dictionaries(toxic, ordinary)[1]
+    assert b"lorem1 lorem2" in toxicity.telling_grams(toxic, ordinary, 2)
+    assert not any(w.startswith(b"lorem") for w in toxicity.telling_grams(toxic, ordinary, 1))
+
+
 def test_toxicity_held_out_accuracy(spark, make_docs):
     rng = np.random.default_rng(4)
     common, bad = [f"lorem{i}" for i in range(300)], ["grobnik", "vutzle", "schmarf", "plonker"]
