@@ -1,15 +1,16 @@
 """URL rules, spread over redirect and canonical-link equivalence.
 
-Every address has a node key (host and path, without scheme, query, fragment and closing slash). A page's
-``<link rel="canonical">`` and its ``<meta http-equiv="refresh">`` are edges from the page's node to the node they
-name. Connected components over those edges are aliases of one another. A url that a rule fits has that
+Every address has a node key (host, path without its closing slash, and query; no scheme and no fragment). All of a
+page's ``<link rel="canonical">`` and ``<meta http-equiv="refresh">`` are edges from the page's node to the nodes they
+name, relative ones by the page's own address. Connected components over those edges are aliases of one another. A url that a rule fits has that
 rule's verdict; any other takes its component's: allow if a member is allowed by a rule, else block if a
 member is blocked by a rule, else allow. Targets that aren't pages themselves are judged as members too.
 
 Everything is DataFrame expressions and joins.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and has no node, and
-is allowed; a null html has no edges; relative link targets are ignored; equal urls share their node; a
+is allowed; a null html has no edges; targets of other schemes (``mailto:``) and bare fragments are ignored, a
+``<base>`` isn't read and ``&amp;`` is the only entity that is; equal urls share their node; a
 repeated row gives a repeated row; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -52,6 +53,38 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def url_query(url: Column) -> Column:
+    """The query with its ``?``; empty where there is none."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its segments ``.`` and ``..`` resolved."""
+    parts = F.split(F.regexp_replace(path, r"(?<=/)\.\.?$", "$0/"), "/", -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def absolute(target: Column, host: Column, path: Column) -> Column:
+    """``target`` as a whole address, by host and path of the page that names it; null where it names no other page."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)", 1))
+    at = F.concat(F.lit("http://"), host)  # node keys have no scheme
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when((host == "") | target.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None).cast("string"))
+        .when(target.startswith("?"), F.concat(at, path, target))
+        .when(target.startswith("/"), F.concat(at, _without_dots(own), rest))
+        .otherwise(F.concat(at, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def matching_rule(host: Column, path: Column, rules: list[UrlRule], value) -> Column:
     """``value(rule)`` of the longest rule that fits, else null: hosts and their subdomains, paths by prefix.
 
@@ -64,23 +97,24 @@ def matching_rule(host: Column, path: Column, rules: list[UrlRule], value) -> Co
     return chosen
 
 
-def node_key(host: Column, path: Column) -> Column:
+def node_key(host: Column, path: Column, query: Column) -> Column:
     """One name for the spellings of an address, null where there is no host."""
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+$", "")))
+    return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+$", ""), F.when(query != "?", query).otherwise("")))
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, node and component of every row of ``pages`` (page_id, url, html)."""
     rules = RULES if rules is None else rules
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    parsed = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), F.array_compact(F.array(*(F.when(F.coalesce(html, F.lit("")).rlike(p), F.regexp_extract(html, p, 1)) for p in (CANONICAL, REFRESH)))).alias("targets"))
+    parsed = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), url_query(url).alias("query"), F.concat(*(F.when(F.coalesce(html, F.lit("")).rlike(p), F.regexp_extract_all(html, F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>")) for p in (CANONICAL, REFRESH))).alias("targets"))
     rule = matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path)
     own = matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)
-    named = parsed.withColumns({"rule": rule, "own": own, "node": node_key(F.col("host"), F.col("path"))})
+    named = parsed.withColumns({"rule": rule, "own": own, "node": node_key(F.col("host"), F.col("path"), F.col("query"))}).drop("query")
     kept = written(named, "judged-urls")  # read more than once below; html is left behind
-    links = kept.filter(F.size("targets") > 0).select("node", F.explode("targets").alias("target"))
-    ends = links.select("node", url_host(F.col("target")).alias("host"), url_path(F.col("target")).alias("path"))
-    ends = ends.withColumns({"own": matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict), "target": node_key(F.col("host"), F.col("path"))})
+    links = kept.filter(F.size("targets") > 0).select("node", "host", "path", F.explode("targets").alias("target"))
+    links = links.select("node", absolute(F.col("target"), F.col("host"), F.col("path")).alias("target"))
+    ends = links.select("node", url_host(F.col("target")).alias("host"), url_path(F.col("target")).alias("path"), url_query(F.col("target")).alias("query"))
+    ends = ends.withColumns({"own": matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict), "target": node_key(F.col("host"), F.col("path"), F.col("query"))})
     ends = written(ends.filter("node is not null and target is not null"), "url-links")
     components = connected_components(ends, "node", "target")
     members = kept.filter("node is not null and own is not null").select("node", "own").unionByName(ends.filter("own is not null").select(F.col("target").alias("node"), "own"))

@@ -100,6 +100,23 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_all_links_and_relative_targets(spark):
+    link, refresh = "<link rel='canonical' href='{}'>", '<META http-equiv="Refresh" content="0; URL={}">'
+    rows = [
+        (0, "http://a.org/s/p", link.format("http://ok.io/") + link.format("http://bad.net/b")),  # the second of two tags
+        (1, "http://b.org/s/p", refresh.format("http://ok.io/2") + refresh.format("http://bad.net/c")),
+        (2, "http://example.com/x/y", link.format("/de/a")), (3, "http://example.com/de2/y/z", refresh.format("../../de/./a")),
+        (4, "http://c.org/q", link.format("//bad.net/d?x=1&amp;y=2")), (5, "http://d.org/s/p", link.format("login")),
+        (6, "http://d.org/s/login", link.format("http://bad.net/e")), (7, "http://d.org/s", link.format("mailto:x@bad.net") + refresh.format("#bad")),
+        (8, "http://f.org/x?id=1", link.format("http://bad.net/g")), (9, "http://f.org/x?id=2", None), (10, "http://f.org/y", link.format("x?id=1#z")),
+        (11, "http://g.org/login", link.format("/in?next=http://bad.net/")), (12, "no scheme", link.format("/de/a")), (13, "http://f.org/x", link.format("?id=1")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
+    blocked = {0, 1, 2, 3, 4, 5, 6, 8, 10, 13}
+    assert {i for i, v in got.items() if v == "block"} == blocked and len(got) == len(rows)
+
+
 def test_toxic_words_outlive_an_ordinary_row_and_phrases_tell():
     rng = np.random.default_rng(6)
     common = [f"lorem{i}" for i in range(200)]
