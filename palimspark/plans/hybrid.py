@@ -1,4 +1,7 @@
-"""Batch hybrid retrieval: access, two branches, fusion, gates, re-ranking and validity in one job."""
+"""Batch hybrid retrieval: two branches, fusion and top-k in one job.
+
+Access, gates, re-ranking and validity aren't part of it; they are operators of their own (SURVEY X01 isn't whole).
+"""
 
 from __future__ import annotations
 

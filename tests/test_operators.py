@@ -22,6 +22,13 @@ def test_constant_lists(spark):
     assert got == {(1, "x"): 1.0, (1, "y"): 1.0, (2, "x"): 0.0}
 
 
+def test_early_gate_reranks_passing_queries_only(spark):
+    fused = spark.createDataFrame([(q, n, s) for q in (1, 2, 3) for n, s in (("x", 0.9), ("y", 0.5))], "query_id int, node_id string, score double")
+    hits = spark.createDataFrame([(1, "x", ranking.EARLY_GATE), (2, "x", ranking.EARLY_GATE - 0.01)], "query_id int, node_id string, score double")
+    got = ranking.early_gate(fused, hits, lambda df: df.withColumn("score", -F.col("score")), 1).collect()
+    assert {r["query_id"]: r["node_id"] for r in got} == {1: "y", 2: "x", 3: "x"}
+
+
 def test_rrf_rewards_nodes_in_both_lists_and_ignores_score_scale(spark):
     rows = [(1, "vector", "x", 0.9), (1, "vector", "y", 0.1), (1, "lexical", "z", 9.0), (1, "lexical", "x", 5.0)]
     order = lambda rs: [r["node_id"] for r in ranking.top_k(ranking.fuse_rrf(spark.createDataFrame(rs, HITS)), 3).orderBy("rank").collect()]
