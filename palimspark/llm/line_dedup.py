@@ -13,8 +13,8 @@ Most lines have no such partner, and a line of n characters emits n keys. An edi
 half of a line alone; lines that share no half with another line of fitting length are left out
 beforehand, which loses no pair.
 
-Defined results: null and empty texts have no lines; a null doc_id sorts first; repeated rows of one id and
-text count as one document (each keeps what the other keeps); an empty table gives an empty table; other
+Defined results: null and empty texts have no lines; a null doc_id sorts first; rows of one id (or none) with different
+texts are documents of their own, in the order of a hash of the text; repeated rows of one id and text count as one document (each keeps what the other keeps); an empty table gives an empty table; other
 columns are passed through by ``dedup_lines`` and ignored otherwise.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
@@ -39,6 +39,15 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK = 200_000
 
 
+def text_hash() -> Column:
+    """With doc_id it names a row: rows of one id, or without one, may have different texts."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def same_row(doc_id: Column) -> Column:
+    return doc_id.eqNullSafe(F.col("_id")) & (text_hash() == F.col("_text"))
+
+
 def lines_of(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     """Positions and contents of the lines that are compared."""
     if not text:
@@ -77,20 +86,20 @@ def deletion_hashes(line: str) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos, h1, h2 (identity of the line) and its half keys, one row per compared line. Narrow."""
+    """doc_id, text_hash, pos, h1, h2 (identity of the line) and its half keys, one row per compared line. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, at, h1, h2, keys = [], [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                ids, own, at, h1, h2, keys = [], [], [], [], [], []
+                for doc_id, row, text in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), part.column("text").to_pylist(), strict=True):
                     for i, line in lines_of(text, min_chars):
                         a, b = _identity(line)
-                        ids.append(doc_id), at.append(i), h1.append(a), h2.append(b), keys.append(half_keys(line))
-                columns = [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "h1", "h2", "keys"])
+                        ids.append(doc_id), own.append(row), at.append(i), h1.append(a), h2.append(b), keys.append(half_keys(line))
+                columns = [pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "pos", "h1", "h2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, h1 long, h2 long, keys array<long>")
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, pos int, h1 long, h2 long, keys array<long>")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -108,8 +117,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
                             nodes.append(w["node"]), lines.append(line)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "line"])
 
-    per_doc = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("node", "pos", "h1", "h2")).alias("want"))  # at most the lines of one document
-    found = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "want").mapInArrow(run, "node long, line string")
+    per_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.collect_list(F.struct("node", "pos", "h1", "h2")).alias("want"))  # at most the lines of one document
+    found = docs.join(per_doc, same_row(F.col("doc_id"))).select("text", "want").mapInArrow(run, "node long, line string")
     return found.dropDuplicates(["node"])
 
 
@@ -144,26 +153,26 @@ def near_lines(contents: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines (compared lines), and ``repeated`` and ``near``: sorted positions of dropped lines.
+    """doc_id, text_hash, n_lines (compared lines), and ``repeated`` and ``near``: sorted positions of dropped lines.
 
-    One row per doc_id with a compared line. ``docs`` needs doc_id (a whole number) and text.
+    One row per doc_id and text with a compared line. ``docs`` needs doc_id (a whole number) and text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = written(line_table(docs, min_chars), "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("keys").alias("keys"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.first("keys").alias("keys"))
     nodes = written(firsts.orderBy("first").withColumn("node", F.monotonically_increasing_id()), "line-nodes")  # ids rise with the order
     halves = nodes.select("node", F.explode(F.array_distinct("keys")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("half")
     some = halves.join(shared, "half", "left_semi").select("node").distinct()
-    wanted = nodes.join(some, "node", "left_semi").select("node", "first.doc_id", "first.pos", "h1", "h2")
+    wanted = nodes.join(some, "node", "left_semi").select("node", "first.doc_id", "first.text_hash", "first.pos", "h1", "h2")
     contents = written(_contents(docs, wanted, min_chars), "line-contents")
     near = near_lines(contents).select("node", F.lit(True).alias("near"))
     judged = nodes.join(near, "node", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
+    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos")))
     why = F.when(again, "repeated").when(F.col("near"), "near")
-    verdicts = lines.select("doc_id", "pos", "h1", "h2").join(judged, ["h1", "h2"]).select("doc_id", "pos", why.alias("why"))
+    verdicts = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(judged, ["h1", "h2"]).select("doc_id", "text_hash", "pos", why.alias("why"))
     places = lambda name: F.array_sort(F.collect_set(F.when(F.col("why") == name, F.col("pos"))))
-    return verdicts.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"), places("repeated").alias("repeated"), places("near").alias("near"))
+    return verdicts.groupBy("doc_id", "text_hash").agg(F.countDistinct("pos").alias("n_lines"), places("repeated").alias("repeated"), places("near").alias("near"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -171,8 +180,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     Documents that lose all their text this way go: every line of theirs stands in an earlier document.
     """
-    found = dropped_lines(docs, min_chars).select(F.col("doc_id").alias("_id"), F.concat("repeated", "near").alias("_gone")).filter(F.size("_gone") > 0)
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    found = dropped_lines(docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.concat("repeated", "near").alias("_gone")).filter(F.size("_gone") > 0)
+    joined = docs.join(found, same_row(F.col("doc_id").cast("long")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     cut = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     cut = cut.filter(F.col("_gone").isNull() | (F.length(F.translate("text", SPACES, "")) > 0)).select(*docs.columns)
@@ -183,10 +192,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_repeated, n_near and the dropped positions as text."""
-    found = dropped_lines(docs, min_chars).withColumnRenamed("doc_id", "_id")
+    found = dropped_lines(docs, min_chars).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"})
     gone = F.array_join(F.array_sort(F.concat("repeated", "near")), ",")
     counted = lambda c: F.coalesce(F.when(c >= 0, c), F.lit(0)).cast("long")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, same_row(F.col("doc_id")), "left")
     return joined.select("doc_id", counted(F.col("n_lines")).alias("n_lines"), counted(F.size("repeated")).alias("n_repeated"), counted(F.size("near")).alias("n_near"), F.coalesce(gone, F.lit("")).alias("dropped"))
 
 

@@ -125,6 +125,14 @@ def test_line_dedup_edge_cases(spark, make_docs):
     assert line_dedup.line_digests(make_docs([])).collect() == []
 
 
+def test_line_verdicts_stay_with_their_row(spark, make_docs):
+    line = "a common line that several documents hold"
+    unique = [f"{w} " * 8 + "stands in one text only" for w in ("alpha", "bravo", "charlie", "delta")]
+    docs = make_docs([(1, line), (None, unique[0]), (None, f"{line}\n{unique[1]}"), (5, unique[2]), (5, line), (5, f"{line}\n{unique[3]}")])
+    left = "\n".join(r["text"] for r in line_dedup.dedup_lines(docs).collect()).split("\n")
+    assert sorted(left) == sorted([*unique, line])
+
+
 def test_deletion_hashes_agree_where_strings_do():
     line = "abbcadé漢𝄞x"
     hashes = line_dedup.deletion_hashes(line).tolist()
