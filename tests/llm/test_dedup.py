@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 from llm.conftest import ODD
@@ -64,6 +65,30 @@ def test_minhash_edge_cases(spark, make_docs):
     assert minhash.near_duplicates(make_docs([]), words=2).collect() == []
 
 
+def test_near_duplicates_go_by_row(spark, make_docs):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"other{i}" for i in range(30))
+    rows = [(1, a), (1, a), (2, f"{a} z"), (2, b), (None, a), (3, ""), (3, ""), (None, None), (None, b)]
+    got = minhash.without_near_duplicates(make_docs(rows, clash=True)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (2, b), (3, ""), (3, ""), (None, None)], key=str)
+    assert minhash.without_near_duplicates(make_docs([])).collect() == []
+
+
+def test_parity_bits_never_overstate_a_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 5000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
+        x, y = set(rng.choice(pool, n).tolist()), set(rng.choice(pool, n).tolist())
+        bits = [minhash.parity_bits(np.array(sorted(s), dtype=np.uint64)) for s in (x, y)]
+        assert sum(int(w).bit_count() for w in bits[0] ^ bits[1]) <= len(x ^ y)
+
+
+def test_minhash_leaves_only_tables_that_the_result_reads(spark, make_docs):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    minhash.near_duplicates(make_docs([f"{'a b c d e f g h i j k l m n o p ' * 3}{i % 7}" for i in range(40)]), words=2).collect()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before) == ["heads", "linked", "nodes", "sketches"]
+
+
 def test_sketches_estimate_jaccard_and_fill_every_bin():
     rng = np.random.default_rng(1)
     for n in (1, 3, 40, 2000):
