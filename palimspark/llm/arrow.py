@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,8 @@ def id_lists(raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)))
 
 
-def id_bytes(lists: pa.ListArray) -> Iterator[bytes]:
-    """Back from lists to little-endian unsigned 32-bit integers."""
-    offsets = lists.offsets.to_numpy()
-    values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield values[a:b].tobytes()
+def id_checksums(lists: pa.ListArray) -> pa.Array:
+    """For each list the crc32 of its ids as little-endian unsigned 32-bit integers; nothing is copied."""
+    offsets = (lists.offsets.to_numpy() * 4).tolist()
+    raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64())

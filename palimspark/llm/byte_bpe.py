@@ -173,11 +173,12 @@ class Codec:
         return b"".join(map(self._bpe.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(bpe: ByteBpe, key: str) -> Codec:
-    """This worker's codec for a vocabulary, kept from task to task."""
+def codec(bpe: ByteBpe, path: str) -> Codec:
+    """This worker's codec for a vocabulary file, pattern and bound, kept from task to task."""
+    key = path, bpe.pattern, bpe.memo_entries
     if key not in _codecs:
         _codecs[key] = Codec(bpe)
     return _codecs[key]

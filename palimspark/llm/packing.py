@@ -11,7 +11,6 @@ is a document of its own; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import id_bytes, id_lists, slices
+from .arrow import id_checksums, slices
+from .shared import written
 from .token_orc import offsets_in_order
 from .word_bpe import encoder
 
@@ -28,10 +28,14 @@ LONGEST = 4096
 SEQUENCES_SCHEMA = "doc_id long, start long, doc_tokens long, tokens array<int>, length long"
 
 
-def piece_lengths(n_tokens: int, longest: int = LONGEST) -> list[int]:
-    """The lengths of a document's pieces, in order: powers of two that add up to ``n_tokens``."""
-    whole, rest = divmod(n_tokens, longest)
-    return [longest] * whole + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
+def pieces(n_tokens: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of so many tokens: for each piece its document's place, its start there and its length, in order."""
+    sizes = 1 << np.arange(longest.bit_length() - 1, -1, -1, dtype=np.int64)
+    times = n_tokens[:, None] // sizes
+    times[:, 1:] &= 1
+    lengths = np.repeat(np.broadcast_to(sizes, times.shape).ravel(), times.ravel())
+    owners = np.repeat(np.arange(len(n_tokens)), times.sum(axis=1))
+    return owners, np.cumsum(lengths) - lengths - (np.cumsum(n_tokens) - n_tokens)[owners], lengths
 
 
 def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, longest: int = LONGEST) -> None:
@@ -43,22 +47,18 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
         to_ids = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "text"):
-                rows: list[tuple] = []
-                raw: list[bytes] = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), to_ids.encode(part.column("text").to_pylist(), end_id), strict=True):
-                    start, n = 0, len(ids) // 4
-                    for length in piece_lengths(n, longest):
-                        rows.append((doc_id, start, n, length))
-                        raw.append(ids[4 * start : 4 * (start + length)])
-                        start += length
-                doc_ids, starts, totals, lengths = zip(*rows, strict=True)
-                columns = [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), id_lists(raw), pa.array(lengths, pa.int64())]
+                raw = to_ids.encode(part.column("text").to_pylist(), end_id)
+                totals = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+                owners, starts, lengths = pieces(totals, longest)
+                ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                columns = [part.column("doc_id").take(pa.array(owners)), pa.array(starts), pa.array(totals[owners]), tokens, pa.array(lengths)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "doc_tokens", "tokens", "length"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = rows.mapInArrow(cut, SEQUENCES_SCHEMA)
+    found = rows.mapInArrow(cut, SEQUENCES_SCHEMA)
     # Lengths are few and uneven: rebalancing lets Spark split the folders of common lengths over tasks.
-    pieces.hint("rebalance", "length").write.partitionBy("length").option("compression", "zstd").parquet(path)
+    found.hint("rebalance", "length").write.partitionBy("length").option("compression", "zstd").parquet(path)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -71,12 +71,11 @@ def sequence_digests(sequences: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = pa.array(np.fromiter(map(zlib.crc32, id_bytes(batch.column("tokens"))), dtype=np.int64, count=batch.num_rows))
             keep = ["doc_id", "start", "doc_tokens", "length", "file"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), crc], [*keep, "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), id_checksums(batch.column("tokens"))], [*keep, "ids_crc32"])
 
     schema = "doc_id long, start long, doc_tokens long, length long, file string, ids_crc32 long"
-    found = sequences.select("doc_id", "start", "doc_tokens", "length", "file", "tokens").mapInArrow(digest, schema)
+    found = written(sequences.select("doc_id", "start", "doc_tokens", "length", "file", "tokens").mapInArrow(digest, schema), "piece-digests")
     ones = found.withColumn("_one", F.lit(1))
     placed = offsets_in_order(ones, "_one", ["doc_id", "start", "ids_crc32"], ["length", "file"], "sequence_id")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))

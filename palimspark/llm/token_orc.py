@@ -12,14 +12,14 @@ own; an empty table gives an empty table; other columns of the input are ignored
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import id_bytes, id_lists, slices
+from .arrow import id_checksums, id_lists, slices
+from .shared import written
 from .word_bpe import encoder
 
 END_ID = 1
@@ -76,17 +76,14 @@ def offsets_in_order(rows: DataFrame, amount: str, order: list[str], groups: lis
 def token_digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of what ``read_tokens`` gives."""
 
+    sized = tokens.select("doc_id", "file", "tokens", F.size("tokens").cast("long").alias("n_tokens"))
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(id_bytes(batch.column("tokens")))
-            columns = [
-                batch.column("doc_id"),
-                batch.column("file"),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "file", "n_tokens", "ids_crc32"])
-
-    found = tokens.select("doc_id", "file", "tokens").mapInArrow(digest, "doc_id long, file string, n_tokens long, ids_crc32 long")
+            columns = [batch.column(c) for c in ("doc_id", "file", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*columns, id_checksums(batch.column("tokens"))], ["doc_id", "file", "n_tokens", "ids_crc32"])
+
+    # The ids are read once; what is left of them is small and read twice, for totals and for offsets.
+    found = written(sized.mapInArrow(digest, "doc_id long, file string, n_tokens long, ids_crc32 long"), "token-digests")
     placed = offsets_in_order(found, "n_tokens", ["doc_id", "ids_crc32", "n_tokens"], ["file"], "start")
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")

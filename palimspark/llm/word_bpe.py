@@ -2,14 +2,14 @@
 
 The tokenizer drops white space and never merges across it, and it cuts words into pieces (letters, a
 digit, symbols) before it merges. Pieces repeat far more than texts do, so each worker asks the library
-for a piece once and keeps its ids in a bounded dictionary; a text is then a row of look-ups. Texts whose
-cutting or lower-casing could differ between Python and the library go through the library word by word.
+for a piece once and keeps its ids in a bounded dictionary; a text is then a row of look-ups. Texts that hold a special
+token's string, or whose cutting or lower-casing could differ between Python and the library, go through the library word
+by word.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable
@@ -20,16 +20,11 @@ MEMO_ENTRIES = 500_000
 #: Fixed value: the tokenizer's cutting rule, for lower-cased text.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
-
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
-#: Characters that Python's classes or lower-casing treat in another way than the library does.
-ODD = frozenset(
-    [
-        *(chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Nl", "No")),
-        *map(chr, (*range(9), *range(14, 32), 127, 0x85, 0x130, 0x3A3)),
-    ]
-)
+#: Categories (numbers but digits, unassigned ones) and characters that Python treats, or may treat, in another way than the library.
+ODD_CATEGORIES = frozenset(("Nl", "No", "Cn"))
+ODD = frozenset(map(chr, (*range(9), *range(14, 32), 127, 0x85, 0x130, 0x3A3)))
 
 _as_is = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level spelling of the vocabulary: printable bytes stand for themselves, the others follow from 256.
@@ -62,7 +57,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = re.compile("|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()))
+        self._plain: set[str] = set()  # characters seen and found fit for Python's way
         self._pieces = _Pieces(self._tokenizer.model)
         self._limit = memo_entries
 
@@ -70,6 +66,18 @@ class WordEncoder:
         words = [w.decode() for w in text.encode().split()]
         return b"".join(array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
+    def _is_odd(self, text: str) -> bool:
+        """Whether the library has to cut this text."""
+        if "<|" in text and self._special.search(text):
+            return True
+        if text.isascii():
+            return CONTROL.search(text) is not None
+        fresh = set(text) - self._plain
+        if any(c in ODD or unicodedata.category(c) in ODD_CATEGORIES for c in fresh):
+            return True
+        self._plain |= fresh
+        return not unicodedata.is_normalized("NFC", text)
+
     def encode(self, texts: Iterable[str | None], end_id: int) -> list[bytes]:
         """For each text its ids and then ``end_id``, as little-endian unsigned 32-bit integers."""
         end, out = array("I", [end_id]).tobytes(), []
@@ -78,7 +86,7 @@ class WordEncoder:
                 self._pieces.clear()
             if not text:
                 out.append(end)
-            elif CONTROL.search(text) if text.isascii() else not (ODD.isdisjoint(text) and unicodedata.is_normalized("NFC", text)):
+            elif self._is_odd(text):
                 out.append(self._by_library(text) + end)
             else:
                 out.append(b"".join([*map(self._pieces.__getitem__, PIECES.findall(text.lower())), end]))

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,17 +13,16 @@ import tiktoken
 from llm.conftest import ODD
 from tokenizers import Tokenizer
 
-from palimspark.llm import byte_bpe, packing, token_orc
+from palimspark.llm import byte_bpe, packing, token_orc, word_bpe
 from palimspark.llm.queries import BYTE_RANKS, WORD_BPE
 from palimspark.llm.shared import shared_path
 
-TEXTS = [*ODD, "It's 12 o'clock, we'LL see: naïve Ångström ΑΣ ² ½ 漢字 ", "a\x00b\x1fc\x85d\xa0e", "é ﬁ İstanbul", "<|endoftext|> x", "###$$$ the*** 'sss", "🙂🙃" * 20, "z" * 3000]
+TEXTS = [*ODD, "It's 12 o'clock, we'LL see: naïve Ångström ΑΣ ² ½ 漢字 ", "a\x00b\x1fc\x85d\xa0e", "é ﬁ İstanbul", "<|endoftext|> x", "a<|startoftext|>b <|ENDOFTEXT|> c<|endoftext|>", "ab\U0001fae9cd 1\u0378 \U0001c000x", "###$$$ the*** 'sss", "🙂🙃" * 20, "z" * 3000]
 
 
 @pytest.fixture(scope="module")
 def library_ids():
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
@@ -69,9 +70,46 @@ def test_packing(spark, make_docs, library_ids):
     assert packing.sequence_digests(packing.read_sequences(spark, empty)).collect() == []
 
 
-def test_piece_lengths():
-    assert packing.piece_lengths(10_001) == [4096, 4096, 1024, 512, 256, 16, 1]
-    assert packing.piece_lengths(4096) == [4096] and packing.piece_lengths(0) == []
+def test_pieces():
+    owners, starts, lengths = packing.pieces(np.array([10_001, 0, 4096, 3]))
+    assert lengths.tolist() == [4096, 4096, 1024, 512, 256, 16, 1, 4096, 2, 1]
+    assert owners.tolist() == [0] * 7 + [2, 3, 3] and starts.tolist() == [0, 4096, 8192, 9216, 9728, 9984, 10_000, 0, 0, 2]
+    assert [len(x) for x in packing.pieces(np.zeros(0, dtype=np.int64))] == [0, 0, 0]
+
+
+def test_packing_of_repeated_and_nameless_rows(spark, make_docs):
+    path = shared_path(spark, "t")
+    packing.write_sequences(make_docs([(1, "a b c"), (1, "a b c"), (None, None), (None, "x"), (1, "")]), path, WORD_BPE)
+    rows = packing.sequence_digests(packing.read_sequences(spark, path)).collect()
+    assert sorted((str(r["doc_id"]), r["start"], r["length"]) for r in rows) == [("1", 0, 1), ("1", 0, 4), ("1", 0, 4), ("None", 0, 1), ("None", 0, 2)]
+    assert sorted(r["sequence_id"] for r in rows) == list(range(5))
+
+
+def test_word_ids_equal_the_library_on_any_characters():
+    rng, tokenizer, own = random.Random(7), Tokenizer.from_file(WORD_BPE), word_bpe.encoder(WORD_BPE)
+    pools = [lambda: chr(rng.randrange(0x20, 0x250)), lambda: chr(rng.choice([rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x30000)])), lambda: rng.choice(" ab1'_.\n<|>"), lambda: "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pools, (6, 2, 4, 0.2))[0]() for _ in range(rng.randrange(1, 30)))
+        assert np.frombuffer(own.encode([text], 1)[0], dtype="<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], ascii(text)
+
+
+def test_codecs_of_two_patterns_stay_apart(spark, make_docs):
+    docs = make_docs(["ab ab ab"] * 3).coalesce(1)
+    sizes = [byte_bpe.codec_digests(byte_bpe.encode_documents(docs, BYTE_RANKS, p)).first()["n_tokens"] for p in (public_tokenizers.PATTERN, "(?s).")]
+    assert sizes[0] < sizes[1] == 8
+
+
+def test_orc_files_hold_row_index_and_bloom_filter(spark, make_docs):
+    path = shared_path(spark, "t")
+    token_orc.write_tokens(make_docs([f"some words {i}" for i in range(5000)]), path, WORD_BPE, partitions=2)
+    files = sorted(Path(path.removeprefix("file://")).glob("*.orc"))
+    assert len(files) == 2
+    found = token_orc.lookup_tokens(spark, path, [17, 4000])
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() and found.count() == 2
+    streams = spark._jvm.org.apache.orc.OrcFile
+    reader = streams.createReader(spark._jvm.org.apache.hadoop.fs.Path(f"file://{files[0]}"), streams.readerOptions(spark._jsc.hadoopConfiguration()))
+    kinds = {str(s.getKind()) for s in reader.rows().readStripeFooter(reader.getStripes()[0]).getStreamsList()}
+    assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
 
 
 def test_byte_bpe(spark, make_docs):
