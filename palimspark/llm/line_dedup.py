@@ -1,7 +1,9 @@
 """Repeated lines across a corpus, exact and within one edit, by a deletion-neighbourhood join.
 
 Lines (cut at line feeds, spaces around them taken off) of at least MIN_CHARS characters are compared; shorter
-ones are always kept. Equal lines are one node, numbered by their earliest occurrence (doc_id, then position).
+ones are always kept. Exact repeats count at any of these lengths; one edit counts as the same line from NEAR_CHARS
+characters on (in a shorter line it is more than a twentieth of the text).
+Equal lines are one node, numbered by their earliest occurrence (doc_id, then position).
 Two lines are within one edit exactly if one equals the other with a character deleted, or both agree after
 deleting the character at the same position. So every line emits hashed keys: itself, and itself without
 each of its characters together with the position. The earliest line of a key and position, and the line
@@ -14,8 +16,9 @@ half of a line alone; lines that share no half with another line of fitting leng
 beforehand, which loses no pair.
 
 Defined results: null and empty texts have no lines; a null doc_id sorts first; rows of one id (or none) with different
-texts are documents of their own, in the order of a hash of the text; repeated rows of one id and text count as one document (each keeps what the other keeps); an empty table gives an empty table; other
-columns are passed through by ``dedup_lines`` and ignored otherwise.
+texts are documents of their own, in the order of a hash of the text; repeated rows of one id and text count as one
+document (each keeps what the other keeps); an empty table gives an empty table; other columns are passed through by
+``dedup_lines`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .shared import written
+from .shared import Scratch
 
-MIN_CHARS = 20
+MIN_CHARS = 1
+NEAR_CHARS = 20
 SPACES = " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -85,8 +89,8 @@ def deletion_hashes(line: str) -> np.ndarray:
     return np.concatenate([sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_INVERSE), sums[-1:]])
 
 
-def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text_hash, pos, h1, h2 (identity of the line) and its half keys, one row per compared line. Narrow."""
+def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id, text_hash, pos, h1, h2 (identity of the line) and its half keys (none in short lines), one row per compared line. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +99,7 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 for doc_id, row, text in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), part.column("text").to_pylist(), strict=True):
                     for i, line in lines_of(text, min_chars):
                         a, b = _identity(line)
-                        ids.append(doc_id), own.append(row), at.append(i), h1.append(a), h2.append(b), keys.append(half_keys(line))
+                        ids.append(doc_id), own.append(row), at.append(i), h1.append(a), h2.append(b), keys.append(half_keys(line) if len(line) >= near_chars else [])
                 columns = [pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "pos", "h1", "h2", "keys"])
 
@@ -138,11 +142,12 @@ def deletion_keys(contents: DataFrame) -> DataFrame:
     return contents.mapInArrow(run, "key long, place int, node long")
 
 
-def near_lines(contents: DataFrame) -> DataFrame:
+def near_lines(contents: DataFrame, scratch: Scratch) -> DataFrame:
     """node and its earliest partner, for lines that have an earlier one within one edit."""
     keys = deletion_keys(contents)
     several = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.when(F.col("place") < 0, F.col("node"))).alias("spelled")).filter("lo < hi")
-    met = written(keys.join(several.drop("hi"), "key"), "line-keys")
+    several = scratch.written(several.drop("hi"), "shared-keys")  # a table of its own, so that Spark can split frequent keys in the join
+    met = scratch.written(keys.join(several, "key"), "line-keys")
     same_place = met.filter("place >= 0").groupBy("key", "place").agg(F.min("node").alias("partner"))
     swapped = met.select("key", "place", "node").join(same_place, ["key", "place"]).select("node", "partner")
     shorter = met.filter("place >= 0 and spelled is not null").select("node", F.col("spelled").alias("partner"))
@@ -152,35 +157,40 @@ def near_lines(contents: DataFrame) -> DataFrame:
     return best.join(a, "node").join(b, "partner").filter(F.levenshtein("_a", "_b", 1) >= 0).select("node", "partner")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """doc_id, text_hash, n_lines (compared lines), and ``repeated`` and ``near``: sorted positions of dropped lines.
 
     One row per doc_id and text with a compared line. ``docs`` needs doc_id (a whole number) and text.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(line_table(docs, min_chars), "lines")
+    lines = scratch.written(line_table(docs, min_chars, near_chars), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.first("keys").alias("keys"))
-    nodes = written(firsts.orderBy("first").withColumn("node", F.monotonically_increasing_id()), "line-nodes")  # ids rise with the order
+    nodes = scratch.written(firsts.orderBy("first").withColumn("node", F.monotonically_increasing_id()), "line-nodes")  # ids rise with the order
     halves = nodes.select("node", F.explode(F.array_distinct("keys")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("half")
+    shared = scratch.written(halves.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("half"), "halves")
     some = halves.join(shared, "half", "left_semi").select("node").distinct()
     wanted = nodes.join(some, "node", "left_semi").select("node", "first.doc_id", "first.text_hash", "first.pos", "h1", "h2")
-    contents = written(_contents(docs, wanted, min_chars), "line-contents")
-    near = near_lines(contents).select("node", F.lit(True).alias("near"))
+    contents = scratch.written(_contents(docs, wanted, min_chars), "line-contents")
+    near = scratch.written(near_lines(contents, scratch).select("node", F.lit(True).alias("near")), "near-lines")
+    scratch.keep_only(lines, nodes, near)
     judged = nodes.join(near, "node", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos")))
     why = F.when(again, "repeated").when(F.col("near"), "near")
     verdicts = lines.select("doc_id", "text_hash", "pos", "h1", "h2").join(judged, ["h1", "h2"]).select("doc_id", "text_hash", "pos", why.alias("why"))
     places = lambda name: F.array_sort(F.collect_set(F.when(F.col("why") == name, F.col("pos"))))
-    return verdicts.groupBy("doc_id", "text_hash").agg(F.countDistinct("pos").alias("n_lines"), places("repeated").alias("repeated"), places("near").alias("near"))
+    found = verdicts.groupBy("doc_id", "text_hash").agg(F.countDistinct("pos").alias("n_lines"), places("repeated").alias("repeated"), places("near").alias("near"))
+    found = scratch.written(found, "line-verdicts")
+    scratch.keep_only(found)
+    return found
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """``docs`` without dropped lines; n_chars, where there is such a column, is brought up to date.
 
     Documents that lose all their text this way go: every line of theirs stands in an earlier document.
     """
-    found = dropped_lines(docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.concat("repeated", "near").alias("_gone")).filter(F.size("_gone") > 0)
+    found = dropped_lines(docs, min_chars, near_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.concat("repeated", "near").alias("_gone")).filter(F.size("_gone") > 0)
     joined = docs.join(found, same_row(F.col("doc_id").cast("long")), "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     cut = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
@@ -190,23 +200,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return cut
 
 
-def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_repeated, n_near and the dropped positions as text."""
-    found = dropped_lines(docs, min_chars).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"})
+    found = dropped_lines(docs, min_chars, near_chars).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"})
     gone = F.array_join(F.array_sort(F.concat("repeated", "near")), ",")
     counted = lambda c: F.coalesce(F.when(c >= 0, c), F.lit(0)).cast("long")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, same_row(F.col("doc_id")), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("_own"))  # the texts stay out of the join
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")), "left")
     return joined.select("doc_id", counted(F.col("n_lines")).alias("n_lines"), counted(F.size("repeated")).alias("n_repeated"), counted(F.size("near")).alias("n_near"), F.coalesce(gone, F.lit("")).alias("dropped"))
 
 
-def oracle(min_chars: int = MIN_CHARS) -> str:
+def oracle(min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> str:
     """The same for DuckDB: edit distances of all lines of neighbouring lengths."""
     return f"""
 WITH l AS (SELECT doc_id, pos - 1 AS pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM (
              SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 c AS (SELECT * FROM l WHERE length(line) >= {min_chars}),
 f AS (SELECT line, length(line) AS n, min(doc_id * 1000000 + pos) AS first FROM c GROUP BY line),
-p AS (SELECT a.line AS line FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
+p AS (SELECT a.line AS line FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first AND a.n >= {near_chars} AND b.n >= {near_chars}
       WHERE (left(a.line, a.n // 4) = left(b.line, a.n // 4) OR right(a.line, a.n // 4) = right(b.line, a.n // 4)) AND levenshtein(a.line, b.line) <= 1),
 near AS (SELECT DISTINCT line FROM p),
 v AS (SELECT doc_id, pos, doc_id * 1000000 + pos <> first AS again, near.line IS NOT NULL AS near

@@ -121,15 +121,16 @@ def test_line_dedup_equals_brute_force(spark, make_docs):
     for line in lines[:20]:
         at = rng.randrange(len(line))
         lines.append([line[:at] + line[at + 1 :], line[:at] + "z" + line[at:], line[:at] + "z" + line[at + 1 :]][rng.randrange(3)])
-    texts = ["\n".join(rng.choices([*lines, "short"], k=6)) for _ in range(25)]
+    texts = ["\n".join(rng.choices([*lines, "short", "shore", "", " "], k=6)) for _ in range(25)]
     seen, want = [], {}
     for i, text in enumerate(texts):
         want[i] = []
         for pos, line in enumerate(text.split("\n")):
             line = line.strip(line_dedup.SPACES)
-            if len(line) < line_dedup.MIN_CHARS:
+            if not line:
                 continue
-            if any(line == s or (abs(len(line) - len(s)) < 2 and distance(line, s) < 2) for s in seen):
+            long = line_dedup.NEAR_CHARS
+            if any(line == s or (min(len(line), len(s)) >= long and abs(len(line) - len(s)) < 2 and distance(line, s) < 2) for s in seen):
                 want[i].append(pos)
             seen.append(line)
     docs = make_docs(texts)
