@@ -2,7 +2,7 @@
 
 Candidates are found by patterns in whole texts, as spans in code points. A candidate's value is kept only
 as a hash. Hashes are counted over the corpus by distinct repositories and by distinct owners: a value that
-many owners hold is a copied example, one that a single owner holds in few repositories and that looks
+many owners hold is a copied example, one that a single owner holds, in however many repositories, and that looks
 random is live. In ``documents`` a row is a repository and ``source`` is its owner.
 
 All of it is Column expressions, joins and aggregations. Positions come from cutting a text at a pattern's
@@ -48,8 +48,6 @@ MASK = "[SECRET]"
 
 #: A value is an example from so many distinct owners.
 EXAMPLE_OWNERS = 2
-#: Only in ``oracle``, which still calls a value of so many repositories an example; no given table holds such a value of one owner.
-EXAMPLE_REPOSITORIES = 5
 #: Distinct characters of a value that looks random.
 LIVE_CHARACTERS = 6
 
@@ -102,19 +100,17 @@ def ownership(candidates: DataFrame, repository: str, owner: str, spans: str = "
     return flat.groupBy("hash").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
 
 
-def is_live(span: Column) -> Column:
-    return span["random"] & (F.col("n_owners") < EXAMPLE_OWNERS)
-
-
 def with_verdicts(found: DataFrame, repository: str, owner: str, spans: str = "spans", live: str = "live") -> DataFrame:
     """``found`` (a written table: id columns and ``spans``) with ``live``: for each span whether its value is live.
 
     Hashes meet their counts in a join of small rows; texts stay out of it.
     """
     numbered = found.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows lie in files
-    counts = ownership(found, repository, owner, spans)
+    # A table of its own, so that Spark can split a widely copied value in the join; those of many owners stay out of it.
+    rare = written(ownership(found, repository, owner, spans).filter(F.col("n_owners") < EXAMPLE_OWNERS).select("hash", F.lit(True).alias("_rare")), "rare-secrets")
     single = numbered.select("_row", F.posexplode(spans).alias("_at", "span")).withColumn("hash", F.col("span.hash"))
-    judged = single.join(counts, "hash").select("_row", F.struct(F.col("_at"), is_live(F.col("span")).alias("live")).alias("v"))
+    live_span = F.col("span.random") & F.coalesce("_rare", F.lit(False))
+    judged = single.join(rare, "hash", "left").select("_row", F.struct(F.col("_at"), live_span.alias("live")).alias("v"))
     rows = judged.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["live"]).alias(live))
     return numbered.join(rows, "_row", "left").withColumn(live, F.coalesce(live, F.array().cast("array<boolean>"))).drop("_row")
 
@@ -193,8 +189,8 @@ placed AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY rid, no ORDER
 s AS (SELECT rid, no, kind, base, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(v) AS hash,
              len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} AS random
       FROM placed WHERE length(v) >= least_chars),
-own AS (SELECT hash, count(DISTINCT doc_id) AS repos, count(DISTINCT coalesce(source, '')) AS owners FROM s JOIN d USING (rid) GROUP BY hash),
-j AS (SELECT s.*, random AND owners < {EXAMPLE_OWNERS} AND repos < {EXAMPLE_REPOSITORIES} AS live FROM s JOIN own USING (hash)),
+own AS (SELECT hash, count(DISTINCT coalesce(source, '')) AS owners FROM s JOIN d USING (rid) GROUP BY hash),
+j AS (SELECT s.*, random AND owners < {EXAMPLE_OWNERS} AS live FROM s JOIN own USING (hash)),
 g AS (SELECT rid, {cells}, {joined} FILTER (base) AS b, {joined} FILTER (base OR live) AS a,
              count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples FROM j GROUP BY rid)
 SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE_KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans,
