@@ -1,12 +1,18 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. toxicity: documents that the compression-distance model rejects go.
-2. line dedup: lines that occur earlier, or within one edit of an earlier line, go; documents that lose all
-   their text this way go.
-3. near-dedup: one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)
-   stays, the one with the smallest doc_id; rows with equal doc_id and text are one document.
+2. line dedup: lines of at least LEAST_LINE characters that occur earlier, or within one edit of an earlier line, go
+   (shorter ones, such as headings and list marks, repeat in clean texts); documents that lose all their text this way go.
+3. near-dedup: one row of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, the
+   one with the smallest doc_id; of rows with equal doc_id and text one stays.
 4. secret scans: owner-specific secrets are masked, widely copied examples stay.
 5. packing: what is left is cut into power-of-two sequences; one row per piece.
+
+Defined results: null and empty texts pass all stages and end as one piece that holds only the end id; very long texts
+are read whole by every stage; repeated rows count once from stage 3 on, unless they have no words; a null doc_id
+is a value like another in stages 1, 2, 4 and 5, and comes last in stage 3; without labels of both kinds nothing is
+toxic; empty tables give empty tables; columns beside doc_id, text, source and n_chars pass stages 1 to 4 as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from palimspark.llm import line_dedup, minhash, packing, secrets, toxicity
 from palimspark.llm.shared import shared_path, table
 from palimspark.shipping import ship
 
+LEAST_LINE = 20
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, min_chars=LEAST_LINE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
