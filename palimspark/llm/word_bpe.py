@@ -1,8 +1,8 @@
 """Token ids of whole texts by a word-level BPE file of the tokenizers library.
 
 The tokenizer drops white space and never merges across it, and it cuts words into pieces (letters, a
-digit, symbols) before it merges. Pieces repeat far more than texts do, so each worker asks the library
-for a piece once and keeps its ids in a bounded dictionary; a text is then a row of look-ups. Texts that hold a special
+digit, symbols) before it merges. Words repeat far more than texts do, so each worker cuts a word once, asks the
+library for a piece once, and keeps their ids in a bounded dictionary; a text is then a row of look-ups. Texts that hold a special
 token's string, or whose cutting or lower-casing could differ between Python and the library, go through the library word
 by word.
 """
@@ -14,8 +14,9 @@ import unicodedata
 from array import array
 from collections.abc import Iterable
 
-#: Distinct pieces that a worker remembers before it starts afresh: about 80 MB.
+#: Distinct words in each of a worker's two generations of memory, about 100 MB each, and the longest word in them.
 MEMO_ENTRIES = 500_000
+MEMO_CHARS = 64
 
 #: Fixed value: the tokenizer's cutting rule, for lower-cased text.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -40,17 +41,30 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-class _Pieces(dict):
-    """Ids of a piece, from the library at its first use."""
+class _Words(dict):
+    """Ids of a word, by its pieces at its first use. Words that the last MEMO_ENTRIES new ones have not met again go."""
 
-    def __init__(self, model) -> None:
-        self._tokenize = model.tokenize
+    def __init__(self, model, most: int) -> None:
+        self._tokenize, self._most, self._older = model.tokenize, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_SPELLING)
-        got = self[piece] = array("I", [t.id for t in self._tokenize(spelled)]).tobytes()
+    def __missing__(self, word: str) -> bytes:
+        got = self._older.get(word)
+        if got is None:
+            pieces = [word] if word.isalpha() else PIECES.findall(word)
+            if pieces == [word]:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SPELLING)
+                got = array("I", [t.id for t in self._tokenize(spelled)]).tobytes()
+            else:
+                got = b"".join([self[p] for p in pieces])
+        if len(word) <= MEMO_CHARS:
+            self[word] = got
         return got
 
+    def trim(self) -> None:
+        if len(self) > self._most:
+            self._older = dict(self)
+            self.clear()
+
 
 class WordEncoder:
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES) -> None:
@@ -59,8 +73,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._special = re.compile("|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()))
         self._plain: set[str] = set()  # characters seen and found fit for Python's way
-        self._pieces = _Pieces(self._tokenizer.model)
-        self._limit = memo_entries
+        self._words = _Words(self._tokenizer.model, memo_entries)
 
     def _by_library(self, text: str) -> bytes:
         words = [w.decode() for w in text.encode().split()]
@@ -82,12 +95,11 @@ class WordEncoder:
         """For each text its ids and then ``end_id``, as little-endian unsigned 32-bit integers."""
         end, out = array("I", [end_id]).tobytes(), []
         for text in texts:
-            if len(self._pieces) > self._limit:
-                self._pieces.clear()
+            self._words.trim()
             if not text:
                 out.append(end)
             elif self._is_odd(text):
                 out.append(self._by_library(text) + end)
             else:
-                out.append(b"".join([*map(self._pieces.__getitem__, PIECES.findall(text.lower())), end]))
+                out.append(b"".join([*map(self._words.__getitem__, text.lower().split()), end]))
         return out

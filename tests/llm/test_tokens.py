@@ -93,6 +93,12 @@ def test_word_ids_equal_the_library_on_any_characters():
         assert np.frombuffer(own.encode([text], 1)[0], dtype="<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], ascii(text)
 
 
+def test_word_ids_do_not_depend_on_memory():
+    rng, small = random.Random(3), word_bpe.WordEncoder(WORD_BPE, memo_entries=5)
+    texts = [" ".join(rng.choices(["it's", "don't,", "x_1", "a" * 100, "###", "12b", "word", "naïve"], k=9)) for _ in range(50)]
+    assert small.encode(texts, 1) == word_bpe.encoder(WORD_BPE).encode(texts, 1)
+
+
 def test_codecs_of_two_patterns_stay_apart(spark, make_docs):
     docs = make_docs(["ab ab ab"] * 3).coalesce(1)
     sizes = [byte_bpe.codec_digests(byte_bpe.encode_documents(docs, BYTE_RANKS, p)).first()["n_tokens"] for p in (public_tokenizers.PATTERN, "(?s).")]
