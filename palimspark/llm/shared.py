@@ -41,12 +41,6 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and with no lineage left."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextmanager
 def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """What runs inside gives its shuffle files back at its end: its rows are then in the shared folder."""
