@@ -58,6 +58,19 @@ def allowed_nodes(chunks: DataFrame, users: DataFrame) -> DataFrame:
     return chunks.join(seen, same).select("user_id", "node_id")
 
 
+def open_to_groups(chunks: DataFrame, users: DataFrame) -> DataFrame:
+    """``chunks`` with ``open_to``: the user groups (``grp``) that may see each.
+
+    ``users`` is (grp, user_tenant, clearance, roles), a row for each combination of attributes. Only distinct
+    attributes of both sides are judged against each other; no pair of a user and a chunk is made.
+    """
+    attributes = ["tenant_id", "security_level", "audience"]
+    allowed = may_access(F.col("tenant_id"), F.col("security_level"), F.col("audience"), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
+    judged = chunks.select(*attributes).distinct().join(users.dropDuplicates(["grp"]), allowed, "left")
+    seen = judged.groupBy(*attributes).agg(F.collect_set("grp").alias("open_to")).withColumnsRenamed({a: f"_{a}" for a in attributes})
+    return chunks.join(seen, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes]).drop(*(f"_{a}" for a in attributes))
+
+
 def keep_allowed(hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Hits (user_id, node_id, ...) that the user may see; without a user context nothing is filtered."""
     return hits if allowed is None else hits.join(allowed, ["user_id", "node_id"], "left_semi")

@@ -15,39 +15,44 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("node_id", F.explode("tokens").alias("term")).groupBy("term", "node_id").agg(F.count("*").alias("tf"))
 
 
-def lengths(tokens: DataFrame) -> DataFrame:
-    return tokens.select("node_id", F.size("tokens").alias("dl"))
+def term_statistics(tokens: DataFrame) -> DataFrame:
+    """(term, df, idf) of (node_id, tokens); a negative idf becomes a quarter of the mean of all.
 
-
-def term_statistics(posting: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf); a negative idf becomes a quarter of the mean of all."""
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    Terms are counted once per row where they are read, so only partial counts of the vocabulary are shuffled.
+    """
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = tokens.agg(F.count("*").alias("n"))  # one row
+    raw = df.join(F.broadcast(total)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, NEGATIVE_IDF * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(tokens: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best nodes of each query: query_id, node_id, score, rank.
 
-    ``tokens`` is (node_id, tokens), ``queries`` is (query_id, tokens). A restriction ``allowed`` (query_id, node_id)
-    acts on the ranking only; term statistics stay those of the whole corpus. Nodes with score 0 fill up a list
-    in corpus order. Only postings of query terms are joined, scored and shuffled.
+    ``tokens`` is (node_id, tokens), ``queries`` is (query_id, tokens). Where ``tokens`` has ``open_to`` (an array of user
+    groups, null: all) and the queries have ``grp``, that restricts the ranking only; term statistics stay those of the whole
+    corpus. Nodes with score 0 fill up a list in corpus order. Only occurrences of query terms leave the task that reads
+    them, counted by node there.
     """
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    index = postings(tokens)
-    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    if not size["n"] or not size["avgdl"]:
-        return queries.select("query_id", F.lit(None).cast("long").alias("node_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    needed = asked.join(term_statistics(index, size["n"]), "term")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size["avgdl"]))
+    guarded = "open_to" in tokens.columns and "grp" in queries.columns
+    about_query, about_node = (["grp"], ["open_to"]) if guarded else ([], [])
+    asked = queries.select("query_id", *about_query, F.explode("tokens").alias("term")).groupBy("query_id", *about_query, "term").agg(F.count("*").alias("qtf"))
+    size = tokens.agg(F.avg(F.size("tokens")).alias("avgdl"))  # one row
+    needed = asked.join(term_statistics(tokens), "term")
+    words = tokens.select("node_id", *about_node, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    index = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "node_id", *about_node, "dl").agg(F.count("*").alias("tf"))
+    allowed = F.col("open_to").isNull() | F.array_contains("open_to", F.col("grp")) if guarded else F.lit(True)
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = index.join(needed, "term").join(lengths(tokens), "node_id").groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
-    pool = tokens.select("node_id")
-    if allowed is not None:
-        scored = scored.join(allowed, ["query_id", "node_id"], "left_semi")
-        first = allowed.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("node_id"))).filter(F.col("_n") <= k).select("query_id", "node_id")
+    met = index.join(needed, "term").filter(allowed).join(F.broadcast(size))
+    scored = met.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
+    if guarded:
+        groups = queries.select("grp").distinct()
+        seen = tokens.select("node_id", "open_to").join(groups, F.col("open_to").isNull() | F.array_contains("open_to", F.col("grp")))
+        first = seen.withColumn("_n", F.row_number().over(Window.partitionBy("grp").orderBy("node_id"))).filter(F.col("_n") <= k)
+        first = queries.select("query_id", "grp").join(first, "grp").select("query_id", "node_id")
     else:
-        first = queries.select("query_id").join(F.broadcast(pool.orderBy("node_id").limit(k)))  # k rows
+        first = queries.select("query_id").join(F.broadcast(tokens.select("node_id").orderBy("node_id").limit(k)))  # k rows
     rest = first.join(scored, ["query_id", "node_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(scored.unionByName(rest), k)

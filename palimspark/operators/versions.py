@@ -75,15 +75,16 @@ def dropped(master: DataFrame, kept: DataFrame, key: str, reason: Column) -> Dat
     return master.join(kept.select(key), key, "left_anti").select(key, reason.alias("reason"))
 
 
-def parent_titles(rows: DataFrame, child: Column, block: int) -> DataFrame:
+def parent_titles(rows: DataFrame, child: Column) -> DataFrame:
     """Each child with the longest other title that it starts with and that has a higher rank (a smaller number).
 
-    Titles meet only where their first ``block`` characters agree, so parents shorter than that don't count.
+    A child meets parents by its own prefixes, as an equality of titles, so titles of any length count.
     """
-    keyed = rows.withColumn("_block", F.substring("title", 1, block))
-    c, p = keyed.filter(child).alias("c"), keyed.alias("p")
-    fits = (F.col("c._block") == F.col("p._block")) & (F.col("c.title") != F.col("p.title")) & F.startswith(F.col("c.title"), F.col("p.title")) & (F.col("p.rank") < F.col("c.rank"))
-    pairs = c.join(p, fits).select(F.col("c.id").alias("id"), F.col("p.id").alias("parent"), F.length("p.title").alias("_n"))
+    n = F.length("title")
+    prefixes = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.left(F.col("title"), i))).otherwise(F.array().cast("array<string>"))
+    c = rows.filter(child).select("id", "rank", F.explode(prefixes).alias("title"))
+    p = rows.select(F.col("id").alias("parent"), F.col("rank").alias("_rank"), "title")
+    pairs = c.join(p, "title").filter("_rank < rank").select("id", "parent", F.length("title").alias("_n"))
     return pairs.groupBy("id").agg(F.max_by("parent", F.struct(F.col("_n"), -F.col("parent"))).alias("parent"))
 
 

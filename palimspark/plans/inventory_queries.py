@@ -97,7 +97,7 @@ _TITLES = "SELECT p_partkey AS id, left(p_name, 6 + p_partkey % 9) AS title, p_p
 
 @query(f"WITH t AS ({_TITLES}) SELECT id, arg_max(parent, n * 10000000 - parent) AS parent FROM (SELECT c.id, p.id AS parent, length(p.title) AS n FROM t c JOIN t p ON c.title <> p.title AND starts_with(c.title, p.title) AND p.rank < c.rank AND length(p.title) >= 6 WHERE c.rank > 1) GROUP BY id")
 def j09_parent_titles(spark, sf_dir):
-    return R.parent_titles(V.view(spark, sf_dir, _TITLES), F.col("rank") > 1, 6)
+    return R.parent_titles(V.view(spark, sf_dir, _TITLES), F.col("rank") > 1)
 
 
 @query(f"SELECT p.category, p.title, p.bbbs AS pending, c.current FROM {_V} p LEFT JOIN (SELECT category, title, min(bbbs) AS current FROM {_V} WHERE status_code = 3 GROUP BY ALL) c USING (category, title) WHERE p.status_code = 4")

@@ -184,7 +184,7 @@ def j15_comparison(spark, sf_dir):
 
 @query(with_ctes("SELECT query_id, len(list_intersect(nodes, [query_id, query_id + 1])) AS found FROM (SELECT query_id, list(node_id) AS nodes FROM top_rrf GROUP BY query_id)"))
 def u03_intersection(spark, sf_dir):
-    lists = E.result_lists(hybrid.retrieve(spark, sf_dir))
+    lists = E.result_lists(hybrid.fused(spark, sf_dir))
     return lists.select("query_id", F.size(F.array_intersect("nodes", F.array(F.col("query_id"), F.col("query_id") + 1))).alias("found"))
 
 

@@ -31,7 +31,7 @@ _FENCED = "concat('---\\n', 'doc: ', CAST(doc_id AS STRING), '\\nversion: 00', C
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN '00' || doc_id END AS version, CASE WHEN doc_id % 9 > 0 THEN CASE doc_id % 4 WHEN 0 THEN 3 WHEN 2 THEN -1 END END AS status_code,
- md5(CASE WHEN doc_id % 9 > 0 THEN text ELSE '---' || chr(10) || 'doc: ' || doc_id || chr(10) || 'version: 00' || doc_id || chr(10) || 'status_code: ' || CASE doc_id % 4 WHEN 0 THEN '3' WHEN 1 THEN 'null' WHEN 2 THEN '-1' ELSE '' END || chr(10) || text END) AS body FROM documents""")
+ md5(CASE WHEN doc_id % 9 > 0 THEN regexp_replace(text, '^\\s+', '') ELSE '---' || chr(10) || 'doc: ' || doc_id || chr(10) || 'version: 00' || doc_id || chr(10) || 'status_code: ' || CASE doc_id % 4 WHEN 0 THEN '3' WHEN 1 THEN 'null' WHEN 2 THEN '-1' ELSE '' END || chr(10) || text END) AS body FROM documents""")
 def s02_front_matter(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", F.expr(_FENCED).alias("t"))
     meta = docs.select("doc_id", "t", files.front_matter(F.col("t")).alias("m"))

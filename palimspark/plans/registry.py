@@ -14,7 +14,7 @@ MODULES = [text_queries, retrieval_queries, inventory_queries, log_queries, grou
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid.retrieve(spark, sf_dir)
+    return hybrid.retrieve_tables(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
 from palimspark.operators import access, lexical, ranking
+from palimspark.operators.vectors import nearest
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
 from palimspark.sources import views as V
@@ -96,7 +97,7 @@ def j07_access_pre_filter(spark, sf_dir):
 
 @query(with_ctes("SELECT query_id, node_id, score, rank FROM vector"))
 def j11_nearest(spark, sf_dir):
-    return hybrid.branches(spark, sf_dir).filter("branch = 'vector'").select("query_id", "node_id", "score", "rank")
+    return nearest(hybrid.corpus_vectors(spark, sf_dir), hybrid.query_vectors(spark, sf_dir), hybrid.WIDE_K)
 
 
 @query(with_ctes("SELECT query_id, node_id, score, rank FROM lexical"))
@@ -107,7 +108,7 @@ def t01_bm25(spark, sf_dir):
 @query(with_ctes("SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def a01_term_statistics(spark, sf_dir):
     tokens = hybrid.corpus_tokens(spark, sf_dir)
-    return lexical.term_statistics(lexical.postings(tokens), tokens.count()).withColumn("idf", F.round("idf", 6))
+    return lexical.term_statistics(tokens).withColumn("idf", F.round("idf", 6))
 
 
 @query(with_ctes("SELECT query_id, round(avg(CAST(source = 'src3' AS INT)), 6) AS share FROM lexical JOIN documents ON doc_id = node_id GROUP BY query_id"))
@@ -148,9 +149,9 @@ def t04_currency_rerank(spark, sf_dir):
     return ranking.rerank_by_currency(version_hits(spark, sf_dir).filter("rank <= 10")).select("query_id", "node_id", "adjusted", "new_rank")
 
 
-@query(with_ctes("SELECT query_id, node_id, round(score, 9) AS score, rank FROM top_rrf"))
+@query(hybrid.RETRIEVAL_SQL)
 def x01_hybrid_retrieval(spark, sf_dir):
-    return hybrid.retrieve(spark, sf_dir).withColumn("score", F.round("score", 9)).select("query_id", "node_id", "score", "rank")
+    return hybrid.retrieve_tables(spark, sf_dir)
 
 
 @query(with_ctes("SELECT query_id, count(*) AS n_nodes, count(*) FILTER (n = 2) AS n_both FROM (SELECT query_id, node_id, count(DISTINCT branch) AS n FROM both_branches GROUP BY ALL) GROUP BY query_id"))
@@ -159,18 +160,10 @@ def u01_union_of_branches(spark, sf_dir):
     return each.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("n") == 2).alias("n_both"))
 
 
-def _rerank_by_coverage(spark, sf_dir, hits):
-    """Built-in pair scorer: share of the query's three-grams in the first 500 characters of the text."""
-    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.substring("text", 1, 500).alias("text"))
-    words = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    asked = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("q"))
-    return hits.join(docs, "node_id").join(asked, "query_id").withColumn("score", F.round(T.ngram_coverage(F.col("q"), F.col("text")), 6))
-
-
 _G3 = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) ELSE [] END"
 
 
-@query(with_ctes(f"SELECT query_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / len(g) END, 6) AS score FROM (SELECT r.query_id, r.node_id, {_G3.format('q')} AS g, {_G3.format('x')} AS h FROM top_rrf r JOIN qry ON qry.query_id = r.query_id JOIN (SELECT doc_id, left(text, 500) AS x FROM documents) d ON d.doc_id = r.node_id))) WHERE rank <= 5"))
+@query(with_ctes(f"SELECT query_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / len(g) END, 6) AS score FROM (SELECT r.query_id, r.node_id, {_G3.format('q')} AS g, {_G3.format('x')} AS h FROM top_rrf r JOIN qry ON qry.query_id = r.query_id JOIN (SELECT doc_id, text AS x FROM documents) d ON d.doc_id = r.node_id))) WHERE rank <= 5"))
 def t03_rerank(spark, sf_dir):
-    hits = hybrid.retrieve(spark, sf_dir).select("query_id", "node_id")
-    return ranking.top_k(_rerank_by_coverage(spark, sf_dir, hits), 5).select("query_id", "node_id", "score", "rank")
+    hits = hybrid.fused(spark, sf_dir).select("query_id", "node_id")
+    return ranking.top_k(hybrid.by_coverage(spark, sf_dir)(hits), 5).select("query_id", "node_id", "score", "rank")

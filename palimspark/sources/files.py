@@ -24,17 +24,28 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file_name"), relative.alias("source_path")).withColumn("doc_group", F.split("source_path", "/")[0])
 
 
+#: From a fence line to the next line that starts like one; a byte-order mark, any line end and spaces around fences are allowed.
+FENCED = r"(?s)\A\uFEFF*---[ \t]*(?:\r\n|\n|\r)(.*?)(?:(?<=[\r\n])[ \t]*---[^\r\n]*)(?:\r\n|\n|\r|\z)"
+
+
 def front_matter(text: Column) -> Column:
-    """The ``key: value`` lines between the fences as a map; without a closing fence there is none."""
-    block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
-    lines = F.filter(F.split(block, "\n"), lambda line: line.rlike(r"^[^:\s][^:]*:"))
-    pairs = F.transform(lines, lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(line, r"^[^:]*:", ""), '^\\s*"|"\\s*$', "")).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))  # of repeated keys the last counts
+    """The ``key: value`` lines between the fences as a map; without a closing fence there is none.
+
+    Lines that start with # and lines without a colon don't count; quotes around a value go; of repeated keys the last counts.
+    """
+    block = F.regexp_extract(text, FENCED, 1)
+    lines = F.transform(F.split(block, r"\r\n|\n|\r", -1), lambda line: F.trim(line))
+    lines = F.filter(lines, lambda line: ~line.startswith("#") & line.rlike(r"^[^:]*\S[^:]*:"))
+    value = lambda line: F.regexp_replace(F.regexp_replace(line, r"^[^:]*:\s*|\s+$", ""), "^['\"]+|['\"]+$", "")
+    pairs = F.transform(lines, lambda line: F.struct(F.trim(F.substring_index(line, ":", 1)).alias("k"), value(line).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
 
 
 def body(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
+    """What follows the front matter, line ends made plain and white space before it taken off; all of a text without any."""
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, FENCED, ""), r"\r\n|\r", "\n"), r"\A\s+", "")
+    return F.when(text.rlike(FENCED), rest).otherwise(text)
 
 
 def status_of(meta: Column) -> Column:
@@ -78,7 +89,8 @@ def freeze(items: DataFrame, path: str, key: str, seed: str) -> DataFrame:
     """Write an evaluation set once (an existing one is never replaced) and return its manifest."""
     items.write.mode("errorifexists").json(f"{path}/items")
     line = F.to_json(F.struct(*sorted(items.columns)))
-    digest = items.select(F.col(key).cast("string").alias("k"), F.sha2(line, 256).alias("h"))
-    whole = digest.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k", "h")).alias("content")).withColumn("seed", F.lit(seed))
+    digest = items.select(F.concat_ws(":", F.col(key).cast("string"), F.sha2(line, 256)).alias("h"))
+    # An evaluation set is a bounded, hand-sized table: its digests, sorted, make one.
+    whole = digest.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("content")).withColumn("seed", F.lit(seed))
     whole.write.mode("errorifexists").json(f"{path}/manifest")
     return whole
