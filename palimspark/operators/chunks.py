@@ -31,14 +31,17 @@ def windows(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     return rows.select("doc_id", "text", "start", cut.alias("cut"))
 
 
-def chunks(docs: DataFrame, most: int, overlap: int, least: int = 50) -> DataFrame:
-    """(doc_id, child_index, child_total, text, overlap_prev): windows with short pieces merged into the one before.
-
-    A short piece joins its predecessor where both fit into twice ``most``. The fold runs inside each document's row.
-    """
-    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    pieces = windows(docs, most, overlap).select("doc_id", F.struct("start", trim(F.substring("text", F.col("start") + 1, F.col("cut") - F.col("start"))).alias("text")).alias("w"))
-    lists = pieces.filter(F.length("w.text") > 0).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["text"]).alias("parts"))
+def pieces(text: Column, most: int, overlap: int, least: int = 50) -> Column:
+    """The trimmed windows of a text, short ones merged into the one before where both fit into twice ``most``."""
+    step, n = window_step(most, overlap), F.length(text)
+    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
+    looked = F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring(text, s + step + 1, F.greatest(F.least(s + most, n) - s - step, F.lit(0))).alias("w")))
+    turned = F.transform(looked, lambda x: F.struct(x["s"].alias("s"), F.length(x["w"]).alias("m"), F.reverse(x["w"]).alias("r")))
+    ends = lambda x: F.greatest(*(F.when(F.instr(x["r"], e) > 0, x["m"] - F.instr(x["r"], e) + 1) for e in ENDERS), F.lit(-1))
+    best = F.transform(turned, lambda x: F.struct(x["s"].alias("s"), ends(x).alias("best")))
+    cut = lambda x: F.when(n <= most, n).when(x["best"] > 0, step + x["best"]).otherwise(F.least(x["s"] + most, n) - x["s"])
+    parts = F.transform(best, lambda x: F.regexp_replace(F.substring(text, x["s"] + 1, cut(x)), r"(?U)^\s+|\s+$", ""))
+    parts = F.filter(parts, lambda p: F.length(p) > 0)
 
     def fold(done: Column, part: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
@@ -46,10 +49,14 @@ def chunks(docs: DataFrame, most: int, overlap: int, least: int = 50) -> DataFra
         merged = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), part)))
         return F.when(joins, merged).otherwise(F.concat(done, F.array(part)))
 
-    folded = lists.withColumn("parts", F.aggregate("parts", F.array().cast("array<string>"), fold))
-    rows = folded.select("doc_id", F.size("parts").alias("child_total"), F.posexplode("parts").alias("child_index", "text"))
-    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("child_index"))
-    return rows.withColumn("overlap_prev", F.coalesce(F.right(before, F.lit(overlap)), F.lit("")))
+    return F.aggregate(parts, F.array().cast("array<string>"), fold)
+
+
+def chunks(docs: DataFrame, most: int, overlap: int, least: int = 50) -> DataFrame:
+    """(doc_id, child_index, child_total, text, overlap_prev) of (doc_id, text): the pieces of each text, cut and merged inside its row."""
+    cut = docs.filter(F.length(F.trim("text")) > 0).select("doc_id", pieces(F.col("text"), most, overlap, least).alias("parts"))
+    rows = F.transform("parts", lambda p, i: F.struct(p.alias("text"), F.when(i > 0, F.right(F.get("parts", i - 1), F.lit(overlap))).otherwise("").alias("overlap_prev")))
+    return cut.select("doc_id", F.size("parts").alias("child_total"), F.posexplode(rows).alias("child_index", "c")).select("doc_id", "child_index", "child_total", "c.text", "c.overlap_prev")
 
 
 def sections(docs: DataFrame) -> DataFrame:

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimspark.operators.ranking import rerank_by_currency
+
 
 def result_lists(hits: DataFrame) -> DataFrame:
     """One row per query: its nodes in order of rank (at most k, the list's length)."""
     return hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
 
 
-def judged() -> Column:
-    """Verdict by judge_type over nodes, expected, expected_set, top_status, want_status and gate_passed; null: skipped."""
+def judged(article_nodes: Column | None = None) -> Column:
+    """Verdict by judge_type over nodes, expected, expected_set, top_status, want_status and gate_passed; null: skipped.
+
+    ``article_nodes`` holds the nodes whose heading or text has the expected article. What only a generated answer can show
+    (how it words an unknown validity) is skipped, as unknown types are.
+    """
+    with_article = F.array().cast("array<bigint>") if article_nodes is None else article_nodes
     place = F.array_position("nodes", F.col("expected"))
     both = F.size(F.array_intersect("nodes", "expected_set"))
     return (
         F.when(F.col("judge_type") == "source_recall", place > 0)
+        .when(F.col("judge_type") == "file_and_article", (place > 0) & F.array_contains(with_article, F.col("expected")))
+        .when(F.col("judge_type") == "higher_wins", place > 0)
         .when(F.col("judge_type") == "multi_source", both >= 2)
         .when(F.col("judge_type") == "version_set", both >= 2)
         .when(F.col("judge_type") == "first", place == 1)
@@ -41,3 +50,19 @@ def compared(card: DataFrame, base: str, other: str) -> DataFrame:
 
 def remaining(todo: DataFrame, done: DataFrame) -> DataFrame:
     return todo.join(done, ["id", "config"], "left_anti")
+
+
+def evaluated(hits: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The scorecard of one retrieval under two configurations: as it is ('off') and reordered by validity ('on').
+
+    ``hits`` is what ``rerank_by_currency`` takes, ``items`` what ``judged`` takes and query_id and category. Items without
+    a hit are judged on an empty list.
+    """
+    best = hits.filter(F.col("rank") <= k)
+    again = rerank_by_currency(best).drop("rank").withColumnRenamed("new_rank", "rank")
+    both = best.withColumn("config", F.lit("off")).select("config", "query_id", "node_id", "rank", "status_code").unionByName(again.withColumn("config", F.lit("on")).select("config", "query_id", "node_id", "rank", "status_code"))
+    nodes = F.transform(F.sort_array(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"])  # at most k
+    lists = both.groupBy("config", "query_id").agg(nodes.alias("nodes"), F.min_by("status_code", "rank").alias("top_status"))
+    asked = items.withColumn("config", F.explode(F.array(F.lit("off"), F.lit("on"))))
+    rows = asked.join(lists, ["config", "query_id"], "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
+    return scorecard(rows.withColumn("passed", judged()))

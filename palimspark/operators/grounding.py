@@ -37,6 +37,15 @@ def grounding_report(support: DataFrame) -> DataFrame:
     return support.groupBy("query_id", "answer_id").agg(F.count("*").alias("n_sentences"), F.round(share, 6).alias("unsupported"), (share <= MAX_UNSUPPORTED).alias("passed"))
 
 
+def verified_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per answer (query_id, answer_id, text): its grounding without Markdown scaffolding, and what must be redacted in it."""
+    plain = answers.withColumn("text", T.without_scaffolding(F.col("text")))
+    report = grounding_report(best_support(plain, evidence))
+    found = answers.select("query_id", "answer_id", T.redactions(F.col("text")).alias("redactions"), F.md5(T.redacted(F.col("text"))).alias("clean_md5"))
+    unsaid = F.coalesce("n_sentences", F.lit(0))
+    return found.join(report, ["query_id", "answer_id"], "left").withColumns({"n_sentences": unsaid, "passed": F.coalesce("passed", F.lit(False))})
+
+
 def overlap_ratio(pairs: DataFrame) -> DataFrame:
     """Per answer: chunks with a run of 12 characters in it, over at most three, at most 1.
 

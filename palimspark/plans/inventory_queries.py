@@ -150,7 +150,15 @@ def f13_windows(spark, sf_dir):
     return rows.select("doc_id", "start", "cut", F.md5(F.substring("text", F.col("start") + 1, F.col("cut") - F.col("start"))).alias("piece"))
 
 
-@query()
+_TRIMMED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_LAST = "a[len(a)]"
+_PIECES = f"""SELECT doc_id, list_reduce(list_transform(parts, lambda x: [x]), lambda a, b: CASE WHEN length(b[1]) < 50 AND length({_LAST}) + 1 + length(b[1]) <= {2 * _MOST}
+  THEN list_append(a[1 : len(a) - 1], {_LAST} || chr(10) || b[1]) ELSE list_concat(a, b) END) AS parts
+ FROM (SELECT doc_id, list(piece ORDER BY start) AS parts FROM (SELECT doc_id, start, {_TRIMMED.format("substr(text, start + 1, cut - start)")} AS piece FROM ({_WINDOWS})) WHERE length(piece) > 0 GROUP BY doc_id)"""
+
+
+@query(f"""SELECT doc_id, CAST(i - 1 AS INT) AS child_index, CAST(len(parts) AS INT) AS child_total, parts[i] AS text, CASE WHEN i > 1 THEN right(parts[i - 1], {_OVER}) ELSE '' END AS overlap_prev
+FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM ({_PIECES}))""")
 def w03_chunks(spark, sf_dir):
     return C.chunks(V.table(spark, sf_dir, "documents"), _MOST, _OVER)
 
@@ -178,13 +186,13 @@ def a16_top_groups(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
-_TERMS = "SELECT lower(left(line, 40)) AS term, CASE WHEN pos = 1 THEN 50 ELSE 5 END AS weight FROM (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)"
+_TERMS = "SELECT lower(line) AS term, CASE WHEN pos = 1 THEN 50 ELSE 5 END AS weight FROM (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)"
 
 
 @query(f"SELECT term, CAST(sum(weight) AS BIGINT) AS freq FROM ({_TERMS}) WHERE length(term) BETWEEN 2 AND 40 AND NOT regexp_matches(term, '[?!0-9|%#]') AND term NOT IN ('of.', 'les.') GROUP BY term HAVING sum(weight) >= 10 ORDER BY freq DESC, term LIMIT 500")
 def a06_term_mining(spark, sf_dir):
     lines = V.table(spark, sf_dir, "documents").select(F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    terms = lines.select(F.lower(F.left("line", F.lit(40))).alias("term"), F.when(F.col("pos") == 0, 50).otherwise(5).alias("weight"))
+    terms = lines.select(F.lower("line").alias("term"), F.when(F.col("pos") == 0, 50).otherwise(5).alias("weight"))
     clean = terms.filter(F.length("term").between(2, 40) & ~F.col("term").rlike("[?!0-9|%#]") & ~F.col("term").isin("of.", "les."))
     return clean.groupBy("term").agg(F.sum("weight").alias("freq")).filter("freq >= 10").orderBy(F.desc("freq"), "term").limit(500)
 

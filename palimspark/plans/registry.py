@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimspark.plans import grounding_queries, hybrid, inventory_queries, log_queries, more_queries, retrieval_queries, text_queries
+from palimspark.plans import grounding_queries, hybrid, inventory_queries, log_queries, more_queries, retrieval_queries, statute_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [text_queries, retrieval_queries, inventory_queries, log_queries, grounding_queries, more_queries]
+MODULES = [text_queries, retrieval_queries, inventory_queries, log_queries, grounding_queries, more_queries, statute_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

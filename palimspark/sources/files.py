@@ -78,6 +78,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
     return spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def read_run_log(spark: SparkSession, path: str, run_fields: str, step_fields: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and steps of JSON lines that mix both: ``_type`` is 'run' or 'step', other kinds and bad lines are left out."""
+    names = lambda fields: [f.split()[0] for f in fields.split(",")]
+    extra = ", ".join(f for f in step_fields.split(",") if f.split()[0] not in names(run_fields))
+    rows = read_json_lines(spark, path, f"_type string, {run_fields}" + (f", {extra}" if extra else ""), strict=False)
+    return rows.filter("_type = 'run'").select(*names(run_fields)), rows.filter("_type = 'step'").select(*names(step_fields))
+
+
 def write_trace(hits: DataFrame, path: str, stage: str) -> None:
     """Candidate lists as trace lines by day: the five best in brief, never their texts."""
     brief = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rank", "node_id", "score"))), lambda h: F.struct(h["node_id"].alias("node_id"), F.round(h["score"], 4).alias("score"))), 1, 5)
