@@ -152,8 +152,8 @@ xvector AS (SELECT * FROM (SELECT *, {_BEST} FROM (SELECT * FROM near SEMI JOIN
 gate AS (SELECT query_id, max(score) AS best FROM xvector GROUP BY query_id HAVING max(score) >= 0.3),
 xfused AS (SELECT query_id, node_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, node_id, rank FROM xlexical UNION ALL SELECT query_id, node_id, rank FROM xvector) SEMI JOIN gate USING (query_id) GROUP BY ALL),
 wide AS (SELECT * FROM (SELECT *, {_BEST} FROM xfused) WHERE rank <= {WIDE_K}),
-covered AS (SELECT query_id, node_id, best, wide.score AS fused, CASE WHEN text IS NULL OR len(g) = 0 THEN 0.0 ELSE round(len(list_intersect(g, h)) / len(g), 6) END AS cover
-  FROM (SELECT wide.*, best, text, {_GRAMS.format("q")} AS g, {_GRAMS.format("text")} AS h FROM wide JOIN gate USING (query_id) JOIN qry USING (query_id) LEFT JOIN documents ON doc_id = node_id) wide),
+covered AS (SELECT query_id, node_id, best, score AS fused, CASE WHEN text IS NULL OR len(g) = 0 THEN 0.0 ELSE round(len(list_filter(g, lambda x: contains(text, x))) / len(g), 6) END AS cover
+  FROM (SELECT wide.*, best, text, {_GRAMS.format("q")} AS g FROM wide JOIN gate USING (query_id) JOIN qry USING (query_id) LEFT JOIN (SELECT doc_id, text FROM documents) d ON doc_id = node_id)),
 chosen AS (SELECT * FROM (SELECT query_id, node_id, score, {_BEST} FROM (SELECT query_id, node_id, CASE WHEN best >= 0.45 THEN cover ELSE fused END AS score FROM covered)) WHERE rank <= {TOP_K}),
 adjusted AS (SELECT query_id, node_id, rank, round(score + CASE WHEN asks_status THEN CASE WHEN status_code = 4 THEN 0.1 ELSE 0.0 END ELSE CASE status_code WHEN 3 THEN 0.05 WHEN 2 THEN -0.1 WHEN 4 THEN -0.15 WHEN 1 THEN -0.25 ELSE 0.0 END END, 6) AS score
   FROM chosen JOIN asked USING (query_id) LEFT JOIN nodes USING (node_id))

@@ -163,7 +163,7 @@ def u01_union_of_branches(spark, sf_dir):
 _G3 = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) ELSE [] END"
 
 
-@query(with_ctes(f"SELECT query_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / len(g) END, 6) AS score FROM (SELECT r.query_id, r.node_id, {_G3.format('q')} AS g, {_G3.format('x')} AS h FROM top_rrf r JOIN qry ON qry.query_id = r.query_id JOIN (SELECT doc_id, text AS x FROM documents) d ON d.doc_id = r.node_id))) WHERE rank <= 5"))
+@query(with_ctes(f"SELECT query_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_filter(g, lambda t: contains(x, t))) / len(g) END, 6) AS score FROM (SELECT r.query_id, r.node_id, {_G3.format('q')} AS g, x FROM top_rrf r JOIN qry ON qry.query_id = r.query_id JOIN (SELECT doc_id, text AS x FROM documents) d ON d.doc_id = r.node_id))) WHERE rank <= 5"))
 def t03_rerank(spark, sf_dir):
     hits = hybrid.fused(spark, sf_dir).select("query_id", "node_id")
     return ranking.top_k(hybrid.by_coverage(spark, sf_dir)(hits), 5).select("query_id", "node_id", "score", "rank")

@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a folder of this process only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/palimspark-{os.getpid()}"
+    """A fresh path below ``spark.checkpoint.dir``; in local mode, where that is unset, below a folder of this process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/palimspark-{os.getpid()}"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
