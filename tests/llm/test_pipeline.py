@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from llm.test_dedup import edited
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -52,9 +53,10 @@ def test_empty_tables(spark, make_docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
-def test_the_rest_stands_without_these_operators(tmp_path):
+@pytest.mark.parametrize("gone", [True, False])
+def test_the_rest_stands_without_these_operators(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *(["corpus_pipeline.py"] if gone else [])))
     code = "import __spark_entry__ as e; names = e.queries(); assert 'pipeline' not in names and not any(n.startswith('op') for n in names) and len(names) > 100; assert set(e.oracle_sql()) <= set(names)"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert done.returncode == 0, done.stderr

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
+import zstandard
 from llm.conftest import ODD
 from pyspark.sql import functions as F
 
@@ -155,3 +157,33 @@ def test_toxicity_held_out_accuracy(spark, make_docs):
     kept = toxicity.without_toxic(docs, table)
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in rows)
     assert {r["score"] for r in toxicity.judge_toxicity(docs, table.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_scores_equal_a_plain_computation(spark, make_docs):
+    """Lengths under both dictionaries, window by window, and the curve, worked out without Spark and without the operator's code."""
+    rng = np.random.default_rng(9)
+    common = [f"lorem{i}" for i in range(200)]
+    texts = [" ".join([*rng.choice(common, 40), *(["grobnik", "vutzle"] if i % 4 == 0 else [])]) for i in range(400)]
+    odd = ["", None, "x", "grobnik " * 3000, "Ärger grobnik\nvutzle " * 5, "a" * 500]
+    docs = make_docs([*texts, *odd, (3, texts[3])])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def size(dictionary, window):
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    def score(text):
+        raw, gains = (text or "").lower().encode(), []
+        while raw:
+            end = raw.find(b" ", 32, 64) if len(raw) > 32 else len(raw)
+            end = end if end > 0 else 64
+            gains.append(size(model.ordinary, raw[:end]) - size(model.toxic, raw[:end]))
+            raw = raw[end:]
+        x = [max(-10**9, min(max(gains), 9)) if gains else 0, *(math.log(1 + sum(g >= k for g in gains)) for k in (3, 4, 5, 6, 7)), math.log(1 + len(gains))]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        return 1 / (1 + math.exp(-max(-500, min(500, z))))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.judge_toxicity(docs, labels).collect()}
+    chosen = {**dict(enumerate(texts[:40])), **{400 + i: t for i, t in enumerate(odd)}}
+    assert all(abs(got[i] - score(t)) < 1e-9 for i, t in chosen.items())
