@@ -113,18 +113,16 @@ def f04_sentences(spark, sf_dir):
 
 _BARE = "regexp_replace({}, '\\s+', '', 'g')"
 _GRAMS = "CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) < 3 THEN [{0}] ELSE list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) END"
-_PAIRS_SQL = "SELECT a.doc_id, left(a.text, 300) AS x, left(b.text, 300) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
+_PAIRS_SQL = "SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0 ELSE round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) END AS similarity
 FROM (SELECT doc_id, {_GRAMS.format("p")} AS g, {_GRAMS.format("q")} AS h FROM (SELECT doc_id, {_BARE.format("x")} AS p, {_BARE.format("y")} AS q FROM ({_PAIRS_SQL})))""")
 def f07_ngram_jaccard(spark, sf_dir):
-    return _neighbours(spark, sf_dir).select("doc_id", F.round(T.jaccard(T.char_ngrams(F.col("x")), T.char_ngrams(F.col("y"))), 6).alias("similarity"))
-
-
-def _neighbours(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", T.bare(F.substring("text", 1, 300)).alias("t"))
-    return docs.select("doc_id", F.col("t").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("y")), "doc_id")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", T.bare(F.col("text")).alias("t"))
+    grams = docs.select("doc_id", T.char_ngrams(F.col("t")).alias("g"))
+    pairs = grams.withColumnRenamed("g", "x").join(grams.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("y")), "doc_id")
+    return pairs.select("doc_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 _TURNS_SQL = "SELECT a.conv_id, a.turn, a.text AS s, b.text AS c FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1"
