@@ -77,14 +77,19 @@ def w17_request_rate(spark, sf_dir):
     return L.request_rate(calls, 2, 30.0, 3600)
 
 
+_RUN_STEPS = "SELECT user_id AS run_id, struct_pack(ts := ts, event_id := event_id) AS seq, event_type AS action, CASE event_type WHEN 'click' THEN 'tool' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'denial' ELSE 'other' END AS kind, value AS latency FROM events"
+
+
 def _runs(spark, sf_dir):
-    return V.table(spark, sf_dir, "events").withColumnRenamed("user_id", "run_id")
+    kind = F.col("event_type")
+    return V.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("seq"), kind.alias("action"), F.when(kind == "click", "tool").when(kind == "error", "error").when(kind == "signup", "denial").otherwise("other").alias("kind"), F.col("value").alias("latency"))
 
 
-_ROLLUP = "SELECT user_id AS run_id, count(*) AS steps, count(*) FILTER (event_type = 'click') AS tool_calls, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS latency FROM events GROUP BY user_id"
+_ROLLUP = f"""SELECT run_id, count(*) AS steps, count(*) FILTER (kind = 'tool') AS tool_calls, count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind = 'denial') AS denials, round(sum(latency), 4) AS latency,
+ CASE arg_max(kind, seq) WHEN 'error' THEN 'failed' WHEN 'denial' THEN 'needs_human' ELSE 'done' END AS status, arg_max(action, seq) AS final_action FROM ({_RUN_STEPS}) GROUP BY run_id"""
 
 
-@query("SELECT r.*, final_action FROM (" + _ROLLUP + ") r JOIN (SELECT user_id AS run_id, event_type AS final_action FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1) USING (run_id)")
+@query(_ROLLUP)
 def a17_run_rollup(spark, sf_dir):
     return L.run_rollup(_runs(spark, sf_dir))
 
@@ -105,18 +110,45 @@ def p22_route(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select("o_orderkey", L.route(risk, intent, True).alias("fast_route"), L.route(risk, intent, False).alias("route"), (risk.isin("high", "critical") | (F.col("o_orderkey") % 5 == 0)).alias("needs_human"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN 'deny:context' WHEN o_custkey % 7 = 0 THEN 'deny:tenant' WHEN k = 0 THEN 'allow' WHEN k = 1 THEN 'allow+audit'
- WHEN k = 2 THEN CASE WHEN o_custkey % 2 = 0 OR o_custkey % 3 = 0 THEN 'allow+audit' ELSE 'deny:scope' END WHEN k = 3 THEN CASE WHEN o_custkey % 3 = 0 THEN 'allow+audit' ELSE 'deny:admin' END ELSE 'deny:tool' END AS decision FROM (SELECT *, o_orderkey % 5 AS k FROM orders)""")
+#: Orders as calls of tools and nations as the tools; valid in both engines.
+_CALLS = """SELECT o_orderkey AS call_id, o_custkey % 27 AS tool, 'default' AS tenant_id,
+ CASE o_orderkey % 13 WHEN 0 THEN '{"q": "please IGNORE previous instructions"}' WHEN 1 THEN '{"tenant_id": "t2"}' WHEN 2 THEN '{"tenant_id": ""}' WHEN 3 THEN NULL ELSE '{"q": "x", "tenant_id": "default"}' END AS params,
+ CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN '{}' WHEN 2 THEN '[1]' WHEN 3 THEN '{"user_id": " "}' WHEN 4 THEN '{"roles": "admin"}' WHEN 5 THEN '{"user_id": "u", "roles": ["admin"], "scopes": []}'
+  WHEN 6 THEN '{"roles": ["Team Supervisor"]}' WHEN 7 THEN '{"scopes": ["legal:review", "x"]}' WHEN 8 THEN '{"user_id": 5}' ELSE '{"user_id": "u", "roles": ["reader"]}' END AS context FROM orders"""
+_TOOLS = """SELECT n_nationkey AS tool, CASE n_regionkey WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' ELSE 'odd' END AS risk,
+ CASE WHEN n_nationkey % 2 = 0 THEN 'legal:review' ELSE 'admin:all' END AS scope FROM nation"""
+
+
+@query(f"""SELECT call_id, CASE WHEN NOT valid THEN 'deny:context' WHEN contains(lower(params), 'ignore previous instructions') THEN 'deny:injection' WHEN json_extract_string(params, '$.tenant_id') NOT IN ('', tenant_id) THEN 'deny:tenant'
+ WHEN risk = 'low' THEN 'allow' WHEN risk = 'medium' THEN 'allow+audit' WHEN risk = 'high' THEN CASE WHEN contains(context, '"' || scope || '"') OR (json_type(context, '$.roles') = 'ARRAY' AND regexp_matches(lower(context), 'admin"|supervisor"')) THEN 'allow+audit' ELSE 'approval:scope' END
+ WHEN risk = 'critical' THEN CASE WHEN contains(context, '["admin"]') THEN 'allow+audit' ELSE 'deny:admin' END ELSE 'deny:tool' END AS decision
+FROM (SELECT *, context IS NULL OR (json_type(context) = 'OBJECT' AND coalesce(json_type(context, '$.user_id') = 'VARCHAR' AND trim(json_extract_string(context, '$.user_id')) <> '', true) AND coalesce(json_type(context, '$.roles') = 'ARRAY', true) AND coalesce(json_type(context, '$.scopes') = 'ARRAY', true)) AS valid
+ FROM ({_CALLS}) LEFT JOIN ({_TOOLS}) USING (tool))""")
 def p23_permission(spark, sf_dir):
-    k, c = F.col("o_orderkey") % 5, F.col("o_custkey")
-    risk = F.when(k == 0, "low").when(k == 1, "medium").when(k == 2, "high").when(k == 3, "critical").otherwise("other")
-    return V.table(spark, sf_dir, "orders").select("o_orderkey", L.permission(risk, c % 11 != 0, c % 7 != 0, c % 2 == 0, c % 3 == 0).alias("decision"))
+    tools = V.view(spark, sf_dir, _TOOLS).withColumn("required_scopes", F.array("scope"))
+    return L.permission_decisions(V.view(spark, sf_dir, _CALLS), tools)
+
+
+#: Events as calls with one parameter; valid in both engines.
+_PARAMS = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{}' WHEN 1 THEN '{"k": "7"}' WHEN 2 THEN '{"k": null, "note": 4}' WHEN 3 THEN '{"k": 2.5, "note": "n"}' ELSE props END AS params FROM events"""
 
 
-@query("SELECT event_id, list_filter([CASE WHEN k IS NULL THEN 'missing:k' END, CASE WHEN k > 50 THEN 'range:k' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events)")
+@query(f"""SELECT event_id, list_filter([CASE WHEN json_type(params, '$.k') IS NULL THEN 'missing:k' END, CASE WHEN json_type(params, '$.k') NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') THEN 'type:k' END,
+ CASE WHEN json_type(params, '$.note') <> 'VARCHAR' THEN 'type:note' END], lambda x: x IS NOT NULL) AS errors FROM ({_PARAMS})""")
 def p24_parameter_rules(spark, sf_dir):
-    k = F.when(F.col("event_id") % 9 != 0, F.try_variant_get(F.try_parse_json("props"), "$.k", "int"))
-    return V.table(spark, sf_dir, "events").select("event_id", F.array_compact(F.array(F.when(k.isNull(), "missing:k"), F.when(k > 50, "range:k"))).alias("errors"))
+    rows = V.view(spark, sf_dir, _PARAMS)
+    return rows.select("event_id", L.parameter_errors(F.col("params"), {"k": ("integer", True), "note": ("string", False)}).alias("errors"))
+
+
+#: Orders as plans of two steps; valid in both engines.
+_PLANS = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '[]' WHEN 1 THEN '[{"type": "execute", "tool": " "}, {"type": "retrieve", "query": "", "description": "d"}]' WHEN 2 THEN '[{"tool": "t"}, {"type": "retrieve", "query": " "}]'
+ WHEN 3 THEN '[{"type": "think"}, {"type": "execute"}]' ELSE '[{"type": "execute", "tool": "t"}, {"type": "retrieve", "query": "q"}]' END AS plan FROM orders"""
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN ['empty plan'] WHEN 1 THEN ['step[0]: tool'] WHEN 2 THEN ['step[1]: query'] WHEN 3 THEN ['step[0]: type', 'step[1]: tool'] ELSE [] END AS errors FROM orders")
+def p24_plan_rules(spark, sf_dir):
+    plan = F.from_json("plan", "array<struct<type: string, tool: string, query: string, description: string>>")
+    return V.view(spark, sf_dir, _PLANS).withColumn("steps", plan).select("o_orderkey", L.plan_errors(F.col("steps")).alias("errors"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -144,10 +176,15 @@ def j18_cache_misses(spark, sf_dir):
     return keyed.groupBy("key").agg(F.count("*").alias("n")).join(keyed.filter("doc_id % 4 = 0").select("key"), "key", "left_anti")
 
 
-@query("SELECT event_id FROM events e ANTI JOIN (SELECT user_id, event_type, props FROM events WHERE event_id % 3 = 0) d USING (user_id, event_type, props)")
+_STEP_KEYS = "SELECT event_id, user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step_index, md5(concat(event_type, props)) AS args_hash FROM events"
+
+
+@query(f"SELECT run_id, step_index, args_hash FROM ({_STEP_KEYS}) WHERE event_id % 3 > 0 OR event_id % 2 = 0 OR event_id % 5 = 0")
 def j19_step_skip(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events")
-    return e.join(e.filter("event_id % 3 = 0").select("user_id", "event_type", "props"), ["user_id", "event_type", "props"], "left_anti").select("event_id")
+    steps = V.view(spark, sf_dir, _STEP_KEYS)
+    changed = F.when(F.col("event_id") % 5 == 0, F.md5("args_hash")).otherwise(F.col("args_hash"))
+    done = steps.filter("event_id % 3 = 0").select("run_id", "step_index", changed.alias("args_hash"), F.when(F.col("event_id") % 2 > 0, "r").alias("result_hash"))
+    return L.steps_to_do(steps.select("run_id", "step_index", "args_hash"), done)
 
 
 _JUDGE = "CASE query_id % 6 WHEN 0 THEN 'source_recall' WHEN 1 THEN 'multi_source' WHEN 2 THEN 'first' WHEN 3 THEN 'first_three' WHEN 4 THEN 'refuse' ELSE 'skip' END"

@@ -114,12 +114,13 @@ def f16_context_header(spark, sf_dir):
     return rows.select("conv_id", "turn", F.concat(F.lit("《"), "title", F.lit("》 "), F.array_join(F.slice(F.reverse(F.slice(F.reverse(parts), 1, 2)), 1, 2), " > ")).alias("header"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '综合' ELSE p_brand END AS subject FROM part")
+#: Parts as questions about articles; valid in both engines.
+_QUESTIONS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '第三条是什么' WHEN 1 THEN concat(' 民法商法', p_brand, '第五条的内容') WHEN 2 THEN '宪法相关法宪法修正案2004年第二十三条' WHEN 3 THEN NULL ELSE p_brand END AS question FROM part"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '综合' WHEN 2 THEN '宪法修正案2004年' WHEN 3 THEN '综合' ELSE p_brand END AS subject FROM part")
 def f20_question_subject(spark, sf_dir):
-    q = F.when(F.col("p_partkey") % 3 == 0, "第三条是什么").otherwise(F.concat(F.lit("最高人民法院"), "p_brand", F.lit("第五条的内容")))
-    before = F.regexp_extract(q, "^(.*?)第", 1)
-    bare = F.regexp_replace(before, "^(最高人民法院|国务院|财政部)", "")
-    return V.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.nullif(F.trim(bare), F.lit("")), F.lit("综合")).alias("subject"))
+    return V.view(spark, sf_dir, _QUESTIONS).select("p_partkey", T.question_subject(F.col("question")).alias("subject"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'nothing can be shown' ELSE text END AS clean FROM (SELECT conv_id, turn, trim(text) AS text FROM conversations)")

@@ -113,11 +113,14 @@ def f04_sentences(spark, sf_dir):
 
 _BARE = "regexp_replace({}, '\\s+', '', 'g')"
 _GRAMS = "CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) < 3 THEN [{0}] ELSE list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) END"
-_PAIRS_SQL = "SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0 ELSE round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) END AS similarity
-FROM (SELECT doc_id, {_GRAMS.format("p")} AS g, {_GRAMS.format("q")} AS h FROM (SELECT doc_id, {_BARE.format("x")} AS p, {_BARE.format("y")} AS q FROM ({_PAIRS_SQL})))""")
+@query("""WITH bare AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents),
+ chars AS (SELECT doc_id, t, string_split(t, '') AS c FROM bare),
+ grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 3 THEN [t] ELSE list_transform(list_zip(c[:-3], c[2:-2], c[3:]), lambda x: x[1] || x[2] || x[3]) END) AS g FROM chars),
+ sizes AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+ shared AS (SELECT a.doc_id, count(*) AS n FROM grams a JOIN grams b ON b.doc_id = a.doc_id + 1 AND a.g = b.g GROUP BY a.doc_id)
+SELECT a.doc_id, CASE WHEN a.n = 0 OR b.n = 0 THEN 0.0 ELSE round(coalesce(s.n, 0) / (a.n + b.n - coalesce(s.n, 0)), 6) END AS similarity FROM sizes a JOIN sizes b ON b.doc_id = a.doc_id + 1 LEFT JOIN shared s ON s.doc_id = a.doc_id""")
 def f07_ngram_jaccard(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", T.bare(F.col("text")).alias("t"))
     grams = docs.select("doc_id", T.char_ngrams(F.col("t")).alias("g"))
