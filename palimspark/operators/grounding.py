@@ -100,6 +100,25 @@ def citation_hits(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     return met.groupBy("doc_id").agg(F.count("article").alias("total"), F.count_if(hit).alias("hits")).withColumn("precision", F.when(F.col("total") > 0, F.round(F.col("hits") / F.col("total"), 6)))
 
 
+def precision_by_model(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per model of answers (doc_id, model, text, latency): answers, median and mean latency, mean precision of articles and of
+    items against the evidence (doc_id, context), and answers that cite an item at all.
+
+    An answer without citations, or without items, has no precision and counts for no mean. An item is found where the
+    evidence has its number in brackets or between 第 and its kind.
+    """
+    held = evidence.select("doc_id", normalised(F.col("context")).alias("context"))
+    number = F.col("item").cast("string")
+    named = F.contains("context", F.concat(F.lit("第"), F.col("article").cast("string"), F.lit("条")))
+    itemised = F.contains("context", F.concat(F.lit("（"), number, F.lit("）"))) | F.contains("context", F.concat(F.lit("第"), number, "kind"))
+    met = citations(answers).join(held, "doc_id", "left")
+    counts = met.groupBy("doc_id").agg((F.count_if(named) / F.nullif(F.count("article"), F.lit(0))).alias("_articles"), (F.count_if(itemised) / F.nullif(F.count("item"), F.lit(0))).alias("_items"), F.count("item").alias("_n"))
+    rows = answers.select("doc_id", "model", "latency").join(counts, "doc_id", "left")
+    return rows.groupBy("model").agg(
+        F.count("*").alias("n"), F.round(F.percentile("latency", F.lit(0.5)), 2).alias("latency_p50"), F.round(F.avg("latency"), 2).alias("latency_mean"),
+        F.round(F.avg("_articles"), 6).alias("article_precision"), F.round(F.avg("_items"), 6).alias("item_precision"), F.count_if(F.col("_n") > 0).alias("cites_item"))
+
+
 def without_unsupported(text: Column, unsupported: Column, notice: str) -> Column:
     """The text without its unsupported sentences; the notice where nothing is left."""
     left = F.aggregate(unsupported, text, lambda t, s: F.trim(F.replace(t, s, F.lit(""))))

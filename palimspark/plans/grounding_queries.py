@@ -8,6 +8,7 @@ from palimspark.functions import text as T
 from palimspark.operators import grounding as G
 from palimspark.plans.text_queries import _BARE, _BOOST, _GRAMS
 from palimspark.sources import views as V
+from palimspark.storage import shared_path
 from palimspark.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -91,11 +92,24 @@ def j13_citation_hits(spark, sf_dir):
     return G.citation_hits(G.citations(texts), held)
 
 
+@query("""WITH said AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS article, list(CAST(l_quantity AS INT)) FILTER (l_linenumber % 2 = 1) OVER (PARTITION BY l_orderkey) AS held FROM lineitem),
+ answers AS (SELECT l_orderkey, count(*) FILTER (list_contains(held, article)) / count(*) AS articles, count(*) FILTER (l_linenumber % 3 = 0) AS n_items,
+  count(*) FILTER (l_linenumber % 3 = 0 AND list_contains(held, article)) / nullif(count(*) FILTER (l_linenumber % 3 = 0), 0) AS items FROM said GROUP BY l_orderkey)
+SELECT l_orderkey % 5 AS model, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 2) AS latency_p50, round(avg(o_totalprice), 2) AS latency_mean, round(avg(articles), 6) AS article_precision, round(avg(items), 6) AS item_precision,
+ count(*) FILTER (n_items > 0) AS cites_item FROM answers JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""")
+def a12_citation_precision(spark, sf_dir):
+    latency = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("latency"))
+    answers = _cited_texts(spark, sf_dir).join(latency, "doc_id").withColumn("model", F.col("doc_id") % 5)
+    odd = V.citations(spark, sf_dir).filter("l_linenumber % 2 = 1").groupBy(F.col("l_orderkey").alias("doc_id"))
+    place = F.concat(F.lit("第"), F.col("numeral"), F.lit("条第"), F.col("numeral"), F.lit("款"))
+    return G.precision_by_model(answers, odd.agg(F.concat_ws(" ", F.collect_list(place)).alias("context")))
+
+
 def _stream(spark, sf_dir):
     return J.events_stream(spark, f"{sf_dir}/events.parquet")
 
 
-@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type AS stage, count(*) AS n, count(*) FILTER (value > 50) AS slow, round(sum(value), 4) AS elapsed FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type AS stage, count(*) AS n, count(*) FILTER (value > 50) AS slow, round(avg(CAST(value > 50 AS INT)), 6) AS slow_share, quantile_disc(value, 0.5) AS p50, round(sum(value), 4) AS elapsed FROM events GROUP BY ALL")
 def r01_trace_monitor(spark, sf_dir):
     return J.finished(J.trace_monitor(_stream(spark, sf_dir), late="40 days"), ["window_start", "stage"])
 
@@ -118,4 +132,21 @@ def r05_activity_sessions(spark, sf_dir):
 
 @query("SELECT user_id AS run_id, event_type AS signature, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 3")
 def r07_loop_alarm(spark, sf_dir):
-    return J.finished(J.loop_alarm(_stream(spark, sf_dir).withColumn("signature", F.col("event_type"))), ["run_id", "signature", "event_id"], "append")
+    return J.finished(J.loop_alarm(_stream(spark, sf_dir).withColumn("signature", F.col("event_type")), late="400 days"), ["run_id", "signature", "event_id"], "append")
+
+
+@query("SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS user_turns, arg_max(text, turn) FILTER (role = 'user') AS last_user FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4 GROUP BY conv_id")
+def r04_session_memory(spark, sf_dir):
+    turns = J.table_stream(spark, f"{sf_dir}/conversations.parquet").withColumn("ts", F.timestamp_seconds(60 * (F.col("turn") + 1)))
+    return J.finished(J.session_memory(turns, 4), ["conv_id"])
+
+
+@query()
+def r09_late_data(spark, sf_dir):
+    """Events in four files by event_id, so that times start anew with each: what comes after its window has closed is dropped."""
+    rows = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    shuffled = shared_path(spark, "shuffled")
+    rows.repartition(4, "event_id").write.parquet(shuffled)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(shuffled)
+    closed, dropped = J.on_time(stream, "1 hour", "1 day")
+    return closed.withColumn("dropped", F.lit(dropped))

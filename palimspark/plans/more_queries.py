@@ -85,13 +85,6 @@ def a09_answer_scorecard(spark, sf_dir):
     return rows.groupBy("difficulty").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_passed"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("accuracy"))
 
 
-@query("SELECT model, round(avg(CASE WHEN cited > 0 THEN hit / cited END), 6) AS precision, quantile_cont(latency, 0.5) AS p50, round(avg(latency), 6) AS mean FROM (SELECT l_suppkey % 5 AS model, l_orderkey, count(*) FILTER (l_linenumber % 2 = 0) AS cited, count(*) FILTER (l_linenumber % 4 = 0) AS hit, max(l_quantity) AS latency FROM lineitem GROUP BY ALL) GROUP BY model")
-def a12_citation_precision(spark, sf_dir):
-    n = F.col("l_linenumber")
-    runs = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("model"), "l_orderkey").agg(F.count_if(n % 2 == 0).alias("cited"), F.count_if(n % 4 == 0).alias("hit"), F.max("l_quantity").alias("latency"))
-    return runs.groupBy("model").agg(F.round(F.avg(F.when(F.col("cited") > 0, F.col("hit") / F.col("cited"))), 6).alias("precision"), F.percentile("latency", F.lit(0.5)).alias("p50"), F.round(F.avg("latency"), 6).alias("mean"))
-
-
 @query("SELECT conv_id, count(*) > 4 AND bool_or(contains(text, 'that')) AND 8000 - sum(CAST(floor(length(text) * 1.5) AS BIGINT)) >= 1500 AS due, greatest(0, count(*) - 4) AS upto FROM conversations GROUP BY conv_id")
 def w15_summary_trigger(spark, sf_dir):
     left = 8000 - F.sum(T.estimated_tokens(F.col("text")))

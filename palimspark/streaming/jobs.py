@@ -12,17 +12,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palimspark.storage import shared_path
 
 
-def events_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table of events as a stream of its files; times are cast, since watermarks need a time zone."""
-    schema = spark.read.parquet(path).schema
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a stream of its files."""
     folder, _, name = path.rpartition("/")  # a file source watches a folder
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+
+
+def events_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table of events as a stream; times are cast, since watermarks need a time zone."""
+    return table_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def trace_monitor(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Events, slow ones and total time per stage and tumbling window."""
+    """Events, slow ones and their share, median (of the lower of two) and total time per stage and tumbling window."""
+    slow = F.col("value") > 50
     timed = events.withWatermark("ts", late) if events.isStreaming else events
-    return timed.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("slow"), F.round(F.sum("value"), 4).alias("elapsed")).select(F.col("w.start").alias("window_start"), "stage", "n", "slow", "elapsed")
+    return timed.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.count_if(slow).alias("slow"), F.round(F.avg(slow.cast("int")), 6).alias("slow_share"), F.percentile_approx("value", 0.5, 1000).alias("p50"), F.round(F.sum("value"), 4).alias("elapsed")).select(F.col("w.start").alias("window_start"), "stage", "n", "slow", "slow_share", "p50", "elapsed")
 
 
 def rate_monitor(events: DataFrame, limit: int, window: str = "60 seconds", slide: str = "5 seconds", late: str = "10 minutes") -> DataFrame:
@@ -43,21 +48,73 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-def loop_alarm(events: DataFrame, most: int = 2) -> DataFrame:
-    """The event with which a signature comes up more than ``most`` times in a run; counts live in state."""
+def loop_alarm(events: DataFrame, most: int = 2, late: str = "1 hour", ttl_ms: int = 86_400_000) -> DataFrame:
+    """The event with which a signature comes up more than ``most`` times in a run; counts live in state.
+
+    Events count in the order of ts and event_id inside a micro-batch, and micro-batches in theirs. A run without an event
+    for ``ttl_ms`` of event time is forgotten.
+    """
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         names, numbers = state.get if state.exists else ([], [])
         seen = dict(zip(names, numbers, strict=True))
-        found = []
+        found, newest = [], 0
         for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
+            newest = max(newest, row.at_ms)
             seen[row.signature] = seen.get(row.signature, 0) + 1
             if seen[row.signature] == most + 1:
                 found.append((key[0], row.signature, row.event_id))
         state.update((list(seen), list(seen.values())))
+        state.setTimeoutTimestamp(int(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame(found, columns=["run_id", "signature", "event_id"])
 
-    return events.withColumnRenamed("user_id", "run_id").groupBy("run_id").applyInPandasWithState(count, "run_id long, signature string, event_id long", "names array<string>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts")).withColumnRenamed("user_id", "run_id")
+    return timed.groupBy("run_id").applyInPandasWithState(count, "run_id long, signature string, event_id long", "names array<string>, numbers array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def session_memory(turns: DataFrame, most: int = 60, late: str = "1 hour", ttl_ms: int = 86_400_000) -> DataFrame:
+    """Per session of (conv_id, turn, role, text, ts): its newest ``most`` messages, kept in state, as count, user turns and last question.
+
+    A session gives a row whenever messages come; one without any for ``ttl_ms`` of event time is forgotten. A turn that comes again
+    replaces the one before; messages may come in any order.
+    """
+
+    def remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, newest = {}, 0
+        if state.exists:
+            numbers, roles, texts = state.get
+            held = dict(zip(numbers, zip(roles, texts, strict=True), strict=True))
+        for frame in frames:
+            newest = max(newest, int(frame["at_ms"].max()))
+            held.update(zip(frame["turn"].tolist(), zip(frame["role"], frame["text"], strict=True), strict=True))
+            held = dict(sorted(held.items())[-most:])
+        state.update((list(held), [r for r, _ in held.values()], [t for _, t in held.values()]))
+        state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        asked = [t for r, t in held.values() if r == "user"]
+        yield pd.DataFrame({"conv_id": [key[0]], "n_messages": [len(held)], "user_turns": [len(asked)], "last_user": [asked[-1] if asked else None]})
+
+    timed = turns.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
+    return timed.groupBy("conv_id").applyInPandasWithState(remember, "conv_id long, n_messages long, user_turns long, last_user string", "turns array<long>, roles array<string>, texts array<string>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def on_time(events: DataFrame, window: str, late: str) -> tuple[DataFrame, int]:
+    """Windows (window_start, event_type, n) that the watermark has closed, each given once, and how many rows came too late for theirs.
+
+    A row is too late if its window was given before its micro-batch began, which is a micro-batch after the watermark passed it. Windows still open at the end aren't given.
+    """
+    spark = events.sparkSession
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    out = shared_path(spark, "closed")
+    stream = counted.select(F.col("w.start").alias("window_start"), "event_type", "n").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    dropped = sum(op.numRowsDroppedByWatermark for progress in stream.recentProgress for op in progress.stateOperators)
+    return spark.read.schema("window_start timestamp, event_type string, n long").parquet(out), dropped
 
 
 def finished(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
