@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embed_dedup, line_dedup, minhash, packing, quality, secrets, token_orc, toxicity, url_filter
+from . import byte_bpe, decontaminate, embed_dedup, line_dedup, minhash, packing, quality, secrets, token_orc, toxicity, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.item_digests(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op12_decontamination": op12_decontamination,
     }
 
 
@@ -81,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": line_dedup.oracle(),
         "op7_secret_scan": secrets.oracle(),
         "op9_url_filter": url_filter.oracle(),
+        "op12_decontamination": decontaminate.oracle(),
     }
