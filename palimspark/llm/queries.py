@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embed_dedup, line_dedup, minhash, packing, quality, secrets, token_orc, toxicity, url_filter
+from . import byte_bpe, decontaminate, embed_dedup, line_dedup, minhash, packing, quality, runs, secrets, token_orc, toxicity, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.item_digests(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(table(spark, sf_dir, "documents"), runs.planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
         "op12_decontamination": op12_decontamination,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 

@@ -61,7 +61,7 @@ def test_spans_and_documents_go(make_docs, bench):
     texts = {r["doc_id"]: r["text"] for r in cut.collect()}
     n = len(ODD)
     assert cut.columns == docs.columns and len(texts) == len(TEXTS)
-    assert texts[n] == "before, after" and texts[n + 2] == "a and short item" and texts[n + 1] == ITEM[:60] and texts[0] is None and texts[1] == ""
+    assert texts[n] == "before, after" and texts[n + 2] == "a and short item" and texts[n + 1] == "wiza" and texts[0] is None and texts[1] == ""
     assert texts[n + 3] == "" and texts[n + 5] == "a b"
     clean = decontaminate.remove_documents(docs, bench)
     bad = {i for i, t in enumerate(TEXTS) if brute(t, BENCH)[4]}
