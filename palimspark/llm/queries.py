@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embed_dedup, line_dedup, minhash, packing, quality, runs, secrets, token_orc, toxicity, url_filter
+from . import byte_bpe, decontaminate, embed_dedup, line_dedup, minhash, packing, quality, role_repair, runs, secrets, token_orc, toxicity, url_filter
 from .shared import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    repaired, report = role_repair.repair(role_repair.damage(conversations))
+    return role_repair.repair_digests(repaired, report, conversations)
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.item_digests(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_role_repair": op11_role_repair,
         "op12_decontamination": op12_decontamination,
         "op13_periodic_runs": op13_periodic_runs,
     }
