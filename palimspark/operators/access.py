@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the domain.
@@ -44,13 +44,48 @@ def may_access(tenant: Column, level: Column, audience: Column, user_tenant: Col
     return same_tenant & cleared & (open_to_all | F.coalesce(meets, F.lit(False)))
 
 
+ATTRIBUTES = ["tenant_id", "security_level", "audience"]
+
+
+def class_of(tenant: Column, level: Column, audience: Column) -> Column:
+    """Nodes of one class are seen by the same users: a number for their access attributes."""
+    return F.xxhash64(*(F.coalesce(c, F.lit("\0")) for c in (tenant, level, audience)))
+
+
+def with_class(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("cls", class_of(*map(F.col, ATTRIBUTES)))
+
+
+def classes_for(nodes: DataFrame, users: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, classes): the classes of nodes that each user may see. Users meet classes, not nodes."""
+    kinds = with_class(nodes.select(*ATTRIBUTES).distinct())
+    allowed = may_access(*map(F.col, ATTRIBUTES), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
+    return users.join(kinds, allowed, "left").groupBy(key).agg(F.collect_set("cls").alias("classes"))
+
+
+def visible(hits: DataFrame, nodes: DataFrame, classes: DataFrame, key: str = "user_id") -> DataFrame:
+    """The hits (key, node_id, ...) that the user may see, each judged by its node's class."""
+    met = hits.join(with_class(nodes).select("node_id", "cls"), "node_id").join(classes, key)
+    return met.filter(F.array_contains("classes", F.col("cls"))).select(hits.columns)
+
+
+def top_visible(scored: DataFrame, nodes: DataFrame, classes: DataFrame, k: int, key: str = "user_id") -> DataFrame:
+    """The k best of (node_id, score) among what each user may see: the best of each class first, then of each user's classes."""
+    own = scored.join(with_class(nodes).select("node_id", "cls"), "node_id")
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.col("score").desc(), "node_id"))
+    heads = own.withColumn("_nth", nth).filter(F.col("_nth") <= k).drop("_nth")
+    met = classes.select(key, F.explode("classes").alias("cls")).join(heads, "cls")
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "node_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "node_id", "score", "rank")
+
+
 def allowed_nodes(chunks: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, node_id) of what each user may see.
 
     Users meet chunks by what decides access, not pair by pair: chunks are grouped by their few distinct
     attributes first, so only users times attribute groups are judged.
     """
-    attributes = ["tenant_id", "security_level", "audience"]
+    attributes = ATTRIBUTES
     groups = chunks.select(*attributes).distinct()
     allowed = may_access(F.col("tenant_id"), F.col("security_level"), F.col("audience"), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
     seen = groups.join(users, allowed).select("user_id", *(F.col(a).alias(f"_{a}") for a in attributes))
@@ -64,7 +99,7 @@ def open_to_groups(chunks: DataFrame, users: DataFrame) -> DataFrame:
     ``users`` is (grp, user_tenant, clearance, roles), a row for each combination of attributes. Only distinct
     attributes of both sides are judged against each other; no pair of a user and a chunk is made.
     """
-    attributes = ["tenant_id", "security_level", "audience"]
+    attributes = ATTRIBUTES
     allowed = may_access(F.col("tenant_id"), F.col("security_level"), F.col("audience"), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
     judged = chunks.select(*attributes).distinct().join(users.dropDuplicates(["grp"]), allowed, "left")
     seen = judged.groupBy(*attributes).agg(F.collect_set("grp").alias("open_to")).withColumnsRenamed({a: f"_{a}" for a in attributes})

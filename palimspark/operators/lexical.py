@@ -48,8 +48,10 @@ def bm25(tokens: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     met = index.join(needed, "term").filter(allowed).join(F.broadcast(size))
     scored = met.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
     if guarded:
+        own = Window.partitionBy("open_to").orderBy("node_id")  # k nodes of each kind are enough
+        heads = tokens.select("node_id", "open_to").withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= k)
         groups = queries.select("grp").distinct()
-        seen = tokens.select("node_id", "open_to").join(groups, F.col("open_to").isNull() | F.array_contains("open_to", F.col("grp")))
+        seen = heads.select("node_id", "open_to").join(groups, F.col("open_to").isNull() | F.array_contains("open_to", F.col("grp")))
         first = seen.withColumn("_n", F.row_number().over(Window.partitionBy("grp").orderBy("node_id"))).filter(F.col("_n") <= k)
         first = queries.select("query_id", "grp").join(first, "grp").select("query_id", "node_id")
     else:

@@ -75,9 +75,23 @@ def rerank_by_currency(hits: DataFrame) -> DataFrame:
 def as_of(hits: DataFrame) -> DataFrame:
     """One hit per query and title: the newest version in force at the end of the query's year.
 
-    Among equals the earlier candidate; where none was in force yet, the best-scored one. ``hits`` has query_id,
-    title, effective_date, year, score and rank.
+    Among equals the earlier candidate (the better score, then the smaller rank, or node_id where there is no rank); where
+    none was in force yet, the best-scored one. ``hits`` has query_id, title, effective_date, year and score. One aggregation
+    with partial maxima, so a title with very many versions isn't sorted in one task.
     """
     in_force = F.coalesce(F.col("effective_date") <= F.make_date("year", F.lit(12), F.lit(31)), F.lit(False))
-    order = Window.partitionBy("query_id", "title").orderBy(in_force.desc(), F.when(in_force, F.col("effective_date")).desc_nulls_last(), F.when(~in_force, F.col("score")).desc_nulls_last(), "rank")
-    return hits.withColumn("_first", F.row_number().over(order)).filter("_first = 1").drop("_first")
+    earlier = -F.col("rank" if "rank" in hits.columns else "node_id")
+    place = F.struct(in_force, F.when(in_force, F.col("effective_date")), "score", earlier)
+    best = F.max_by(F.struct(*(F.col(c).alias(c) for c in hits.columns)), place).alias("hit")
+    return hits.groupBy("query_id", "title").agg(best).select("hit.*")
+
+
+def by_validity(hits: DataFrame) -> DataFrame:
+    """query_id, node_id, score and rank of (query_id, node_id, score, rank, title, effective_date, status_code, year, asks_status).
+
+    Queries with a year keep one version of each title (``as_of``) and their scores, the others are reordered (``rerank_by_currency``).
+    """
+    dated = as_of(hits.filter("year is not null")).select("query_id", "node_id", "score", "rank")
+    other = rerank_by_currency(hits.filter("year is null")).select("query_id", "node_id", F.col("adjusted").alias("score"), "rank")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")
+    return dated.unionByName(other).withColumn("rank", F.row_number().over(order))

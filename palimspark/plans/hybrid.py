@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
-from palimspark.operators import access, ranking
-from palimspark.operators.lexical import bm25
+from palimspark.operators import access, lexical_index, ranking
 from palimspark.operators.ranking import fuse_max, fuse_rrf, top_k
 from palimspark.operators.vectors import nearest
 from palimspark.sources import views as V
-from palimspark.storage import shared_path
+from palimspark.storage import fingerprint, kept_path, shared_path
 
 TOP_K = 10
 WIDE_K = 20  # candidates of a branch where re-ranking follows
@@ -24,6 +23,24 @@ def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def build_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of a new index of the documents, with their access classes."""
+    built = shared_path(spark, "lexical-index")
+    nodes = access.with_class(V.view(spark, sf_dir, NODES_SQL)).select("node_id", "cls")
+    lexical_index.build(corpus_tokens(spark, sf_dir).join(nodes, "node_id", "left"), built)
+    return built
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
+    """The index of the documents, built when their files have none yet in the shared folder."""
+    path = kept_path(spark, "lexical", fingerprint(V.table(spark, sf_dir, "documents"), sf_dir, NODES_SQL))
+    place = lexical_index.published(spark, path)
+    if place is None or not lexical_index.is_built(spark, place):
+        place = build_index(spark, sf_dir)
+        lexical_index.publish(spark, place, path)
+    return lexical_index.open_index(spark, place)
+
+
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"))
 
@@ -42,7 +59,7 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def branches(spark: SparkSession, sf_dir: str, k: int = WIDE_K) -> DataFrame:
     """query_id, node_id, branch, score and rank of both branches, without access rules."""
     vector = nearest(corpus_vectors(spark, sf_dir), query_vectors(spark, sf_dir), k).withColumn("branch", F.lit("vector"))
-    lexical = bm25(corpus_tokens(spark, sf_dir), query_tokens(spark, sf_dir), k).withColumn("branch", F.lit("lexical"))
+    lexical = lexical_index.search(corpus_index(spark, sf_dir), query_tokens(spark, sf_dir), k).withColumn("branch", F.lit("lexical"))
     return vector.unionByName(lexical)
 
 
@@ -51,37 +68,43 @@ def fused(spark: SparkSession, sf_dir: str, fusion: str = "rrf", k: int = TOP_K)
     return top_k(fuse_rrf(hits) if fusion == "rrf" else fuse_max(hits), k)
 
 
-def retrieve(tokens: DataFrame, vectors: DataFrame, nodes: DataFrame, queries: DataFrame, query_vectors: DataFrame, rerank, k: int = TOP_K, wide: int = WIDE_K) -> DataFrame:
+def retrieve(index: lexical_index.LexicalIndex, vectors: DataFrame, nodes: DataFrame, queries: DataFrame, query_vectors: DataFrame, rerank, k: int = TOP_K, wide: int = WIDE_K) -> DataFrame:
     """query_id, node_id, score and rank of the k best nodes of all queries at once.
 
-    ``tokens`` (node_id, tokens) and ``vectors`` (node_id, embedding) are the corpus; ``nodes`` has node_id, tenant_id,
-    security_level, audience and status_code (nodes that it lacks are open to all and have no status); ``queries`` has
-    query_id, tokens, user_tenant, clearance, roles, year and asks_status; ``rerank`` gives pairs (query_id, node_id) a new score.
-    Access restricts both branches before they rank. Queries whose best vector score misses the gate return nothing; those below
-    the early gate keep their fused order; validity reorders the k best.
+    ``index`` and ``vectors`` (node_id, embedding) are the corpus; ``nodes`` has node_id, tenant_id, security_level, audience,
+    status_code, title and effective_date (nodes that it lacks are open to all, have no status and are a title of their own);
+    ``queries`` has query_id, tokens, user_tenant, clearance, roles, year and asks_status; ``rerank`` gives pairs (query_id,
+    node_id) a new score. Access restricts both branches before they rank: the lexical one by the classes that ``index`` holds.
+    Queries whose best vector score misses the gate return nothing; those below the early gate keep their fused order; validity
+    reorders the k best. Of a query with a year one version of each title stays, the one in force at its end.
     """
     who = F.concat_ws("|", F.coalesce("user_tenant", F.lit("")), F.col("clearance").cast("string"), F.array_join(F.array_sort("roles"), ","))
     asking = queries.withColumn("grp", who)
-    seen = access.open_to_groups(nodes, asking.select("grp", "user_tenant", "clearance", "roles").distinct()).select("node_id", "open_to")
-    lexical = bm25(tokens.join(seen, "node_id", "left"), asking.select("query_id", "grp", "tokens"), wide)
+    groups = asking.select("grp", "user_tenant", "clearance", "roles").dropDuplicates(["grp"])
+    classes = access.classes_for(nodes, groups, "grp")
+    seen = access.open_to_groups(nodes, groups).select("node_id", "open_to")
+    lexical = lexical_index.search(index, asking.select("query_id", "grp", "tokens").join(classes, "grp").drop("grp"), wide)
     vector = nearest(vectors.join(seen, "node_id", "left"), query_vectors.join(asking.select("query_id", "grp"), "query_id"), wide)
-    path = shared_path(tokens.sparkSession, "branches")
+    path = shared_path(nodes.sparkSession, "branches")
     lexical.withColumn("branch", F.lit("lexical")).unionByName(vector.withColumn("branch", F.lit("vector"))).write.parquet(path)  # read by fusion and by both gates
-    hits = tokens.sparkSession.read.parquet(path)
+    hits = nodes.sparkSession.read.parquet(path)
     near = hits.filter("branch = 'vector'").select("query_id", "node_id", "score")
     passed = ranking.similarity_gate(queries, near).filter("passed").select("query_id")
     candidates = top_k(fuse_rrf(hits.join(passed, "query_id", "left_semi")), wide).select("query_id", "node_id", "score")
     best = ranking.early_gate(candidates, near, rerank, k).select("query_id", "node_id", "score", "rank")
-    valid = best.join(nodes.select("node_id", "status_code"), "node_id", "left").join(queries.select("query_id", "year", "asks_status"), "query_id")
-    return ranking.rerank_by_currency(valid).select("query_id", "node_id", F.col("adjusted").alias("score"), F.col("new_rank").alias("rank"))
+    titled = nodes.select("node_id", "status_code", F.coalesce("title", F.concat(F.lit("#"), "node_id")).alias("title"), "effective_date")
+    known = best.join(titled, "node_id", "left").withColumn("title", F.coalesce("title", F.concat(F.lit("#"), "node_id")))
+    return ranking.by_validity(known.join(queries.select("query_id", "year", "asks_status"), "query_id"))
 
 
 #: Documents as nodes with access attributes and a status, and benchmark items as questions of users; valid in both engines.
 NODES_SQL = """SELECT doc_id AS node_id, CASE source WHEN 'src0' THEN 'tenant-1' ELSE '' END AS tenant_id,
   CASE lang WHEN 'en' THEN 'public' WHEN 'de' THEN 'internal' WHEN 'fr' THEN 'confidential' ELSE 'restricted' END AS security_level,
-  CASE WHEN doc_id % 10 = 0 THEN 'qa' ELSE '' END AS audience, CAST(CASE doc_id % 5 WHEN 0 THEN 3 ELSE doc_id % 5 END AS INT) AS status_code FROM documents"""
+  CASE WHEN doc_id % 10 = 0 THEN 'qa' ELSE '' END AS audience, CAST(CASE doc_id % 5 WHEN 0 THEN 3 ELSE doc_id % 5 END AS INT) AS status_code,
+  concat('T', CAST(doc_id % 7 AS STRING)) AS title, make_date(CAST(1995 + doc_id % 30 AS INT), 6, 1) AS effective_date FROM documents"""
 ASKED_SQL = """SELECT item_id AS query_id, text, CASE item_id % 2 WHEN 0 THEN 'tenant-1' ELSE '' END AS user_tenant,
-  CAST(item_id % 4 AS INT) AS clearance, item_id % 5 = 0 AS tests, item_id % 3 = 1 AS asks_status FROM benchmark"""
+  CAST(item_id % 4 AS INT) AS clearance, item_id % 5 = 0 AS tests, item_id % 3 = 1 AS asks_status,
+  CASE WHEN item_id % 3 = 2 THEN CAST(1998 + item_id % 25 AS INT) END AS year FROM benchmark"""
 
 
 def by_coverage(spark: SparkSession, sf_dir: str):
@@ -99,13 +122,15 @@ def by_coverage(spark: SparkSession, sf_dir: str):
 def retrieve_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = V.view(spark, sf_dir, ASKED_SQL)
     roles = F.when(F.col("tests"), F.array(F.lit("qa"))).otherwise(F.array().cast("array<string>"))
-    queries = asked.select("query_id", T.tokens(F.col("text")).alias("tokens"), "user_tenant", "clearance", roles.alias("roles"), F.lit(None).cast("int").alias("year"), "asks_status")
-    return retrieve(corpus_tokens(spark, sf_dir), corpus_vectors(spark, sf_dir), V.view(spark, sf_dir, NODES_SQL), queries, query_vectors(spark, sf_dir), by_coverage(spark, sf_dir))
+    queries = asked.select("query_id", T.tokens(F.col("text")).alias("tokens"), "user_tenant", "clearance", roles.alias("roles"), "year", "asks_status")
+    return retrieve(corpus_index(spark, sf_dir), corpus_vectors(spark, sf_dir), V.view(spark, sf_dir, NODES_SQL), queries, query_vectors(spark, sf_dir), by_coverage(spark, sf_dir))
 
 
 _WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _TOKENS = f"list_concat({_WORDS}, list_filter({_WORDS}, lambda x: regexp_matches(x, '^[a-z0-9]{{{{2,}}}}$')))"
 
+DOC_TOKENS = _TOKENS.format("text", "text")
+
 #: Common table expressions for DuckDB, in order; ``{k}`` is the number of candidates of a branch.
 CTES = (
     "tok AS (SELECT doc_id AS node_id, " + _TOKENS.format("text", "text") + " AS tokens FROM documents), "
@@ -155,7 +180,11 @@ wide AS (SELECT * FROM (SELECT *, {_BEST} FROM xfused) WHERE rank <= {WIDE_K}),
 covered AS (SELECT query_id, node_id, best, score AS fused, CASE WHEN text IS NULL OR len(g) = 0 THEN 0.0 ELSE round(len(list_filter(g, lambda x: contains(text, x))) / len(g), 6) END AS cover
   FROM (SELECT wide.*, best, text, {_GRAMS.format("q")} AS g FROM wide JOIN gate USING (query_id) JOIN qry USING (query_id) LEFT JOIN (SELECT doc_id, text FROM documents) d ON doc_id = node_id)),
 chosen AS (SELECT * FROM (SELECT query_id, node_id, score, {_BEST} FROM (SELECT query_id, node_id, CASE WHEN best >= 0.45 THEN cover ELSE fused END AS score FROM covered)) WHERE rank <= {TOP_K}),
+known AS (SELECT query_id, node_id, rank, score, asks_status, year, status_code, coalesce(title, '#' || node_id) AS title, effective_date
+  FROM chosen JOIN asked USING (query_id) LEFT JOIN nodes USING (node_id)),
 adjusted AS (SELECT query_id, node_id, rank, round(score + CASE WHEN asks_status THEN CASE WHEN status_code = 4 THEN 0.1 ELSE 0.0 END ELSE CASE status_code WHEN 3 THEN 0.05 WHEN 2 THEN -0.1 WHEN 4 THEN -0.15 WHEN 1 THEN -0.25 ELSE 0.0 END END, 6) AS score
-  FROM chosen JOIN asked USING (query_id) LEFT JOIN nodes USING (node_id))
-SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM adjusted"""
+  FROM known WHERE year IS NULL),
+dated AS (SELECT *, coalesce(effective_date <= make_date(year, 12, 31), false) AS ok FROM known WHERE year IS NOT NULL),
+then_valid AS (SELECT query_id, node_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY ok DESC, CASE WHEN ok THEN effective_date END DESC NULLS LAST, rank) AS r FROM dated) WHERE r = 1)
+SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM (SELECT * FROM adjusted UNION ALL SELECT * FROM then_valid)"""
 )

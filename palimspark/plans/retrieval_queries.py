@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
-from palimspark.operators import access, lexical, ranking
+from palimspark.operators import access, lexical, lexical_index, ranking
 from palimspark.operators.vectors import nearest
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
@@ -39,9 +39,16 @@ _ALLOWED = f"""SELECT user_id, node_id FROM ({V.ACL_SQL}) c JOIN (SELECT s_suppk
  AND (audience = '' OR audience = 'all' OR (len(roles) > 0 AND list_has_any(string_split(audience, ','), roles)))"""
 
 
-@query(_ALLOWED)
+def user_classes(spark, sf_dir):
+    return access.classes_for(V.acl(spark, sf_dir), users(spark, sf_dir))
+
+
+@query(f"SELECT user_id, count(*) AS n_nodes, min(node_id) AS first_node, max(node_id) AS last_node FROM ({_ALLOWED}) GROUP BY user_id")
 def p07_access_predicate(spark, sf_dir):
-    return access.allowed_nodes(V.acl(spark, sf_dir), users(spark, sf_dir))
+    """What each user may see, summed over classes of nodes; no pair of a user and a node is made."""
+    sizes = access.with_class(V.acl(spark, sf_dir)).groupBy("cls").agg(F.count("*").alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi"))
+    met = user_classes(spark, sf_dir).select("user_id", F.explode("classes").alias("cls")).join(sizes, "cls")
+    return met.groupBy("user_id").agg(F.sum("n").alias("n_nodes"), F.min("lo").alias("first_node"), F.max("hi").alias("last_node"))
 
 
 @query(f"SELECT node_id, {_LEVEL} AS level FROM ({V.ACL_SQL})")
@@ -58,7 +65,7 @@ def p09_audience_tags(spark, sf_dir):
 @query(f"SELECT o_custkey % 7 AS user_id, o_custkey AS node_id, count(*) AS n FROM orders SEMI JOIN ({_ALLOWED}) x ON x.user_id = o_custkey % 7 AND x.node_id = o_custkey GROUP BY ALL")
 def p10_access_post_filter(spark, sf_dir):
     hits = V.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("user_id"), F.col("o_custkey").alias("node_id"))
-    return access.keep_allowed(hits, p07_access_predicate(spark, sf_dir)).groupBy("user_id", "node_id").agg(F.count("*").alias("n"))
+    return access.visible(hits, V.acl(spark, sf_dir), user_classes(spark, sf_dir)).groupBy("user_id", "node_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, coalesce(lower(d) IN ('src1', 'src2'), true) AS lenient, coalesce(lower(d) IN ('src1', 'src2'), false) AS strict FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE upper(source) END AS d FROM documents)")
@@ -91,8 +98,13 @@ def j06_fuse_rrf(spark, sf_dir):
   SELECT user_id, node_id, round(sum(o_totalprice), 2) AS score FROM orders JOIN ({_ALLOWED}) x ON x.node_id = o_custkey GROUP BY user_id, node_id)) WHERE rank <= 5""")
 def j07_access_pre_filter(spark, sf_dir):
     scored = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("score"))
-    hits = p07_access_predicate(spark, sf_dir).join(scored, "node_id").withColumnRenamed("user_id", "query_id")
-    return ranking.top_k(hits, 5).withColumnRenamed("query_id", "user_id")
+    return access.top_visible(scored, V.acl(spark, sf_dir), user_classes(spark, sf_dir), 5)
+
+
+#: Document frequency and idf of every term for DuckDB; a document's terms are told apart before they are exploded.
+IDF_SQL = """WITH dt AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(""" + hybrid.DOC_TOKENS + """)) AS term FROM documents) GROUP BY term),
+  r AS MATERIALIZED (SELECT term, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS raw FROM dt)
+  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM r, (SELECT avg(raw) AS m FROM r)"""
 
 
 @query(with_ctes("SELECT query_id, node_id, score, rank FROM vector"))
@@ -102,10 +114,18 @@ def j11_nearest(spark, sf_dir):
 
 @query(with_ctes("SELECT query_id, node_id, score, rank FROM lexical"))
 def t01_bm25(spark, sf_dir):
-    return lexical.bm25(hybrid.corpus_tokens(spark, sf_dir), hybrid.query_tokens(spark, sf_dir), hybrid.WIDE_K).select("query_id", "node_id", "score", "rank")
+    return lexical_index.search(hybrid.corpus_index(spark, sf_dir), hybrid.query_tokens(spark, sf_dir), hybrid.WIDE_K)
+
+
+@query(f"SELECT count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings, max(df) AS largest, round(sum(idf), 4) AS idf_sum FROM ({IDF_SQL})")
+def t01_index_build(spark, sf_dir):
+    """Builds a new index and reads it back."""
+    index = lexical_index.open_index(spark, hybrid.build_index(spark, sf_dir))
+    held = index.blocks.agg(F.sum(F.size("postings")).alias("n_postings"))
+    return index.terms.agg(F.count("*").alias("n_terms"), F.max("df").alias("largest"), F.round(F.sum("idf"), 4).alias("idf_sum")).join(F.broadcast(held))
 
 
-@query(with_ctes("SELECT term, df, round(idf, 6) AS idf FROM idf"))
+@query(f"SELECT term, df, round(idf, 6) AS idf FROM ({IDF_SQL})")
 def a01_term_statistics(spark, sf_dir):
     tokens = hybrid.corpus_tokens(spark, sf_dir)
     return lexical.term_statistics(tokens).withColumn("idf", F.round("idf", 6))
@@ -129,12 +149,13 @@ _VERSION_HITS = f"""SELECT CAST(o_custkey AS BIGINT) % 100 AS query_id, o_orderk
 FROM orders JOIN ({V.VERSIONS_SQL}) v ON v.bbbs = CAST(o_orderkey AS STRING)"""
 
 
-def version_hits(spark, sf_dir):
+def version_hits(spark, sf_dir, k=None):
+    """Orders as scored versions; ranked, and only the k best of a query, where k is given."""
     orders = V.table(spark, sf_dir, "orders").withColumn("bbbs", F.col("o_orderkey").cast("string"))
     score = F.round(F.col("o_totalprice") / 1000000, 6)
     q = F.col("o_custkey") % 100
     hits = orders.join(V.versions(spark, sf_dir), "bbbs").select(q.alias("query_id"), F.col("o_orderkey").alias("node_id"), "bbbs", "title", "status_code", "effective_date", score.alias("score"), F.when(q % 3 == 0, 1996 + F.col("o_custkey") % 4).cast("int").alias("year"), (q % 3 == 1).alias("asks_status"))
-    return ranking.top_k(hits, 1 << 30)
+    return hits if k is None else ranking.top_k(hits, k)
 
 
 @query(f"""SELECT query_id, title, bbbs FROM (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY ok DESC, CASE WHEN ok THEN effective_date END DESC NULLS LAST, CASE WHEN NOT ok THEN score END DESC NULLS LAST, rank) AS r
@@ -146,7 +167,7 @@ def j08_as_of(spark, sf_dir):
 @query(f"""SELECT query_id, node_id, adjusted, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, rank) AS new_rank FROM (SELECT *, CASE WHEN year IS NOT NULL THEN score ELSE round(score + CASE WHEN asks_status THEN CASE WHEN status_code = 4 THEN 0.1 ELSE 0.0 END
   ELSE CASE status_code WHEN 3 THEN 0.05 WHEN 2 THEN -0.1 WHEN 4 THEN -0.15 WHEN 1 THEN -0.25 ELSE 0.0 END END, 6) END AS adjusted FROM ({_VERSION_HITS}) WHERE rank <= 10)""")
 def t04_currency_rerank(spark, sf_dir):
-    return ranking.rerank_by_currency(version_hits(spark, sf_dir).filter("rank <= 10")).select("query_id", "node_id", "adjusted", "new_rank")
+    return ranking.rerank_by_currency(version_hits(spark, sf_dir, 10)).select("query_id", "node_id", "adjusted", "new_rank")
 
 
 @query(hybrid.RETRIEVAL_SQL)

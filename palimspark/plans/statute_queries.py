@@ -170,7 +170,7 @@ _CARD = "count(*) AS n, count(passed) AS judged, count(*) FILTER (passed) AS n_p
 r AS (SELECT config, 'c' || query_id % 4 AS category, CASE WHEN query_id % 2 = 0 THEN status_code IS NOT DISTINCT FROM 3 END AS passed FROM c WHERE rank = 1)
 SELECT config, category, {_CARD} FROM r GROUP BY ALL UNION ALL SELECT config, 'all', {_CARD} FROM r GROUP BY config""")
 def x03_evaluation(spark, sf_dir):
-    hits = version_hits(spark, sf_dir).filter("rank <= 10")
+    hits = version_hits(spark, sf_dir, 10)
     judge = F.when(F.col("query_id") % 2 == 0, "top_status").otherwise("unknown_validity")
     items = hits.select("query_id").distinct().select("query_id", F.concat(F.lit("c"), (F.col("query_id") % 4).cast("string")).alias("category"), judge.alias("judge_type"), F.lit(None).cast("long").alias("expected"), F.array().cast("array<bigint>").alias("expected_set"), F.lit(3).alias("want_status"), F.lit(True).alias("gate_passed"))
     return evaluation.evaluated(hits, items, 10)

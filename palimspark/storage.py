@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -17,3 +19,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/palimspark-{os.getpid()}"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def fingerprint(table: DataFrame, *about: str) -> str:
+    """Names a state of the files behind ``table``: their sizes and times, by one job that reads no column."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time").alias("at")).distinct()
+    state = files.agg(F.count("*"), F.sum("file_size"), F.sum(F.xxhash64("file_path", "file_size", "at").cast("decimal(38,0)"))).first()
+    return hashlib.sha256("\n".join([*map(str, state), *about]).encode()).hexdigest()[:32]
+
+
+def kept_path(spark: SparkSession, label: str, name: str) -> str:
+    """A path below the shared folder that is the same whenever ``name`` is; what lies there outlives the query."""
+    return f"{shared_path(spark, 'x').rpartition('/')[0]}/{label}-{name}"
