@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the domain: what ends a sentence.
@@ -13,34 +15,31 @@ def window_step(most: int, overlap: int) -> int:
     return max(most - min(max(overlap, 0), most - 1), min(64, most), 1)
 
 
+def _cuts(text: Column, most: int, overlap: int) -> Column:
+    """(start, cut, piece) of the windows of a text, all cut inside its row."""
+    step, n = window_step(most, overlap), F.length(text)
+    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
+    held = F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring(text, s + 1, F.lit(most)).alias("w")))
+    # how far the last sentence end behind the step reaches; 0: there is none
+    last = f"(?s)^.*[{''.join(ENDERS)}]"
+    ended = F.transform(held, lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"), F.length(F.regexp_extract(F.substr(x["w"], F.lit(step + 1)), last, 0)).alias("best")))
+    taken = lambda x: F.when((n > most) & (x["best"] > 0), step + x["best"]).otherwise(F.length(x["w"]))
+    return F.transform(ended, lambda x: F.struct(x["s"].alias("start"), (x["s"] + taken(x)).alias("cut"), F.left(x["w"], taken(x)).alias("piece")))
+
+
 def windows(docs: DataFrame, most: int, overlap: int) -> DataFrame:
-    """(doc_id, start, cut): windows start at multiples of the step and end after the last sentence end inside.
+    """(doc_id, start, cut, piece): windows start at multiples of the step and end after the last sentence end inside.
 
     The end is looked for behind start + step only; where there is none the window is cut hard. A text of at most
-    ``most`` characters is one window. Starts don't depend on cuts, so each window is a row of its own.
+    ``most`` characters is one window. Starts don't depend on cuts, and only pieces leave a text's row.
     """
-    step = window_step(most, overlap)
-    n = F.length("text")
-    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    rows = docs.filter(F.length(F.trim("text")) > 0).select("doc_id", "text", F.explode(starts).alias("start"))
-    end = F.least(F.col("start") + most, n)
-    looked = F.substring("text", F.col("start") + step + 1, F.greatest(end - F.col("start") - step, F.lit(0)))
-    behind = F.reverse(looked)
-    best = F.greatest(*(F.when(F.locate(e, behind) > 0, F.length(looked) - F.locate(e, behind) + 1) for e in ENDERS), F.lit(-1))
-    cut = F.when(n <= most, n).when(best > 0, F.col("start") + step + best).otherwise(end)
-    return rows.select("doc_id", "text", "start", cut.alias("cut"))
+    cut = docs.filter(F.length(F.trim("text")) > 0).select("doc_id", F.explode(_cuts(F.col("text"), most, overlap)).alias("w"))
+    return cut.select("doc_id", "w.start", "w.cut", "w.piece")
 
 
 def pieces(text: Column, most: int, overlap: int, least: int = 50) -> Column:
     """The trimmed windows of a text, short ones merged into the one before where both fit into twice ``most``."""
-    step, n = window_step(most, overlap), F.length(text)
-    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    looked = F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring(text, s + step + 1, F.greatest(F.least(s + most, n) - s - step, F.lit(0))).alias("w")))
-    turned = F.transform(looked, lambda x: F.struct(x["s"].alias("s"), F.length(x["w"]).alias("m"), F.reverse(x["w"]).alias("r")))
-    ends = lambda x: F.greatest(*(F.when(F.instr(x["r"], e) > 0, x["m"] - F.instr(x["r"], e) + 1) for e in ENDERS), F.lit(-1))
-    best = F.transform(turned, lambda x: F.struct(x["s"].alias("s"), ends(x).alias("best")))
-    cut = lambda x: F.when(n <= most, n).when(x["best"] > 0, step + x["best"]).otherwise(F.least(x["s"] + most, n) - x["s"])
-    parts = F.transform(best, lambda x: F.regexp_replace(F.substring(text, x["s"] + 1, cut(x)), r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(_cuts(text, most, overlap), lambda w: F.regexp_replace(w["piece"], r"(?U)^\s+|\s+$", ""))
     parts = F.filter(parts, lambda p: F.length(p) > 0)
 
     def fold(done: Column, part: Column) -> Column:
@@ -49,7 +48,10 @@ def pieces(text: Column, most: int, overlap: int, least: int = 50) -> Column:
         merged = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), part)))
         return F.when(joins, merged).otherwise(F.concat(done, F.array(part)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), fold)
+    def whole(parts: Column) -> Column:  # the fold copies; most texts have no short piece
+        return F.when(F.exists(parts, lambda p: F.length(p) < least), F.aggregate(parts, F.array().cast("array<string>"), fold)).otherwise(parts)
+
+    return F.element_at(F.transform(F.array(parts), whole), 1)
 
 
 def chunks(docs: DataFrame, most: int, overlap: int, least: int = 50) -> DataFrame:
@@ -59,31 +61,50 @@ def chunks(docs: DataFrame, most: int, overlap: int, least: int = 50) -> DataFra
     return cut.select("doc_id", F.size("parts").alias("child_total"), F.posexplode(rows).alias("child_index", "c")).select("doc_id", "child_index", "child_total", "c.text", "c.overlap_prev")
 
 
+def folded_sections(docs: DataFrame, level: Callable[[Column], Column], article: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, section, level, article, open, lines) of (doc_id, text), cut at headings and at articles, inside each row.
+
+    ``level`` gives a line's heading level (0: none), ``article`` the name of an article that begins there, if any. One fold over a
+    text's marks carries the stack of open headings: a heading closes those of its own or a deeper level, an article
+    opens none. ``open`` holds their titles; ``lines`` begins with the mark's own line, but for section 0, which comes before all marks.
+    """
+    named = article or (lambda line: F.lit(None).cast("string"))
+    title = lambda line: F.regexp_replace(line, r"^#{1,6}\s+|\s+$", "")
+    mark = lambda line, i: F.struct((i + 1).alias("at"), level(line).alias("level"), named(line).alias("article"), title(line).alias("title"))
+    cut = docs.filter("text is not null").select("doc_id", F.split("text", "\n", -1).alias("_lines"))
+    cut = cut.withColumn("_marks", F.filter(F.transform("_lines", mark), lambda m: (m["level"] > 0) | m["article"].isNotNull()))
+    none = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("open"), F.array().cast("array<array<string>>").alias("paths"))
+
+    def step(done: Column, m: Column) -> Column:
+        own = F.concat(F.filter(done["open"], lambda o: o["level"] < m["level"]), F.array(F.struct(m["level"].alias("level"), m["title"].alias("title"))))
+        open_ = F.when(m["level"] > 0, own).otherwise(done["open"])
+        return F.struct(open_.alias("open"), F.concat(done["paths"], F.array(F.transform(open_, lambda o: o["title"]))).alias("paths"))
+
+    cut = cut.withColumn("_paths", F.aggregate("_marks", none, step, lambda done: done["paths"]))
+    own = lambda j: F.get("_marks", j - 1)
+
+    def section(j: Column) -> Column:
+        begin, end = F.coalesce(own(j)["at"], F.lit(1)), F.coalesce(own(j + 1)["at"], F.size("_lines") + 1)
+        return F.struct(
+            j.cast("long").alias("section"),
+            F.coalesce(own(j)["level"], F.lit(0)).alias("level"),
+            own(j)["article"].alias("article"),
+            F.coalesce(F.get("_paths", j - 1), F.array().cast("array<string>")).alias("open"),
+            F.slice("_lines", begin, end - begin).alias("lines"),
+        )
+
+    parts = F.transform(F.sequence(F.lit(0), F.size("_marks")), section)
+    return cut.select("doc_id", F.explode(F.filter(parts, lambda s: F.size(s["lines"]) > 0)).alias("s")).select("doc_id", "s.*")
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section, level, path, body) of Markdown texts: a section owns the lines up to the next heading.
 
-    Its path is the stack of open headings: the last heading of each shallower level that is newer than all
-    headings above it. Lines before the first heading are section 0 with an empty path.
+    Its path is the stack of open headings. Lines before the first heading are section 0 with an empty path.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    marks = F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)
-    level = F.length(marks)
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"level": level, "title": F.when(level > 0, F.regexp_replace("line", r"^#{1,6}\s+|\s+$", ""))})
-    rows = rows.withColumn("section", F.count_if(F.col("level") > 0).over(order))
-    for k in range(1, 7):
-        last = F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(order)
-        rows = rows.withColumn(f"_h{k}", last)
-    heads = rows.groupBy("doc_id", "section").agg(
-        F.max("level").alias("level"),
-        *(F.max_by(f"_h{k}", "pos").alias(f"_h{k}") for k in range(1, 7)),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("body"),
-    )
-    parts = []
-    for k in range(1, 7):
-        newest_above = F.greatest(F.lit(-1), *(F.col(f"_h{j}.pos") for j in range(1, k))) if k > 1 else F.lit(-1)
-        parts.append(F.when((F.col("level") >= k) & (F.col(f"_h{k}.pos") > F.coalesce(newest_above, F.lit(-1))), F.col(f"_h{k}.title")))
-    return heads.select("doc_id", F.col("section").cast("long").alias("section"), "level", F.concat_ws(" > ", *parts).alias("path"), "body")
+    found = folded_sections(docs, lambda line: F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1)))
+    body = F.when(F.col("section") > 0, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines"))
+    return found.select("doc_id", "section", "level", F.array_join("open", " > ").alias("path"), F.array_join(body, "\n").alias("body"))
 
 
 def duplicate_report(rows: DataFrame) -> DataFrame:

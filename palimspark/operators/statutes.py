@@ -5,11 +5,11 @@ A statute's paragraphs are an array in its row, so cleaning never shuffles; only
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
-from palimspark.operators.chunks import pieces
+from palimspark.operators.chunks import folded_sections, pieces
 
 # Fixed values of the domain: what the lines of a statute look like.
 NUMERAL = "[一二三四五六七八九十百千零〇0-9]+"
@@ -122,32 +122,14 @@ def article_sections(docs: DataFrame) -> DataFrame:
 
     An article hangs below all open headings and opens none; its level is their number and one. Sections of white space go.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("level", F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)))
-    lines = lines.withColumn("article", F.when(F.col("level") == 0, F.nullif(F.regexp_extract(F.trim("line"), f"^{MARKED_ARTICLE}", 1), F.lit(""))))
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("section", F.count_if((F.col("level") > 0) | F.col("article").isNotNull()).over(order))
-    title = F.regexp_replace("line", r"^#{1,6}\s+|\s+$", "")
-    for k in range(1, 7):
-        rows = rows.withColumn(f"_h{k}", F.last(F.when(F.col("level") == k, F.struct("pos", title.alias("title"))), ignorenulls=True).over(order))
-    heads = rows.groupBy("doc_id", "section").agg(
-        F.max("level").alias("own"),
-        F.max("article").alias("article"),
-        *(F.min_by(f"_h{k}", "pos").alias(f"_h{k}") for k in range(1, 7)),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"),
-    )
-    newer = lambda k: [F.col(f"_h{k}.pos") > F.coalesce(F.col(f"_h{j}.pos"), F.lit(-1)) for j in range(1, k)]
-    open_ = []
-    for k in range(1, 7):
-        still = F.col(f"_h{k}").isNotNull() & ((F.col("own") == 0) | (F.col("own") >= k))
-        for condition in newer(k):
-            still = still & condition
-        open_.append(F.when(still, F.col(f"_h{k}.title")))
-    found = heads.select("doc_id", "section", "own", "article", F.array_compact(F.array(*open_)).alias("open"), F.regexp_replace("body", r"^\s+|\s+$", "").alias("body"))
+    level = lambda line: F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
+    article = lambda line: F.when(level(line) == 0, F.nullif(F.regexp_extract(F.trim(line), f"^{MARKED_ARTICLE}", 1), F.lit("")))
+    body = F.regexp_replace(F.array_join("lines", "\n"), r"^\s+|\s+$", "")
+    found = folded_sections(docs, level, article).withColumn("body", body).filter(F.length("body") > 0)
     path = F.array_join(F.concat("open", F.when(F.col("article").isNull(), F.array().cast("array<string>")).otherwise(F.array("article"))), " > ")
     # Behind an article the path is the article's until the next mark; a heading's level is its own.
-    level = F.when(F.col("article").isNotNull(), F.size("open") + 1).otherwise(F.col("own"))
-    return found.filter(F.length("body") > 0).select("doc_id", F.col("section").cast("long").alias("section"), path.alias("path"), "body", level.cast("int").alias("level"))
+    own = F.when(F.col("article").isNotNull(), F.size("open") + 1).otherwise(F.col("level"))
+    return found.select("doc_id", "section", path.alias("path"), "body", own.cast("int").alias("level"))
 
 
 def resolved_files(records: DataFrame, listing: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ _WINDOWS = f"SELECT doc_id, text, s AS start, CASE WHEN length(text) <= {_MOST}
 @query(f"SELECT doc_id, start, cut, md5(substr(text, start + 1, cut - start)) AS piece FROM ({_WINDOWS})")
 def f13_windows(spark, sf_dir):
     rows = C.windows(V.table(spark, sf_dir, "documents"), _MOST, _OVER)
-    return rows.select("doc_id", "start", "cut", F.md5(F.substring("text", F.col("start") + 1, F.col("cut") - F.col("start"))).alias("piece"))
+    return rows.select("doc_id", "start", "cut", F.md5("piece").alias("piece"))
 
 
 _TRIMMED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
