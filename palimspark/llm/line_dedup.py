@@ -1,8 +1,8 @@
 """Repeated lines across a corpus, exact and within one edit, by a deletion-neighbourhood join.
 
 Lines (cut at line feeds, spaces around them taken off) of at least MIN_CHARS characters are compared; shorter
-ones are always kept. Exact repeats count at any of these lengths; one edit counts as the same line from NEAR_CHARS
-characters on (in a shorter line it is more than a twentieth of the text).
+ones are always kept. Exact repeats count at any of these lengths, and so does one edit; a caller may ask for a least
+length of either (``min_chars``, ``near_chars``).
 Equal lines are one node, numbered by their earliest occurrence (doc_id, then position).
 Two lines are within one edit exactly if one equals the other with a character deleted, or both agree after
 deleting the character at the same position. So every line emits hashed keys: itself, and itself without
@@ -35,7 +35,8 @@ from .arrow import slices
 from .shared import Scratch
 
 MIN_CHARS = 1
-NEAR_CHARS = 20
+#: Shortest line that one edit makes equal to another; 1 is the exact form.
+NEAR_CHARS = 1
 SPACES = " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -190,9 +191,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = N
 
     Documents that lose all their text this way go: every line of theirs stands in an earlier document.
     """
-    found = dropped_lines(docs, min_chars, near_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.concat("repeated", "near").alias("_gone")).filter(F.size("_gone") > 0)
+    found = dropped_lines(docs, min_chars, near_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.array_sort(F.concat("repeated", "near")).alias("_gone")).filter(F.size("_gone") > 0)
     joined = docs.join(found, same_row(F.col("doc_id").cast("long")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    def between(lines: Column) -> Column:
+        froms, untils = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda i: i + 1)), F.concat("_gone", F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(froms, untils, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+
+    # What lies between dropped positions, as slices. The lines are a lambda's variable, so that no condition on the result that
+    # Spark moves below cuts the text anew for each slice.
+    left = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), between), 1)
     cut = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     cut = cut.filter(F.col("_gone").isNull() | (F.length(F.translate("text", SPACES, "")) > 0)).select(*docs.columns)
     if "n_chars" in docs.columns:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -142,6 +143,29 @@ def test_line_dedup_equals_brute_force(spark, make_docs):
         assert left.get(i, "") == (rest if not want[i] or rest.strip() else "")
 
 
+def test_one_edit_counts_in_lines_of_any_length(make_docs):
+    rng = random.Random(9)
+    texts = ["\n".join("".join(rng.choice("ab1é ") for _ in range(rng.randint(0, 6))) for _ in range(4)) for _ in range(40)]
+    seen, want = [], {}
+    for i, text in enumerate(texts):
+        want[i] = []
+        for pos, line in enumerate(t.strip(line_dedup.SPACES) for t in text.split("\n")):
+            if line:
+                if any(distance(line, s) < 2 for s in seen):
+                    want[i].append(pos)
+                seen.append(line)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_digests(make_docs(texts)).collect()}
+    assert got == {i: ",".join(map(str, p)) for i, p in want.items()}
+
+
+def test_a_text_of_very_many_dropped_lines_is_cut_in_linear_time(make_docs):
+    lines = [f"line number {i * 7919} of a long text" for i in range(60_000)]
+    docs = make_docs(["\n".join(lines[::2]), "\n".join(lines)])
+    began = time.time()
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, near_chars=100).collect()}
+    assert left[1].split("\n") == lines[1::2] and time.time() - began < 30
+
+
 def test_line_dedup_edge_cases(spark, make_docs):
     docs = make_docs([*ODD, (None, "a line that is long enough to count"), (7, "a line that is long enough to count!")], clash=True)
     got = line_dedup.line_digests(docs).collect()
