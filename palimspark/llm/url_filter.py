@@ -39,8 +39,10 @@ RULES = [
     UrlRule("org", "/fr/", "allow"),
 ]
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+#: A link whose ``rel`` has the token canonical, and a refresh; attributes stand behind white space or a quote, so ``data-href`` is none.
+CANONICAL = r"""(?is)<link(?=[^>]*[\s"']rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>])))(?=\s)[^>]*?[\s"']href\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta(?=[^>]*[\s"']http-equiv\s*=\s*["']?refresh(?![\w-]))(?=\s)[^>]*?[\s"']content\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+COMMENT = r"(?s)<!--.*?(?:-->|$)"
 
 
 def url_host(url: Column) -> Column:
@@ -105,7 +107,7 @@ def node_key(host: Column, path: Column, query: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: list[UrlRule] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, node and component of every row of ``pages`` (page_id, url, html)."""
     rules = RULES if rules is None else rules
-    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    url, html = F.col("url").cast("string"), F.regexp_replace(F.col("html").cast("string"), COMMENT, " ")
     parsed = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), url_query(url).alias("query"), F.concat(*(F.when(F.coalesce(html, F.lit("")).rlike(p), F.regexp_extract_all(html, F.lit(p), F.lit(1))).otherwise(F.array().cast("array<string>")) for p in (CANONICAL, REFRESH))).alias("targets"))
     rule = matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path)
     own = matching_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)
@@ -144,9 +146,9 @@ def oracle() -> str:
     key = "CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END"
     tag = lambda name, value: f"list_filter(regexp_extract_all(html, '(?is)<{name}\\b[^>]*>'), lambda x: regexp_matches(x, '{value}'))"
     return f"""
-WITH RECURSIVE p AS (SELECT page_id, {host} AS host, {path} AS path, coalesce(html, '') AS html FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, {host} AS host, {path} AS path, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(-->|$)', ' ', 'g') AS html FROM pages),
 j AS (SELECT *, {case(lambda r: r.host + r.path)} AS rule, {case(lambda r: r.verdict)} AS own, {key} AS node FROM p),
-t AS (SELECT node, regexp_extract(unnest({tag("link", "(?i)rel\\s*=\\s*[\"'']?canonical")}), '(?i)href\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM j
+t AS (SELECT node, regexp_extract(unnest({tag("link", "(?i)[\\s\"'']rel\\s*=\\s*([\"'']([^\"''>]*\\s)?canonical[\\s\"'']|canonical[\\s/>])")}), '(?i)[\\s"'']href\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM j
       UNION ALL
       SELECT node, regexp_extract(unnest({tag("meta", "(?i)http-equiv\\s*=\\s*[\"'']?refresh")}), '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM j),
 e0 AS (SELECT node, {thost} AS host, {tpath} AS path FROM t),

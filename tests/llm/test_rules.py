@@ -119,6 +119,20 @@ def test_all_links_and_relative_targets(spark):
     assert {i for i, v in got.items() if v == "block"} == blocked and len(got) == len(rows)
 
 
+def test_tags_as_pages_write_them(spark):
+    """rel as a list of tokens, attributes that only look like href or rel, comments, malformed tags and a very long page."""
+    bad = "http://bad.net/x"
+    pages = [
+        f'<link rel="nofollow canonical" href="{bad}">', f"<link rel='canonical next' href='{bad}'>", f"<link href={bad} rel=canonical>", f'<link rel="canonical" data-href="http://ok.io/" href="{bad}">',
+        f"<LINK\nREL = canonical\nHREF = {bad} />", "<p>" + "x <" * 200_000 + f'<link rel="canonical" href="{bad}">',
+        f'<!-- <link rel="canonical" href="{bad}"> -->', f'<!-- open <link rel="canonical" href="{bad}">', f'<link rel="canonical" data-href="{bad}">', f'<link data-rel="canonical" href="{bad}">',
+        f'<link rel="noncanonical" href="{bad}">', f'<linkrel="canonical" href="{bad}">', f'<link rel="canonical" href="{bad}', '<link rel="canonical">', f'<a rel="canonical" href="{bad}">', f'<meta http-equiv="refresh-x" content="0;url={bad}">',
+    ]
+    rows = [(i, f"http://p{i}.io/", html) for i, html in enumerate(pages)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {0, 1, 2, 3, 4, 5, 12} and len(got) == len(pages)
+
+
 def test_toxic_words_outlive_an_ordinary_row_and_phrases_tell():
     rng = np.random.default_rng(6)
     common = [f"lorem{i}" for i in range(200)]
