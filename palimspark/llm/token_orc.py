@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import id_checksums, id_lists, slices
@@ -49,9 +49,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ranged.sortWithinPartitions(*order).mapInArrow(encode, TOKENS_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
+def ordered_name(name: Column) -> Column:
+    """A part file's name behind its number in twelve digits: writers pad numbers to five, and then 100000 sorts before 99999."""
+    return F.concat_ws("-", F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 12, "0"), name)
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """All documents of a token folder: doc_id, tokens, and the ``file`` that holds them (names sort in document order)."""
-    return spark.read.schema(TOKENS_SCHEMA).orc(path).select("doc_id", "tokens", F.col("_metadata.file_name").alias("file"))
+    """All documents of a token folder: doc_id, tokens, and the ``file`` that holds them, so named that names sort in document order."""
+    return spark.read.schema(TOKENS_SCHEMA).orc(path).select("doc_id", "tokens", ordered_name(F.col("_metadata.file_name")).alias("file"))
 
 
 def lookup_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

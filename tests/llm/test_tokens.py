@@ -137,3 +137,9 @@ def test_perfect_hash_is_minimal_and_perfect():
     index = byte_bpe.PerfectHash(keys)
     assert sorted(index.slots) == list(range(5000))
     assert [index.candidate(k) for k in keys] == list(range(5000))
+
+
+def test_files_sort_by_number_beyond_five_digits(spark):
+    names = [f"part-{i:05d}-abc.c000.zstd.orc" for i in (99_999, 100_000, 7, 100_001, 12)]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select(token_orc.ordered_name(token_orc.F.col("name")).alias("o"))
+    assert [r["o"].split("-")[2] for r in rows.orderBy("o").collect()] == ["00007", "00012", "99999", "100000", "100001"]
