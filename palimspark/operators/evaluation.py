@@ -42,6 +42,27 @@ def scorecard(rows: DataFrame) -> DataFrame:
     return each.unionByName(rows.groupBy("config").agg(*sums).withColumn("category", F.lit("all")))
 
 
+def capability(rows: DataFrame, regression: str, out_of_scope: list[str]) -> DataFrame:
+    """One row per config of (config, category, difficulty, passed, top_status): what the scorecard of categories leaves out.
+
+    Accuracy over all judged items and over those outside the ``regression`` class, which only guards against falling back; and
+    how often the first hit isn't the current version. Every item counts for that rate unless its difficulty is ``out_of_scope``;
+    an item without a first hit's status is no stale one, but reported as unknown.
+    """
+    scoped = ~F.coalesce(F.col("difficulty").isin(out_of_scope), F.lit(False))
+    stale = scoped & F.coalesce(F.col("top_status") != 3, F.lit(False))
+    share = lambda wanted: F.round(F.avg(F.when(wanted, F.col("passed").cast("int"))), 4)
+    return rows.groupBy("config").agg(
+        F.count("*").alias("n_items"),
+        share(F.lit(True)).alias("overall_accuracy"),
+        share(F.col("category") != regression).alias("capability_accuracy"),
+        F.count_if(stale).alias("stale_top1"),
+        F.count_if(scoped).alias("stale_denom"),
+        F.count_if(scoped & F.col("top_status").isNull()).alias("stale_unknown"),
+        F.round(F.count_if(stale) / F.nullif(F.count_if(scoped), F.lit(0)), 4).alias("stale_rate"),
+    )
+
+
 def compared(card: DataFrame, base: str, other: str) -> DataFrame:
     """Accuracy of two configurations side by side per category, with the difference."""
     wide = card.groupBy("category").pivot("config", [base, other]).agg(F.first("accuracy"))
@@ -52,12 +73,8 @@ def remaining(todo: DataFrame, done: DataFrame) -> DataFrame:
     return todo.join(done, ["id", "config"], "left_anti")
 
 
-def evaluated(hits: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """The scorecard of one retrieval under two configurations: as it is ('off') and reordered by validity ('on').
-
-    ``hits`` is what ``rerank_by_currency`` takes, ``items`` what ``judged`` takes and query_id and category. Items without
-    a hit are judged on an empty list.
-    """
+def judged_rows(hits: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The items with config, nodes, top_status and passed under both configurations of ``evaluated``."""
     best = hits.filter(F.col("rank") <= k)
     again = rerank_by_currency(best).drop("rank").withColumnRenamed("new_rank", "rank")
     both = best.withColumn("config", F.lit("off")).select("config", "query_id", "node_id", "rank", "status_code").unionByName(again.withColumn("config", F.lit("on")).select("config", "query_id", "node_id", "rank", "status_code"))
@@ -65,4 +82,13 @@ def evaluated(hits: DataFrame, items: DataFrame, k: int) -> DataFrame:
     lists = both.groupBy("config", "query_id").agg(nodes.alias("nodes"), F.min_by("status_code", "rank").alias("top_status"))
     asked = items.withColumn("config", F.explode(F.array(F.lit("off"), F.lit("on"))))
     rows = asked.join(lists, ["config", "query_id"], "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
-    return scorecard(rows.withColumn("passed", judged()))
+    return rows.withColumn("passed", judged())
+
+
+def evaluated(hits: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The scorecard of one retrieval under two configurations: as it is ('off') and reordered by validity ('on').
+
+    ``hits`` is what ``rerank_by_currency`` takes, ``items`` what ``judged`` takes and query_id and category. Items without
+    a hit are judged on an empty list.
+    """
+    return scorecard(judged_rows(hits, items, k))

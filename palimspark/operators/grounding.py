@@ -37,13 +37,32 @@ def grounding_report(support: DataFrame) -> DataFrame:
     return support.groupBy("query_id", "answer_id").agg(F.count("*").alias("n_sentences"), F.round(share, 6).alias("unsupported"), (share <= MAX_UNSUPPORTED).alias("passed"))
 
 
-def verified_answers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per answer (query_id, answer_id, text): its grounding without Markdown scaffolding, and what must be redacted in it."""
+def verified_answers(answers: DataFrame, evidence: DataFrame, notice: str = "") -> DataFrame:
+    """Per answer (query_id, answer_id, text) all that is checked before it is shown, against (query_id, chunk_id, text).
+
+    Grounding of its statements without Markdown scaffolding; citations, and those whose article the evidence names; the share of
+    chunks with a common run of 12 characters; what must be redacted; and the answer that is left: without unsupported sentences,
+    redacted (``notice`` where nothing is left).
+    """
     plain = answers.withColumn("text", T.without_scaffolding(F.col("text")))
-    report = grounding_report(best_support(plain, evidence))
-    found = answers.select("query_id", "answer_id", T.redactions(F.col("text")).alias("redactions"), F.md5(T.redacted(F.col("text"))).alias("clean_md5"))
-    unsaid = F.coalesce("n_sentences", F.lit(0))
-    return found.join(report, ["query_id", "answer_id"], "left").withColumns({"n_sentences": unsaid, "passed": F.coalesce("passed", F.lit(False))})
+    support = best_support(plain, evidence)
+    report = grounding_report(support)
+    weak = support.filter(F.col("score") < SUPPORTED).groupBy("query_id", "answer_id").agg(F.collect_set("pos").alias("_weak"))
+    key = F.struct("query_id", "answer_id")
+    keyed = answers.select(key.alias("doc_id"), "query_id", "text")
+    context = evidence.groupBy("query_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda c: c["text"])).alias("context"))  # what one prompt holds
+    cited = citation_hits(citations(keyed.select("doc_id", "text")), keyed.join(context, "query_id", "left").select("doc_id", "context"))
+    pairs = keyed.join(evidence.select("query_id", T.bare(F.col("text")).alias("chunk")), "query_id", "left").select(F.col("doc_id").alias("answer_id"), T.bare(F.col("text")).alias("answer"), "chunk")
+    overlap = overlap_ratio(pairs).select(F.col("answer_id.query_id").alias("query_id"), F.col("answer_id.answer_id").alias("answer_id"), F.col("ratio").alias("overlap"))
+    cited = cited.select(F.col("doc_id.query_id").alias("query_id"), F.col("doc_id.answer_id").alias("answer_id"), F.col("total").alias("n_citations"), F.col("hits").alias("n_verified"))
+    said = plain.select("query_id", "answer_id", T.sentences(F.col("text")).alias("_said")).join(weak, ["query_id", "answer_id"], "left")
+    gone = said.select("query_id", "answer_id", F.filter("_said", lambda s, i: F.coalesce(F.array_contains("_weak", i), F.lit(False))).alias("_gone"))
+    found = answers.select("query_id", "answer_id", "text", T.redactions(F.col("text")).alias("redactions"))
+    for part in (report, cited, overlap, gone):
+        found = found.join(part, ["query_id", "answer_id"], "left")
+    left = T.redacted(without_unsupported(F.col("text"), F.coalesce("_gone", F.array().cast("array<string>")), notice))
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_sentences", "n_citations", "n_verified")}
+    return found.withColumns(counts | {"passed": F.coalesce("passed", F.lit(False)), "clean_md5": F.md5(left)}).drop("text", "_gone")
 
 
 def overlap_ratio(pairs: DataFrame) -> DataFrame:
@@ -59,6 +78,28 @@ def overlap_ratio(pairs: DataFrame) -> DataFrame:
     return grouped.select("answer_id", "chunks", "hits", F.round(ratio, 6).alias("ratio"))
 
 
+def shared_runs(answers: DataFrame, chunks: DataFrame, n: int = 12) -> DataFrame:
+    """(answer_id, chunk_ids): the chunks of (chunk_id, chunk) that share a run of ``n`` characters with each answer (answer_id, answer).
+
+    An inverted table of the chunks' n-grams is the join key, so any answer meets any chunk with a common run and nothing
+    else. A gram stands there once, with all its chunks; an answer's gram leaves its task once.
+    """
+    grams = lambda c: F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))))
+    inverted = chunks.select("chunk_id", F.explode(grams(F.col("chunk"))).alias("gram")).groupBy("gram").agg(F.collect_set("chunk_id").alias("_chunks"))
+    said = answers.select("answer_id", F.explode(grams(F.col("answer"))).alias("gram"))
+    return said.join(inverted, "gram").groupBy("answer_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_chunks")))).alias("chunk_ids"))
+
+
+def overlap_with_all(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As ``overlap_ratio``, each answer against all chunks; both texts are bare."""
+    total = chunks.filter("chunk is not null").agg(F.count("*").alias("chunks"))  # one row
+    met = answers.join(shared_runs(answers, chunks), "answer_id", "left").join(F.broadcast(total))
+    hits = F.coalesce(F.size("chunk_ids"), F.lit(0)).cast("long")
+    hits = F.greatest(hits, F.lit(0).cast("long"))
+    ratio = F.when((F.coalesce(F.length("answer"), F.lit(0)) < 8) | (F.col("chunks") == 0), 1.0).otherwise(F.least(F.lit(1.0), hits / F.least(F.lit(3), F.col("chunks"))))
+    return met.select("answer_id", "chunks", hits.alias("hits"), F.round(ratio, 6).alias("ratio"))
+
+
 def normalised(text: Column) -> Column:
     """Article, item and bracketed numbers written with digits."""
 

@@ -18,6 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimspark import storage
 from palimspark.operators.lexical import K1, B, term_statistics
 from palimspark.operators.ranking import top_k
 from palimspark.storage import exists, shared_path
@@ -54,16 +55,11 @@ def build(tokens: DataFrame, path: str) -> None:
     least.write.parquet(f"{path}/manifest")
 
 
-def publish(spark: SparkSession, built: str, path: str) -> None:
-    """Make the finished index in ``built`` the one that ``path`` stands for; readers of the one before keep its files."""
+def publish(spark: SparkSession, built: str, name: str) -> None:
+    """Make the finished index in ``built`` the one that ``name`` stands for; readers of the one before keep its files."""
     if not is_built(spark, built):
         raise ValueError(f"there is no finished index in {built}")
-    spark.createDataFrame([(built,)], "place string").write.mode("overwrite").parquet(path)
-
-
-def published(spark: SparkSession, path: str) -> str | None:
-    """The folder that ``path`` stands for, if any."""
-    return spark.read.parquet(path).first()["place"] if exists(spark, f"{path}/_SUCCESS") else None
+    storage.publish(spark, built, name)
 
 
 def is_built(spark: SparkSession, path: str) -> bool:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimspark.operators.ranking import top_k
+from palimspark.storage import publish, published
 
 #: Queries that are broadcast at most, and nodes and queries that a task holds otherwise.
 QUERY_BLOCK = 4096
@@ -69,3 +71,32 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     kept = held.withColumns({"piece": F.pmod(F.xxhash64("node_id"), F.lit(pieces)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     met = dealt.withColumn("block", F.col("block").cast("int")).groupBy("block", "piece").cogroup(kept.groupBy("block", "piece"))
     return top_k(met.applyInPandas(lambda a, b: _best(a, b, k), schema), k)
+
+
+def build_table(vectors: DataFrame, base: str, size: int) -> DataFrame:
+    """Write (node_id, embedding) as a new version below ``base``, check it and only then make it the current one.
+
+    Every vector must have ``size`` components, before and after the write, and the written table as many rows and the same
+    ids. A build that fails raises and leaves the current version as it was; versions before stay for their readers.
+    """
+    spark = vectors.sparkSession
+    state = lambda df: df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("embedding") != size, F.lit(True))).alias("wrong"), F.count_if(F.col("node_id").isNull()).alias("nameless"), F.sum(F.xxhash64("node_id").cast("decimal(38,0)")).alias("ids")).first()
+    own = vectors.select("node_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    before = state(own)
+    if before["wrong"] or before["nameless"]:
+        raise ValueError(f"{before['wrong']} of {before['n']} vectors don't have {size} components, {before['nameless']} have no id")
+    place = f"{base}/version-{uuid.uuid4().hex}"
+    own.write.parquet(place)
+    after = state(spark.read.parquet(place))
+    if after != before:
+        raise ValueError(f"the written table has {after}, not {before}")
+    publish(spark, place, f"{base}/current")
+    return spark.read.parquet(place)
+
+
+def current_table(spark: SparkSession, base: str) -> DataFrame:
+    """The current version of the table below ``base``."""
+    place = published(spark, f"{base}/current")
+    if place is None:
+        raise ValueError(f"no table was built below {base}")
+    return spark.read.parquet(place)

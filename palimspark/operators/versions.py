@@ -99,6 +99,19 @@ def current_version(rows: DataFrame) -> DataFrame:
     return rows.groupBy("title").agg(F.min_by("bbbs", F.struct(~F.coalesce(F.col("status_code") == 3, F.lit(False)), F.col("bbbs"))).alias("bbbs"))
 
 
+def proven_seeds(seeds: DataFrame, versions: DataFrame, texts: DataFrame, least: int = 1) -> DataFrame:
+    """Seeds (seed_id, titles, keyword) that the sources prove, with ``sources``, the versions whose text matches the keyword.
+
+    Each title stands for its current version (else its first). ``keyword`` is a regular expression, ``versions`` is
+    (title, bbbs, status_code), ``texts`` is (bbbs, text); a version without text proves nothing. A seed with fewer than
+    ``least`` proven sources goes. Texts are read where a seed asks for them only.
+    """
+    asked = seeds.select("seed_id", "keyword", F.explode(F.array_distinct("titles")).alias("title"))
+    met = asked.join(current_version(versions), "title").join(texts, "bbbs").filter(F.regexp_like("text", F.col("keyword")))
+    found = met.groupBy("seed_id").agg(F.array_sort(F.collect_set("bbbs")).alias("sources"))
+    return found.filter(F.size("sources") >= least)
+
+
 def version_questions(rows: DataFrame) -> DataFrame:
     """Titles with several dated versions that lie two years apart or more: a probe year half-way and its true version."""
     own = rows.filter("effective_date IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimspark.functions import text as T
 from palimspark.operators import grounding as G
 from palimspark.plans.text_queries import _BARE, _BOOST, _GRAMS
+from palimspark.sources import files
 from palimspark.sources import views as V
 from palimspark.storage import shared_path
 from palimspark.streaming import jobs as J
@@ -61,6 +62,18 @@ def a11_overlap_ratio(spark, sf_dir):
     return G.overlap_ratio(docs.join(items, "item_id", "left"))
 
 
+_TWELVE = "SELECT {0} AS id, unnest(list_distinct(list_transform(range(1, length(t) - 10), lambda i: substr(t, i, 12)))) AS g FROM (SELECT {0}, " + _BARE.format("text") + " AS t FROM {1}) WHERE length(t) >= 12"
+
+
+@query(f"""SELECT doc_id AS answer_id, chunks, coalesce(hits, 0) AS hits, round(CASE WHEN n < 8 OR chunks = 0 THEN 1.0 ELSE least(1.0, coalesce(hits, 0) / least(3, chunks)) END, 6) AS ratio
+FROM (SELECT doc_id, length({_BARE.format("text")}) AS n FROM documents) CROSS JOIN (SELECT count(*) AS chunks FROM benchmark)
+LEFT JOIN (SELECT a.id, count(DISTINCT b.id) AS hits FROM ({_TWELVE.format("doc_id", "documents")}) a JOIN ({_TWELVE.format("item_id", "benchmark")}) b USING (g) GROUP BY a.id) ON id = doc_id""")
+def a11_overlap_with_all(spark, sf_dir):
+    """Every document against every item, by the runs that they share."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), T.bare(F.col("text")).alias("answer"))
+    return G.overlap_with_all(docs, V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), T.bare(F.col("text")).alias("chunk")))
+
+
 def _cited_texts(spark, sf_dir):
     rows = V.citations(spark, sf_dir)
     odd = F.col("l_linenumber") % 2 == 1
@@ -125,6 +138,30 @@ def r03_idempotent_intake(spark, sf_dir):
     return J.finished(J.idempotent_intake(_stream(spark, sf_dir), key, "400 days").select(*key), key, "append")
 
 
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, coalesce(sum(CAST(event_id % 5 = 0 AS INT)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) WHERE before = 0")
+def r03_success_intake(spark, sf_dir):
+    """Failed calls may be repeated until one succeeds; successes are remembered for longer than the events range."""
+    calls = _stream(spark, sf_dir).withColumn("success", F.col("event_id") % 5 == 0)
+    return J.finished(J.success_intake(calls, ["user_id", "event_type"], 400 * 86_400_000, "400 days"), ["user_id", "event_type", "event_id"], "append")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def s12_audit_log(spark, sf_dir):
+    """Events as audit rows: appended by a stream, one batch of it twice, and read again as a stream by day."""
+    path, schema = shared_path(spark, "audit"), "event_id long, ts timestamp, user_id long, event_type string"
+    rows = _stream(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
+
+    def keep(batch, number):
+        for _ in range(2):  # a replay
+            files.append_audit(batch, number, path)
+
+    rows.writeStream.option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    back = files.read_audit(spark, path, schema, stream=True)
+    counted = back.groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    exact = files.read_audit(spark, path, schema).groupBy("day", "event_type").agg(F.countDistinct("user_id").alias("users"))
+    return J.finished(counted, ["day", "event_type"]).join(exact, ["day", "event_type"])
+
+
 @query("SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def r05_activity_sessions(spark, sf_dir):
     return J.finished(J.activity_sessions(_stream(spark, sf_dir), late="400 days"), ["user_id", "session_start"], "complete")

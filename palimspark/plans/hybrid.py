@@ -10,7 +10,7 @@ from palimspark.operators import access, lexical_index, ranking
 from palimspark.operators.ranking import fuse_max, fuse_rrf, top_k
 from palimspark.operators.vectors import nearest
 from palimspark.sources import views as V
-from palimspark.storage import fingerprint, kept_path, shared_path
+from palimspark.storage import fingerprint, kept_path, published, shared_path
 
 TOP_K = 10
 WIDE_K = 20  # candidates of a branch where re-ranking follows
@@ -34,7 +34,7 @@ def build_index(spark: SparkSession, sf_dir: str) -> str:
 def corpus_index(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
     """The index of the documents, built when their files have none yet in the shared folder."""
     path = kept_path(spark, "lexical", fingerprint(V.table(spark, sf_dir, "documents"), sf_dir, NODES_SQL))
-    place = lexical_index.published(spark, path)
+    place = published(spark, path)
     if place is None or not lexical_index.is_built(spark, place):
         place = build_index(spark, sf_dir)
         lexical_index.publish(spark, place, path)

@@ -110,6 +110,22 @@ def j17_current_version(spark, sf_dir):
     return R.current_version(V.versions(spark, sf_dir))
 
 
+#: Documents as versions with texts, and benchmark items as seeds that ask two titles for a word; valid in both engines.
+_SOURCES = "SELECT concat('T', CAST(doc_id % 50 AS STRING)) AS title, CAST(doc_id AS STRING) AS bbbs, CAST(CASE doc_id % 6 WHEN 5 THEN 3 ELSE 2 END AS INT) AS status_code, text FROM documents"
+_SEEDS = "SELECT item_id AS seed_id, concat('T', CAST(item_id % 50 AS STRING)) AS t1, concat('T', CAST((item_id + 7) % 50 AS STRING)) AS t2, concat('(?i)', substr(text, 1, 2), '[a-z]*[ ,.]') AS keyword FROM benchmark"
+
+
+@query(f"""WITH v AS ({_SOURCES}), cur AS (SELECT title, bbbs, text FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY status_code <> 3, bbbs) AS r FROM v) WHERE r = 1),
+s AS (SELECT seed_id, unnest([t1, t2]) AS title, keyword FROM ({_SEEDS}))
+SELECT seed_id, count(*) AS n_sources, min(bbbs) AS first_source FROM s JOIN cur USING (title) WHERE regexp_matches(text, keyword) GROUP BY seed_id HAVING count(*) >= 2""")
+def j17_keyword_proof(spark, sf_dir):
+    """Seeds whose keyword stands in the current texts of both titles they name."""
+    own = V.view(spark, sf_dir, _SOURCES)
+    seeds = V.view(spark, sf_dir, _SEEDS).select("seed_id", F.array("t1", "t2").alias("titles"), "keyword")
+    proven = R.proven_seeds(seeds, own.select("title", "bbbs", "status_code"), own.select("bbbs", "text"), 2)
+    return proven.select("seed_id", F.size("sources").cast("long").alias("n_sources"), F.array_min("sources").alias("first_source"))
+
+
 @query(f"WITH v AS ({V.VERSIONS_SQL}), s AS (SELECT category, title, CAST(floor((year(min(effective_date)) + year(max(effective_date))) / 2) AS INT) AS probe FROM v GROUP BY ALL HAVING count(*) > 1 AND year(max(effective_date)) - year(min(effective_date)) >= 2) SELECT category, title, probe, truth FROM (SELECT category, title, probe, bbbs AS truth, row_number() OVER (PARTITION BY category, title ORDER BY effective_date DESC, bbbs DESC) AS r FROM v JOIN s USING (category, title) WHERE effective_date <= make_date(probe, 12, 31)) WHERE r = 1")
 def t06_version_questions(spark, sf_dir):
     return R.version_questions(V.versions(spark, sf_dir))

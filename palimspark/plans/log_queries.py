@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from palimspark.operators import evaluation as E
 from palimspark.operators import logs as L
 from palimspark.operators import sessions as S
+from palimspark.operators import vectors
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
 from palimspark.sources import views as V
+from palimspark.storage import shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -243,6 +245,20 @@ def s06_question_pairs(spark, sf_dir):
     return u.join(v, ["conv_id", "turn"]).groupBy("q", "a").agg(F.min_by("conv_id", F.struct("conv_id", "turn")).alias("conv_id"))
 
 
+@query("SELECT count(*) AS vectors, CAST(sum(vec_id) AS BIGINT) AS id_sum, round(sum(embedding[1]), 4) AS first_sum FROM embeddings")
+def s08_vector_build(spark, sf_dir):
+    """Builds a version of the vector table, fails to build a second one, and reads the current one."""
+    base = shared_path(spark, "vectors")
+    rows = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+    vectors.build_table(rows, base, 64)
+    try:
+        vectors.build_table(rows.withColumn("embedding", F.slice("embedding", 1, F.when(F.col("node_id") % 7 == 0, 63).otherwise(64))), base, 64)
+    except ValueError:
+        pass  # the current version stays
+    held = vectors.current_table(spark, base)
+    return held.agg(F.count("*").alias("vectors"), F.sum("node_id").alias("id_sum"), F.round(F.sum(F.get("embedding", 0)), 4).alias("first_sum"))
+
+
 @query("SELECT count(*) AS vectors, count(*) FILTER (len(embedding) <> 64) AS wrong_size FROM embeddings")
 def s08_vector_sizes(spark, sf_dir):
     return V.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors"), F.count_if(F.size("embedding") != 64).alias("wrong_size"))

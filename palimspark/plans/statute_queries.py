@@ -171,9 +171,22 @@ r AS (SELECT config, 'c' || query_id % 4 AS category, CASE WHEN query_id % 2 = 0
 SELECT config, category, {_CARD} FROM r GROUP BY ALL UNION ALL SELECT config, 'all', {_CARD} FROM r GROUP BY config""")
 def x03_evaluation(spark, sf_dir):
     hits = version_hits(spark, sf_dir, 10)
+    return evaluation.evaluated(hits, _items(hits), 10)
+
+
+def _items(hits):
     judge = F.when(F.col("query_id") % 2 == 0, "top_status").otherwise("unknown_validity")
-    items = hits.select("query_id").distinct().select("query_id", F.concat(F.lit("c"), (F.col("query_id") % 4).cast("string")).alias("category"), judge.alias("judge_type"), F.lit(None).cast("long").alias("expected"), F.array().cast("array<bigint>").alias("expected_set"), F.lit(3).alias("want_status"), F.lit(True).alias("gate_passed"))
-    return evaluation.evaluated(hits, items, 10)
+    return hits.select("query_id").distinct().select("query_id", F.concat(F.lit("c"), (F.col("query_id") % 4).cast("string")).alias("category"), F.when(F.col("query_id") % 5 == 0, "dated").otherwise("plain").alias("difficulty"), judge.alias("judge_type"), F.lit(None).cast("long").alias("expected"), F.array().cast("array<bigint>").alias("expected_set"), F.lit(3).alias("want_status"), F.lit(True).alias("gate_passed"))
+
+
+@query(f"""WITH h AS (SELECT * FROM ({_VERSION_HITS}) WHERE rank <= 10), c AS (SELECT 'off' AS config, query_id, status_code, rank FROM h UNION ALL SELECT 'on', query_id, status_code, rank FROM ({_ON})),
+r AS (SELECT config, 'c' || query_id % 4 AS category, query_id % 5 > 0 AS scoped, status_code, CASE WHEN query_id % 2 = 0 THEN status_code IS NOT DISTINCT FROM 3 END AS passed FROM c WHERE rank = 1)
+SELECT config, count(*) AS n_items, round(avg(CAST(passed AS INT)), 4) AS overall_accuracy, round(avg(CAST(passed AS INT)) FILTER (category <> 'c0'), 4) AS capability_accuracy, count(*) FILTER (scoped AND status_code <> 3) AS stale_top1,
+ count(*) FILTER (scoped) AS stale_denom, count(*) FILTER (scoped AND status_code IS NULL) AS stale_unknown, round(count(*) FILTER (scoped AND status_code <> 3) / count(*) FILTER (scoped), 4) AS stale_rate FROM r GROUP BY config""")
+def a08_capability(spark, sf_dir):
+    """Accuracy without the regression class, stale first hits and unknown ones, with validity off and on."""
+    hits = version_hits(spark, sf_dir, 10)
+    return evaluation.capability(evaluation.judged_rows(hits, _items(hits), 10), "c0", ["dated"])
 
 
 @query()

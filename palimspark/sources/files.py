@@ -102,3 +102,36 @@ def freeze(items: DataFrame, path: str, key: str, seed: str) -> DataFrame:
     whole = digest.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("content")).withColumn("seed", F.lit(seed))
     whole.write.mode("errorifexists").json(f"{path}/manifest")
     return whole
+
+
+def append_audit(rows: DataFrame, batch: int, path: str) -> None:
+    """Append one numbered batch of audit rows (ts, ...) below ``path``, by day; the sink of a stream's ``foreachBatch``.
+
+    A batch that comes again replaces its own files, so a replay adds no row. Days are partitions, so a reader of some days
+    lists and reads those only.
+    """
+    dated = rows.withColumns({"day": F.to_date("ts"), "batch": F.lit(batch).cast("long")})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").json(path)
+
+
+def read_audit(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
+    """Audit rows with ``day`` and ``batch``, as a table or as a stream of what is appended."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(f"{schema}, day date, batch long").json(path)
+
+
+def quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows of JSON lines with the ``file`` they come from, and bad ones as (file, line, text), ``line`` counted from 1.
+
+    Lines are numbered only in files that hold a bad one: each such file is read whole by one task, the others as usual, in splits.
+    """
+    name = F.col("_metadata.file_path").alias("file")
+    parsed = F.from_json("text", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).select(F.col("value").alias("text"), name).filter(F.length(F.trim("text")) > 0).withColumn("row", parsed)
+    names = [f.split()[0] for f in schema.split(",")]
+    good = rows.filter("row._corrupt_record is null").select(*(F.col(f"row.{c}").alias(c) for c in names), "file")
+    bad_files = rows.filter("row._corrupt_record is not null").select(F.col("file").alias("_f")).distinct()
+    whole = spark.read.text(path, wholetext=True).select(name, F.col("value")).join(bad_files, F.col("file") == F.col("_f"), "left_semi")
+    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line", "text"))
+    bad = lines.filter(F.length(F.trim("text")) > 0).withColumn("row", parsed).filter("row._corrupt_record is not null")
+    return good, bad.select("file", (F.col("line") + 1).alias("line"), "text")

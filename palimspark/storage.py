@@ -36,3 +36,24 @@ def fingerprint(table: DataFrame, *about: str) -> str:
 def kept_path(spark: SparkSession, label: str, name: str) -> str:
     """A path below the shared folder that is the same whenever ``name`` is; what lies there outlives the query."""
     return f"{shared_path(spark, 'x').rpartition('/')[0]}/{label}-{name}"
+
+
+def publish(spark: SparkSession, place: str, name: str) -> None:
+    """Make ``place`` what ``name`` stands for: by one more pointer behind those before, never by changing one."""
+    number = max(_pointers(spark, name), default=0) + 1
+    spark.createDataFrame([(place,)], "place string").coalesce(1).write.parquet(f"{name}/{number:08d}")
+
+
+def published(spark: SparkSession, name: str) -> str | None:
+    """The place of the newest finished pointer, if any."""
+    number = max(_pointers(spark, name), default=0)
+    return spark.read.parquet(f"{name}/{number:08d}").first()["place"] if number else None
+
+
+def _pointers(spark: SparkSession, name: str) -> list[int]:
+    """Numbers of finished pointers; as many as there were builds."""
+    if not exists(spark, name):
+        return []
+    place = spark._jvm.org.apache.hadoop.fs.Path(name)
+    found = [f.getPath().getName() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    return [int(f) for f in found if f.isdigit() and exists(spark, f"{name}/{f}/_SUCCESS")]

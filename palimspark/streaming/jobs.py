@@ -42,6 +42,34 @@ def idempotent_intake(events: DataFrame, key: list[str], within: str) -> DataFra
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
+def success_intake(calls: DataFrame, key: list[str], ttl_ms: int, late: str = "1 hour") -> DataFrame:
+    """The calls (key, event_id, ts, success) that run: all of a key but those while a success of it is remembered.
+
+    Only a success is remembered, for ``ttl_ms`` of event time, so a failure doesn't block its repeat. Calls count in the
+    order of ts and event_id inside a micro-batch, and micro-batches in theirs; state expires by the watermark.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
+
+    def admit(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else -1  # up to here a success is remembered
+        ran = []
+        for row in pd.concat(list(frames)).sort_values(["at_ms", "event_id"]).itertuples():
+            if row.at_ms >= until:
+                ran.append(row.event_id)
+                until = row.at_ms + ttl_ms if row.success else until
+        if until >= 0:
+            state.update((int(until),))
+            state.setTimeoutTimestamp(max(int(until), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{k: [v] * len(ran) for k, v in zip(key, own, strict=True)}, "event_id": ran})
+
+    timed = calls.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*key, "event_id"])
+    return timed.groupBy(*key).applyInPandasWithState(admit, schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of activity per user that no longer pause cuts."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimspark.operators import access, lexical, lexical_index, ranking
 from palimspark.plans import hybrid
-from palimspark.storage import shared_path
+from palimspark.storage import published, shared_path
 
 rng = random.Random(11)
 WORDS = [f"w{i}" for i in range(30)]
@@ -45,13 +45,13 @@ def test_an_unfinished_index_is_not_searched_and_a_new_one_replaces_the_old(spar
     corpus.write.parquet(f"{half}/nodes")
     with pytest.raises(ValueError):
         lexical_index.publish(spark, half, name)
-    assert lexical_index.published(spark, name) is None
+    assert published(spark, name) is None
     for rows in (corpus, corpus.limit(5)):
         path = shared_path(spark, "index")
         lexical_index.build(rows, path)
         lexical_index.publish(spark, path, name)
-        assert lexical_index.published(spark, name) == path
-    assert lexical_index.open_index(spark, lexical_index.published(spark, name)).nodes.count() == 5
+        assert published(spark, name) == path
+    assert lexical_index.open_index(spark, published(spark, name)).nodes.count() == 5
 
 
 def test_empty_corpus(spark, corpus):
