@@ -121,6 +121,24 @@ def version_questions(rows: DataFrame) -> DataFrame:
     return eligible.groupBy("category", "title", "probe").agg(F.max_by("bbbs", F.struct("effective_date", "bbbs")).alias("truth"))
 
 
+def version_ladder(rows: DataFrame, n_current: int, n_all: int, seed: str) -> DataFrame:
+    """(difficulty, category, title, probe, truth) of questions about titles with several versions: which one is current, which ones
+    there are, which one was in force in a probe year.
+
+    Titles with a current version are taken in a seeded order, the first ``n_current`` for the first kind, the next ``n_all``
+    for the second; the third takes every title that ``version_questions`` does. ``truth`` holds the ids, sorted.
+    """
+    current = F.min(F.when(F.col("status_code") == 3, F.col("bbbs")))
+    several = rows.groupBy("category", "title").agg(F.count("*").alias("n"), current.alias("current"), F.array_sort(F.collect_list("bbbs")).alias("all")).filter("n > 1 AND current IS NOT NULL")
+    order = F.md5(F.concat(F.lit(seed), "category", F.lit("/"), "title"))
+    first = several.withColumn("place", order).orderBy("place", "category", "title").limit(n_current + n_all)  # bounded
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("place", "category", "title")))
+    easy = F.col("place") <= n_current
+    asked = placed.select(F.when(easy, "version_current").otherwise("version_enumerate").alias("difficulty"), "category", "title", F.lit(None).cast("int").alias("probe"), F.when(easy, F.array("current")).otherwise(F.col("all")).alias("truth"))
+    dated = version_questions(rows).select(F.lit("version_time_travel").alias("difficulty"), "category", "title", "probe", F.array("truth").alias("truth"))
+    return asked.unionByName(dated)
+
+
 def sampled(rows: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
     """The first n rows of each class in a seeded order that any engine can repeat, and a dev or test half."""
     order = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)

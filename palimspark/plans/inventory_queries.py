@@ -126,7 +126,18 @@ def j17_keyword_proof(spark, sf_dir):
     return proven.select("seed_id", F.size("sources").cast("long").alias("n_sources"), F.array_min("sources").alias("first_source"))
 
 
-@query(f"WITH v AS ({V.VERSIONS_SQL}), s AS (SELECT category, title, CAST(floor((year(min(effective_date)) + year(max(effective_date))) / 2) AS INT) AS probe FROM v GROUP BY ALL HAVING count(*) > 1 AND year(max(effective_date)) - year(min(effective_date)) >= 2) SELECT category, title, probe, truth FROM (SELECT category, title, probe, bbbs AS truth, row_number() OVER (PARTITION BY category, title ORDER BY effective_date DESC, bbbs DESC) AS r FROM v JOIN s USING (category, title) WHERE effective_date <= make_date(probe, 12, 31)) WHERE r = 1")
+_TIME_TRAVEL = f"WITH v AS ({V.VERSIONS_SQL}), s AS (SELECT category, title, CAST(floor((year(min(effective_date)) + year(max(effective_date))) / 2) AS INT) AS probe FROM v GROUP BY ALL HAVING count(*) > 1 AND year(max(effective_date)) - year(min(effective_date)) >= 2) SELECT category, title, probe, truth FROM (SELECT category, title, probe, bbbs AS truth, row_number() OVER (PARTITION BY category, title ORDER BY effective_date DESC, bbbs DESC) AS r FROM v JOIN s USING (category, title) WHERE effective_date <= make_date(probe, 12, 31)) WHERE r = 1"
+
+
+@query(f"""WITH m AS (SELECT category, title, min(bbbs) FILTER (status_code = 3) AS current, list(bbbs ORDER BY bbbs) AS every FROM {_V} GROUP BY ALL HAVING count(*) > 1 AND current IS NOT NULL),
+p AS (SELECT *, row_number() OVER (ORDER BY md5('s9' || category || '/' || title), category, title) AS place FROM m)
+SELECT CASE WHEN place <= 20 THEN 'version_current' ELSE 'version_enumerate' END AS difficulty, category, title, CAST(NULL AS INT) AS probe, CASE WHEN place <= 20 THEN [current] ELSE every END AS truth FROM p WHERE place <= 30
+UNION ALL SELECT 'version_time_travel', category, title, probe, [truth] FROM ({_TIME_TRAVEL})""")
+def t06_version_ladder(spark, sf_dir):
+    return R.version_ladder(V.versions(spark, sf_dir), 20, 10, "s9")
+
+
+@query(_TIME_TRAVEL)
 def t06_version_questions(spark, sf_dir):
     return R.version_questions(V.versions(spark, sf_dir))
 

@@ -12,6 +12,7 @@ from palimspark.plans.hybrid import with_ctes
 from palimspark.sources import files
 from palimspark.sources import views as V
 from palimspark.storage import shared_path
+from palimspark.streaming import jobs as J
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -129,6 +130,19 @@ def r08_progress(spark, sf_dir):
     return V.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("done"), F.round(100.0 * F.count("*") / 200, 4).alias("percent"), F.round(F.count("*") / seconds, 9).alias("rate"))
 
 
+@query("SELECT 'events' AS name, count(*) AS total, count(*) AS done, 100.0 AS percent, true AS has_rate, 0.0 AS eta_seconds FROM events")
+def r08_live_progress(spark, sf_dir):
+    """A stream over four files of events, one a micro-batch, with what its progress tells."""
+    rows = V.table(spark, sf_dir, "events").select("event_id", "user_id")
+    files_of, out = shared_path(spark, "events"), shared_path(spark, "kept")
+    rows.repartition(4, "event_id").write.parquet(files_of)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(files_of)
+    run = stream.writeStream.queryName("events").format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    told = J.with_eta(J.progress_rows(spark, run), rows.agg(F.lit("events").alias("name"), F.count("*").alias("total")))
+    return told.select("name", "total", "done", F.col("percent").cast("double").alias("percent"), (F.col("rate") > 0).alias("has_rate"), "eta_seconds")
+
+
 @query("SELECT conv_id, turn, len(kept) AS n_sentences FROM (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(regexp_replace(t, '([。！？!?；;])', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 2) AS kept FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations)) WHERE len(kept) > 0")
 def x07_table_function(spark, sf_dir):
     spark.udtf.register("sentences_of", R.Sentences)

@@ -145,6 +145,27 @@ def on_time(events: DataFrame, window: str, late: str) -> tuple[DataFrame, int]:
     return spark.read.schema("window_start timestamp, event_type string, n long").parquet(out), dropped
 
 
+def progress_rows(spark: SparkSession, query) -> DataFrame:
+    """(name, batch, n_rows, at, seconds) of the micro-batches of a query, running or ended, that it still knows (some hundred)."""
+    rows = [(query.name or str(query.id), p.batchId, p.numInputRows, p.timestamp, p.durationMs.get("triggerExecution", 0) / 1000) for p in query.recentProgress if p.numInputRows]
+    schema = "name string, batch long, n_rows long, at string, seconds double"
+    return spark.createDataFrame(rows, schema).withColumn("at", F.to_timestamp("at"))
+
+
+def with_eta(progress: DataFrame, totals: DataFrame, weight: float = 0.5) -> DataFrame:
+    """Per name of (name, batch, n_rows, seconds): rows done of the total (name, total), percent, rate and seconds to go.
+
+    The rate is a running mean in which each batch counts ``weight`` and all before it the rest; without a rate there is no estimate.
+    A name without a batch has done nothing.
+    """
+    speeds = F.transform(F.array_sort(F.collect_list(F.struct("batch", (F.col("n_rows") / F.greatest("seconds", F.lit(1e-3))).alias("speed")))), lambda b: b["speed"])
+    rate = F.aggregate("_speeds", F.lit(-1.0), lambda acc, x: F.when(acc < 0, x).otherwise(weight * x + (1 - weight) * acc))
+    done = progress.groupBy("name").agg(F.sum("n_rows").alias("done"), speeds.alias("_speeds")).withColumn("rate", rate)
+    met = totals.join(done, "name", "left").withColumn("done", F.coalesce("done", F.lit(0)).cast("long"))
+    left = F.greatest(F.col("total") - F.col("done"), F.lit(0))
+    return met.select("name", "total", "done", F.round(100.0 * F.col("done") / F.greatest("total", F.lit(1)), 2).alias("percent"), F.round("rate", 3).alias("rate"), F.when(F.col("rate") > 0, F.round(left / F.col("rate"), 1)).alias("eta_seconds"))
+
+
 def finished(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run a stream over what is there now; the last state of every row, from files in the shared folder.
 

@@ -95,3 +95,11 @@ def test_capability_counts_unknown_apart(spark):
     rows = [("c", "A", "x", True, 3), ("c", "B", "x", False, 2), ("c", "B", "dated", True, 1), ("c", "B", None, None, None)]
     got = evaluation.capability(spark.createDataFrame(rows, "config string, category string, difficulty string, passed boolean, top_status int"), "A", ["dated"]).first()
     assert tuple(got) == ("c", 4, 0.6667, 0.5, 1, 3, 1, 0.3333)
+
+
+def test_progress_tells_what_is_left(spark):
+    rows = [("a", 0, 100, 10.0), ("a", 1, 100, 5.0), ("b", 0, 5, 0.0)]
+    progress = spark.createDataFrame(rows, "name string, batch long, n_rows long, seconds double")
+    totals = spark.createDataFrame([("a", 400), ("b", 5), ("c", 7)], "name string, total long")
+    got = {r["name"]: tuple(r)[1:] for r in jobs.with_eta(progress, totals).collect()}
+    assert got == {"a": (400, 200, 50.0, 15.0, 13.3), "b": (5, 5, 100.0, 5000.0, 0.0), "c": (7, 0, 0.0, None, None)}
