@@ -63,6 +63,25 @@ def capability(rows: DataFrame, regression: str, out_of_scope: list[str]) -> Dat
     )
 
 
+def set_recall(lists: DataFrame, wanted: str, files: str, least: int) -> DataFrame:
+    """``lists`` with ``found``, the ids of the array ``wanted`` that the name of a file in ``files`` holds between a dash and a dot, and
+    whether that are ``least``, whatever the total."""
+    held = F.transform(files, lambda f: F.regexp_extract(f, r"-([^-.]+)\.[^.]*$", 1))
+    found = F.size(F.array_intersect(F.array_distinct(wanted), held))
+    return lists.withColumns({"found": found, "passed": found >= least})
+
+
+def answer_scorecard(rows: DataFrame) -> DataFrame:
+    """Per difficulty of (difficulty, text, least_chars, markers, grounded): answers, those that pass, accuracy and the share grounded.
+
+    An answer passes if it is long enough and holds every marker; a null text holds none.
+    """
+    text = F.coalesce("text", F.lit(""))
+    ok = (F.length(text) >= F.col("least_chars")) & F.forall("markers", lambda m: F.contains(text, m))
+    own = rows.withColumn("ok", ok).groupBy("difficulty")
+    return own.agg(F.count("*").alias("n"), F.count_if("ok").alias("n_passed"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("accuracy"), F.round(F.avg(F.col("grounded").cast("int")), 4).alias("grounding_rate"))
+
+
 def compared(card: DataFrame, base: str, other: str) -> DataFrame:
     """Accuracy of two configurations side by side per category, with the difference."""
     wide = card.groupBy("category").pivot("config", [base, other]).agg(F.first("accuracy"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimspark.functions import text as T
+
 # Fixed values of the domain.
 TITLE = "--- 对话历史 ---"
 ROLES = {"user": "用户", "assistant": "助手", "system": "系统", "tool": "工具"}
@@ -53,3 +55,18 @@ def evidence_block(hits: DataFrame, per: int = 900, most: int = 8000) -> DataFra
     counted = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("_sum") <= most).alias("kept"))
     block = _ordered(rows.filter(F.col("_sum") <= most), "query_id", F.col("line"), "\n", "block")
     return counted.join(block, "query_id", "left").select("query_id", "kept", (F.col("kept") < F.col("n")).alias("truncated"), F.coalesce("block", F.lit("")).alias("block"))
+
+
+def summary_due(turns: DataFrame, keep: int, markers: list[str], budget: int, reserve: int) -> DataFrame:
+    """Per conversation of (conv_id, turn, text): whether its older messages should be summarised, up to which, and from where.
+
+    Due where there are more than ``keep`` messages, one holds a marker of what must not be forgotten, and the token ``budget``
+    leaves the ``reserve`` that a summary takes. ``upto`` messages from the start go into it; with a column ``summarised``
+    (messages that an earlier summary holds) it starts behind those, and nothing new means not due.
+    """
+    done = F.max("summarised") if "summarised" in turns.columns else F.lit(0)
+    marked = F.bool_or(F.coalesce(F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(F.col("text"), m)), F.lit(False)))
+    sums = turns.groupBy("conv_id").agg(F.count("*").alias("n"), marked.alias("marked"), F.sum(T.estimated_tokens(F.col("text"))).alias("tokens"), F.coalesce(done, F.lit(0)).cast("long").alias("start"))
+    upto = F.greatest(F.lit(0).cast("long"), F.col("n") - keep)
+    due = (F.col("n") > keep) & F.col("marked") & (budget - F.col("tokens") >= reserve) & (upto > F.col("start"))
+    return sums.select("conv_id", due.alias("due"), "start", upto.alias("upto"))

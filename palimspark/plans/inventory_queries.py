@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
 from palimspark.operators import chunks as C
+from palimspark.operators import results
 from palimspark.operators import versions as R
 from palimspark.sources import views as V
 
@@ -248,7 +249,11 @@ def s03_metadata_scan(spark, sf_dir):
     return V.versions(spark, sf_dir).select("bbbs", "status_code", F.col("effective_date").cast("string").alias("raw_date"))
 
 
-@query("SELECT d.doc_id, coalesce(l.quality, 0) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 5 = 0 THEN 9 END, l.quality) AS quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND d.doc_id % 7 > 0")
 def j01_metadata_inheritance(spark, sf_dir):
-    labels = V.table(spark, sf_dir, "labels")
-    return V.table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    """Documents as chunks that name the file of their labels in several spellings, or none; some have a quality of their own."""
+    i = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 7 > 0, F.concat(F.when(F.col("doc_id") % 2 == 0, "a\\b\\").otherwise("./a/b/"), i, F.lit(".md")))
+    chunks = V.table(spark, sf_dir, "documents").select("doc_id", path.alias("file_path"), F.when(F.col("doc_id") % 5 == 0, F.lit(9).cast("long")).alias("quality"))
+    labels = V.table(spark, sf_dir, "labels").select(F.concat(F.lit("a/b/"), i, F.lit(".md")).alias("file_path"), "quality", "toxic")
+    return results.inherited(chunks, labels, ["quality", "toxic"]).select("doc_id", "quality", "toxic")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from palimspark.functions import registered as R
 from palimspark.functions import text as T
+from palimspark.operators import evaluation as E
 from palimspark.operators import grounding as G
+from palimspark.operators import results
+from palimspark.operators import sessions as S
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
 from palimspark.sources import files
@@ -60,43 +63,42 @@ def p06_substantive_body(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", (F.length(T.bare(F.array_join(kept, "\n"))) >= 10).alias("substantive"))
 
 
-@query(with_ctes("SELECT query_id, rank, node_id, left(text, 400) || CASE WHEN length(text) > 400 THEN '…' ELSE '' END AS block, length(left(text, 800)) AS snippet_chars, round(score, 4) AS score FROM lexical JOIN documents ON doc_id = node_id WHERE rank <= 5"))
+@query(with_ctes("""SELECT query_id, rank, node_id, left(t, 400) || CASE WHEN length(t) > 400 THEN '…' ELSE '' END AS block, length(left(t, 800)) AS snippet_chars, length(left(t, 2000)) AS view_chars, round(score, 4) AS score, 'T' || node_id % 7 AS title,
+ CASE node_id % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'head' ELSE '' END AS heading, CASE node_id % 4 WHEN 0 THEN 'unlabelled' WHEN 1 THEN 'repealed' WHEN 2 THEN 'superseded' ELSE 'current' END AS status_label FROM (SELECT *, trim(text) AS t FROM lexical JOIN documents ON doc_id = node_id) WHERE rank <= 5"""))
 def p25_result_rows(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    hits = hybrid.branches(spark, sf_dir).filter("branch = 'lexical' AND rank <= 5").join(docs, "node_id")
-    block = F.concat(F.left("text", F.lit(400)), F.when(F.length("text") > 400, "…").otherwise(""))
-    return hits.select("query_id", "rank", "node_id", block.alias("block"), F.length(F.left("text", F.lit(800))).alias("snippet_chars"), F.round("score", 4).alias("score"))
+    i = F.col("doc_id")
+    docs = V.table(spark, sf_dir, "documents").select(i.alias("node_id"), "text", F.concat(F.lit("T"), (i % 7).cast("string")).alias("title"), F.when(i % 3 == 0, "path").otherwise("").alias("heading_path"), F.when(i % 3 == 1, "head").alias("heading"), F.when(i % 4 > 0, i % 4).alias("status_code"))
+    hits = hybrid.branches(spark, sf_dir).filter("branch = 'lexical' AND rank <= 5")
+    rows = results.result_rows(hits, docs)
+    return rows.select("query_id", "rank", "node_id", "block", F.length("snippet").alias("snippet_chars"), F.length("view").alias("view_chars"), "score", "title", "heading", "status_label")
 
 
-@query("SELECT l_orderkey AS run_id, l_linenumber AS step, l_suppkey || '-' || l_partkey AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_linenumber % 3 > 0) WHERE n <= 3")
+@query("SELECT l_orderkey AS run_id, CAST(n AS INT) AS n, l_linenumber AS step, l_suppkey || '-' || l_partkey AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey || '-' || l_partkey) AS n FROM lineitem WHERE l_linenumber % 3 > 0) WHERE n <= 3")
 def p26_evidence_rows(spark, sf_dir):
-    from pyspark.sql import Window
+    text = F.when(F.col("l_linenumber") % 3 > 0, F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).otherwise(" ")
+    seen = F.struct(F.col("l_linenumber").alias("step"), F.array(F.struct(text.alias("text"), F.lit("l").alias("source"))).alias("snippets"))
+    runs = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(seen).alias("observations"))
+    return results.evidence_rows(runs, 3).select("run_id", "n", "step", "text")
 
-    nested = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("mode"), F.when(F.col("l_linenumber") % 3 > 0, F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"))).otherwise(" ").alias("snippet"))).alias("observations"))
-    rows = nested.select("run_id", F.explode("observations").alias("o")).select("run_id", "o.*").filter(F.trim("snippet") != "")
-    order = Window.partitionBy("run_id").orderBy("step", "part", "mode")
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").select("run_id", "step", "snippet")
 
-
-@query("SELECT difficulty, count(*) AS n, count(*) FILTER (ok) AS n_passed, round(avg(CAST(ok AS INT)), 4) AS accuracy FROM (SELECT CASE conv_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, CASE conv_id % 3 WHEN 0 THEN length(text) > 40 WHEN 1 THEN contains(text, 'th') ELSE contains(text, 'th') AND contains(text, '.') END AS ok FROM conversations WHERE role = 'assistant') GROUP BY difficulty")
+@query("SELECT difficulty, count(*) AS n, count(*) FILTER (ok) AS n_passed, round(avg(CAST(ok AS INT)), 4) AS accuracy, round(avg(CAST(turn % 4 = 1 AS INT)), 4) AS grounding_rate FROM (SELECT turn, CASE conv_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, CASE conv_id % 3 WHEN 0 THEN length(text) > 40 WHEN 1 THEN contains(text, 'th') ELSE contains(text, 'th') AND contains(text, '.') END AS ok FROM conversations WHERE role = 'assistant') GROUP BY difficulty")
 def a09_answer_scorecard(spark, sf_dir):
     answers = V.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    k, has = F.col("conv_id") % 3, lambda w: F.contains(F.col("text"), F.lit(w))
-    rows = answers.select(F.when(k == 0, "easy").when(k == 1, "medium").otherwise("hard").alias("difficulty"), F.when(k == 0, F.length("text") > 40).when(k == 1, has("th")).otherwise(has("th") & has(".")).alias("ok"))
-    return rows.groupBy("difficulty").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_passed"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("accuracy"))
+    k = F.col("conv_id") % 3
+    marks = F.when(k == 1, F.array(F.lit("th"))).when(k == 2, F.array(F.lit("th"), F.lit("."))).otherwise(F.array().cast("array<string>"))
+    rows = answers.select(F.when(k == 0, "easy").when(k == 1, "medium").otherwise("hard").alias("difficulty"), "text", F.when(k == 0, 41).otherwise(0).alias("least_chars"), marks.alias("markers"), (F.col("turn") % 4 == 1).alias("grounded"))
+    return E.answer_scorecard(rows)
 
 
 @query("SELECT conv_id, count(*) > 4 AND bool_or(contains(text, 'that')) AND 8000 - sum(CAST(floor(length(text) * 1.5) AS BIGINT)) >= 1500 AS due, greatest(0, count(*) - 4) AS upto FROM conversations GROUP BY conv_id")
 def w15_summary_trigger(spark, sf_dir):
-    left = 8000 - F.sum(T.estimated_tokens(F.col("text")))
-    return V.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(((F.count("*") > 4) & F.bool_or(F.contains(F.col("text"), F.lit("that"))) & (left >= 1500)).alias("due"), F.greatest(F.lit(0), F.count("*") - 4).alias("upto"))
+    return S.summary_due(V.table(spark, sf_dir, "conversations"), keep=4, markers=["that"], budget=8000, reserve=1500).select("conv_id", "due", "upto")
 
 
 @query(f"SELECT title, len(list_filter(list(bbbs), lambda b: CAST(b AS INT) % 3 = 0)) AS found, len(list_filter(list(bbbs), lambda b: CAST(b AS INT) % 3 = 0)) >= 2 AS passed FROM ({V.VERSIONS_SQL}) GROUP BY title")
 def u06_set_recall(spark, sf_dir):
     lists = V.versions(spark, sf_dir).groupBy("title").agg(F.collect_list("bbbs").alias("versions"), F.collect_list(F.when(F.col("bbbs").cast("int") % 3 == 0, F.concat(F.lit("file-"), "bbbs", F.lit(".")))).alias("files"))
-    found = F.size(F.filter("versions", lambda v: F.exists("files", lambda f: F.contains(f, F.concat(F.lit("-"), v, F.lit("."))))))
-    return lists.select("title", found.alias("found"), (found >= 2).alias("passed"))
+    return E.set_recall(lists, "versions", "files", 2).select("title", "found", "passed")
 
 
 @query("SELECT conv_id, turn, '《conversation ' || conv_id || '》' || CASE WHEN turn % 2 = 0 THEN ' role > ' || role ELSE ' ' || role END AS header FROM conversations")
