@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimspark.operators import evaluation, results, sessions
+from palimspark.operators import evaluation, results, sessions, terms
 
 
 def test_result_rows_take_the_first_heading_and_say_unlabelled(spark):
@@ -42,3 +42,12 @@ def test_set_recall_and_answers(spark):
     answers = spark.createDataFrame([("hard", "no law, sorry", 0, ["no", "sorry"], True), ("hard", None, 0, ["no"], None), ("easy", "abc", 4, [], False)], "difficulty string, text string, least_chars int, markers array<string>, grounded boolean")
     assert {tuple(r) for r in evaluation.answer_scorecard(answers).collect()} == {("hard", 2, 1, 0.5, 1.0), ("easy", 1, 0, 0.0, 0.0)}
     assert evaluation.answer_scorecard(answers.filter(F.lit(False))).collect() == []
+
+
+def test_terms_come_from_four_sources_and_noise_goes(spark):
+    text = "## 第二章 总 则\n###  国务院\n# 不是标题层\n## 一\n1．背叛国家罪（第102条）\n二、 间谍罪 (a)\n普通一行罪（x）\r\n##### 太深的标题"
+    rows = [("中华人民共和国民法典通则", "statute", text), ("某法的内容是什么", "statute", None), ("问答标题而已", "faq", "## 总则编"), (None, "statute", "")]
+    docs = spark.createDataFrame(rows, "title string, domain string, text string")
+    got = {r["term"]: r["freq"] for r in terms.mined(docs, 1, 50).collect()}
+    assert got == {"中华人民共和国民法典通则": 50, "民法典通则": 30, "背叛国家罪": 20, "间谍罪": 20, "总则编": 5}
+    assert [r["source"] for r in terms.candidates(docs).filter("term = '国务院'").collect()] == ["heading"]
