@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
-from palimspark.operators import access, lexical, lexical_index, ranking
+from palimspark.operators import access, lexical, lexical_index, neighbour_index, ranking
 from palimspark.operators.vectors import nearest
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
 from palimspark.sources import views as V
+from palimspark.storage import exists, fingerprint, kept_path, publish, published, shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -112,6 +113,36 @@ def j11_nearest(spark, sf_dir):
     return nearest(hybrid.corpus_vectors(spark, sf_dir), hybrid.query_vectors(spark, sf_dir), hybrid.WIDE_K)
 
 
+#: The given vectors lie far apart: few pairs have a higher cosine.
+NEAR_COSINE = 0.4
+
+
+def vector_index(spark, sf_dir):
+    """The hash tables of the embeddings, built when their files have none yet in the shared folder."""
+    name = kept_path(spark, "neighbours", fingerprint(V.table(spark, sf_dir, "embeddings"), sf_dir, str(NEAR_COSINE)))
+    place = published(spark, name)
+    if place is None or not exists(spark, f"{place}/about/_SUCCESS"):
+        place = shared_path(spark, "neighbour-index")
+        neighbour_index.build(hybrid.corpus_vectors(spark, sf_dir), place, NEAR_COSINE)
+        publish(spark, place, name)
+    return neighbour_index.open_index(spark, place)
+
+
+@query()
+def j11_approximate(spark, sf_dir):
+    """The nearest of each query vector from NEAR_COSINE on, from hash tables; what they miss ``j11_recall`` tells."""
+    return neighbour_index.search(vector_index(spark, sf_dir), hybrid.query_vectors(spark, sf_dir), hybrid.WIDE_K)
+
+
+@query(with_ctes(f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_links, true AS enough FROM vector WHERE score >= {NEAR_COSINE} AND node_id <> query_id"))
+def j11_recall(spark, sf_dir):
+    """Links of the exact search from NEAR_COSINE on, to other vectors, and whether the hash tables find nine in ten."""
+    other = lambda hits: hits.filter(F.col("node_id") != F.col("query_id"))
+    exact = other(j11_nearest(spark, sf_dir)).filter(F.col("score") >= NEAR_COSINE)
+    told = neighbour_index.recall(other(j11_approximate(spark, sf_dir)), exact)
+    return told.select("n_queries", "n_links", ((F.col("recall") >= 0.9) & (F.col("mean_recall") >= 0.9)).alias("enough"))
+
+
 @query(with_ctes("SELECT query_id, node_id, score, rank FROM lexical"))
 def t01_bm25(spark, sf_dir):
     return lexical_index.search(hybrid.corpus_index(spark, sf_dir), hybrid.query_tokens(spark, sf_dir), hybrid.WIDE_K)
