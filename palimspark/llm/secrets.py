@@ -101,26 +101,28 @@ def ownership(candidates: DataFrame, repository: str, owner: str, spans: str = "
 
 
 def with_verdicts(found: DataFrame, repository: str, owner: str, spans: str = "spans", live: str = "live") -> DataFrame:
-    """``found`` (a written table: id columns and ``spans``) with ``live``: for each span whether its value is live.
+    """``found`` (a written table: ``_row``, id columns and ``spans``) with ``live``: for each span whether its value is live.
 
-    Hashes meet their counts in a join of small rows; texts stay out of it.
+    ``n_<live>`` says beside it how many repositories hold the value, where one owner alone holds it (null elsewhere). Hashes meet their counts
+    in a join of small rows; texts stay out of it. ``_row`` numbers the rows in the table itself, so that both readings agree.
     """
-    numbered = found.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows lie in files
     # A table of its own, so that Spark can split a widely copied value in the join; those of many owners stay out of it.
-    rare = written(ownership(found, repository, owner, spans).filter(F.col("n_owners") < EXAMPLE_OWNERS).select("hash", F.lit(True).alias("_rare")), "rare-secrets")
-    single = numbered.select("_row", F.posexplode(spans).alias("_at", "span")).withColumn("hash", F.col("span.hash"))
-    live_span = F.col("span.random") & F.coalesce("_rare", F.lit(False))
-    judged = single.join(rare, "hash", "left").select("_row", F.struct(F.col("_at"), live_span.alias("live")).alias("v"))
-    rows = judged.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["live"]).alias(live))
-    return numbered.join(rows, "_row", "left").withColumn(live, F.coalesce(live, F.array().cast("array<boolean>"))).drop("_row")
+    rare = written(ownership(found, repository, owner, spans).filter(F.col("n_owners") < EXAMPLE_OWNERS).select("hash", "n_repositories"), "rare-secrets")
+    single = found.select("_row", F.posexplode(spans).alias("_at", "span")).withColumn("hash", F.col("span.hash"))
+    live_span = F.col("span.random") & F.col("n_repositories").isNotNull()
+    judged = single.join(rare, "hash", "left").select("_row", F.struct(F.col("_at"), live_span.alias("live"), "n_repositories").alias("v"))
+    rows = judged.groupBy("_row").agg(F.sort_array(F.collect_list("v")).alias("_v"))
+    rows = rows.select("_row", F.transform("_v", lambda v: v["live"]).alias(live), F.transform("_v", lambda v: v["n_repositories"]).alias(f"n_{live}"))
+    none = {live: F.array().cast("array<boolean>"), f"n_{live}": F.array().cast("array<long>")}
+    return found.join(rows, "_row", "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()}).drop("_row")
 
 
 def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """doc_id, ``spans`` (all candidates in order) and ``live`` for every row of ``docs`` (doc_id, text, owner)."""
+    """doc_id, ``spans`` (all candidates in order), ``live`` and ``n_live`` for every row of ``docs`` (doc_id, text, owner)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keep = [F.col(c) for c in dict.fromkeys(["doc_id", repository, owner])]
-    found = written(docs.select(*keep, all_spans(text).alias("spans")), "secret-spans")
-    return with_verdicts(found, repository, owner).select("doc_id", "spans", "live")
+    found = written(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, all_spans(text).alias("spans")), "secret-spans")
+    return with_verdicts(found, repository, owner).select("doc_id", "spans", "live", "n_live")
 
 
 def mask_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -132,7 +134,7 @@ def mask_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     some = F.lit(False)
     for kind in (*BASE_KINDS, *MORE_KINDS):
         some = some | text.rlike(kind.pattern)
-    hit = written(docs.filter(some).withColumn("_spans", all_spans(text)), "secret-texts")
+    hit = written(docs.filter(some).withColumns({"_spans": all_spans(text), "_row": F.monotonically_increasing_id()}), "secret-texts")
     judged = with_verdicts(hit, repository, owner, "_spans", "_live")
     chosen = F.filter(F.transform("_spans", lambda s, i: F.when(F.get("_live", i), s)), lambda s: s.isNotNull())
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -156,7 +158,9 @@ def _joined(spans: Column) -> Column:
 
 
 def span_digests(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_examples of what ``scan_secrets`` gives."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples and live_repositories (the most repositories that
+    hold one of the row's live values, 0 without any) of what ``scan_secrets`` gives.
+    """
     of = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
     shown = F.filter(F.transform("spans", lambda s, i: F.when(s["base"] | F.get("live", i), s)), lambda s: s.isNotNull())
     base = F.filter("spans", lambda s: s["base"])
@@ -167,6 +171,7 @@ def span_digests(scanned: DataFrame) -> DataFrame:
         _joined(shown).alias("spans"),
         F.size(F.filter("live", lambda v: v)).cast("long").alias("n_live"),
         F.size(F.filter("live", lambda v: ~v)).cast("long").alias("n_examples"),
+        F.coalesce(F.array_max(F.zip_with("live", "n_live", lambda v, n: F.when(v, n))), F.lit(0)).cast("long").alias("live_repositories"),
     )
 
 
@@ -189,10 +194,10 @@ placed AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY rid, no ORDER
 s AS (SELECT rid, no, kind, base, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, sha256(v) AS hash,
              len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} AS random
       FROM placed WHERE length(v) >= least_chars),
-own AS (SELECT hash, count(DISTINCT coalesce(source, '')) AS owners FROM s JOIN d USING (rid) GROUP BY hash),
-j AS (SELECT s.*, random AND owners < {EXAMPLE_OWNERS} AS live FROM s JOIN own USING (hash)),
+own AS (SELECT hash, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories FROM s JOIN d USING (rid) GROUP BY hash),
+j AS (SELECT s.*, random AND owners < {EXAMPLE_OWNERS} AS live, repositories FROM s JOIN own USING (hash)),
 g AS (SELECT rid, {cells}, {joined} FILTER (base) AS b, {joined} FILTER (base OR live) AS a,
-             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples FROM j GROUP BY rid)
+             count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples, max(repositories) FILTER (live) AS r FROM j GROUP BY rid)
 SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in BASE_KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+       coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples, coalesce(r, 0) AS live_repositories
 FROM d LEFT JOIN g USING (rid)"""
