@@ -10,6 +10,7 @@ from palimspark.operators import sessions as S
 from palimspark.operators import vectors
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
+from palimspark.sources import files
 from palimspark.sources import views as V
 from palimspark.storage import shared_path
 
@@ -237,12 +238,28 @@ def s13_run_metrics(spark, sf_dir):
     return V.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("n_transitions"), F.countDistinct("event_type").alias("n_states"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("SELECT q, a, conv_id FROM (SELECT u.text AS q, v.text AS a, u.conv_id, row_number() OVER (PARTITION BY u.text, v.text ORDER BY u.conv_id, u.turn) AS n FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user' AND v.role = 'assistant' AND length(trim(u.text)) > 0 AND length(trim(v.text)) > 0) WHERE n = 1")
+_BARE = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+#: Turns of user and assistant as questions and answers; every third answer bears a mark.
+_ASKED = f"""SELECT u.conv_id, u.turn, {_BARE.format('u.text')} AS q, {_BARE.format("regexp_replace(" + _BARE.format("CASE WHEN u.turn % 3 = 0 THEN '答案：' ELSE '' END || v.text") + ", '^答案[:：]', '')")} AS a
+  FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user' AND v.role = 'assistant'"""
+
+
+def _pairs(spark, sf_dir):
+    turns = V.table(spark, sf_dir, "conversations")
+    u = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    v = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    marked = F.concat(F.when(F.col("turn") % 3 == 0, "答案：").otherwise(""), "answer")
+    return files.question_pairs(u.join(v, ["conv_id", "turn"]).select("question", marked.alias("answer"), F.col("conv_id").alias("file"), F.col("turn").alias("pos")))
+
+
+@query(f"SELECT q, a, conv_id, n AS copies FROM (SELECT *, row_number() OVER (PARTITION BY q, a ORDER BY conv_id, turn) AS r, count(*) OVER (PARTITION BY q, a) AS n FROM ({_ASKED}) WHERE q <> '' AND a <> '') WHERE r = 1")
 def s06_question_pairs(spark, sf_dir):
-    turns = V.table(spark, sf_dir, "conversations").filter(F.length(F.trim("text")) > 0)
-    u = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
-    v = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
-    return u.join(v, ["conv_id", "turn"]).groupBy("q", "a").agg(F.min_by("conv_id", F.struct("conv_id", "turn")).alias("conv_id"))
+    return _pairs(spark, sf_dir)[0].select(F.col("question").alias("q"), F.col("answer").alias("a"), F.col("file").alias("conv_id"), "copies")
+
+
+@query(f"SELECT count(*) AS items, count(DISTINCT CASE WHEN f THEN q || chr(0) || a END) AS kept, count(*) FILTER (NOT f) AS skipped_empty, count(*) FILTER (f) - count(DISTINCT CASE WHEN f THEN q || chr(0) || a END) AS skipped_duplicate FROM (SELECT coalesce(q <> '' AND a <> '', false) AS f, q, a FROM ({_ASKED}))")
+def s06_pair_counts(spark, sf_dir):
+    return _pairs(spark, sf_dir)[1]
 
 
 @query("SELECT count(*) AS vectors, CAST(sum(vec_id) AS BIGINT) AS id_sum, round(sum(embedding[1]), 4) AS first_sum FROM embeddings")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
-from palimspark.operators import access, lexical, lexical_index, neighbour_index, ranking
+from palimspark.operators import access, lexical, lexical_index, neighbour_index, ranking, rerank
 from palimspark.operators.vectors import nearest
 from palimspark.plans import hybrid
 from palimspark.plans.hybrid import with_ctes
@@ -219,3 +219,11 @@ _G3 = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, len
 def t03_rerank(spark, sf_dir):
     hits = hybrid.fused(spark, sf_dir).select("query_id", "node_id")
     return ranking.top_k(hybrid.by_coverage(spark, sf_dir)(hits), 5).select("query_id", "node_id", "score", "rank")
+
+
+@query(with_ctes(f"SELECT query_id, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM (SELECT query_id, node_id, old, round(CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_filter(g, lambda t: contains(x, t))) / len(g) END, 6) AS score FROM (SELECT r.query_id, r.node_id, r.rank AS old, {_G3.format('q')} AS g, coalesce(x, '') AS x FROM top_rrf r JOIN qry ON qry.query_id = r.query_id LEFT JOIN (SELECT doc_id, text AS x FROM documents) d ON d.doc_id = r.node_id))) WHERE rank <= 5"))
+def t03_pair_scorer(spark, sf_dir):
+    """As ``t03_rerank``, by a scorer of pairs in Python; equal scores keep their order."""
+    asked = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    nodes = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    return rerank.top_reranked(hybrid.fused(spark, sf_dir), rerank.by_scorer(rerank.coverage_scorer, asked, nodes), 5)

@@ -164,10 +164,9 @@ def f10_cosine(spark, sf_dir):
 _G3 = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))) ELSE [] END"
 
 
-@query(f"SELECT conv_id, turn, round(x, 6) AS coverage, x >= 0.12 AS sufficient FROM (SELECT conv_id, turn, CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / len(g) END AS x FROM (SELECT conv_id, turn, {_G3.format('s')} AS g, {_G3.format('c')} AS h FROM ({_TURNS_SQL})))")
+@query(f"SELECT conv_id, turn, round(x, 6) AS coverage, x >= 0.12 AS sufficient, round(least(2 * x, 1.0), 6) AS confidence, CASE WHEN x >= 0.12 THEN '' ELSE s END AS rewrite_hint FROM (SELECT conv_id, turn, s, CASE WHEN len(g) = 0 THEN 0.0 ELSE len(list_intersect(g, h)) / len(g) END AS x FROM (SELECT conv_id, turn, s, {_G3.format('s')} AS g, {_G3.format('c')} AS h FROM ({_TURNS_SQL})))")
 def f11_ngram_coverage(spark, sf_dir):
-    x = T.ngram_coverage(F.col("s"), F.col("c"))
-    return _turn_pairs(spark, sf_dir, bare=False).select("conv_id", "turn", F.round(x, 6).alias("coverage"), (x >= 0.12).alias("sufficient"))
+    return _turn_pairs(spark, sf_dir, bare=False).select("conv_id", "turn", T.sufficiency(F.col("s"), F.col("c")).alias("told")).select("conv_id", "turn", "told.*")
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) AS bare_chars, md5(regexp_replace(text, '\\s+', '', 'g')) AS bare_md5 FROM documents")

@@ -135,3 +135,31 @@ def quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line", "text"))
     bad = lines.filter(F.length(F.trim("text")) > 0).withColumn("row", parsed).filter("row._corrupt_record is not null")
     return good, bad.select("file", (F.col("line") + 1).alias("line"), "text")
+
+
+#: Fixed value: what stands before some answers.
+ANSWER_MARK = "^答案[:：]"
+
+
+def question_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of ``rows`` (question, answer, file, pos) and one row of counts.
+
+    White space around both texts and the mark before an answer go. A pair without question or answer is skipped; of equal ones the
+    first by file and pos stays, with the number of its ``copies``. Both come from one aggregation, so a pair that stands
+    in very many rows is summed before it is shuffled. The counts are items, kept, skipped_empty and skipped_duplicate.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    cut = rows.select(bare(F.col("question")).alias("question"), bare(F.regexp_replace(bare(F.col("answer")), ANSWER_MARK, "")).alias("answer"), "file", "pos")
+    full = (F.col("question") != "") & (F.col("answer") != "")
+    found = cut.filter(full).groupBy("question", "answer").agg(F.min(F.struct("file", "pos")).alias("_first"), F.count("*").alias("copies"))
+    kept = found.select("question", "answer", "_first.file", "_first.pos", "copies")
+    empty = cut.agg(F.count("*").alias("items"), F.count_if(~full).alias("skipped_empty"))
+    counts = found.agg(F.count("*").alias("kept"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("skipped_duplicate"))
+    return kept, empty.join(F.broadcast(counts)).select("items", "kept", "skipped_empty", "skipped_duplicate")  # one row each
+
+
+def read_question_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``question_pairs`` of files that each hold one JSON array of objects with question and answer; a task reads a file."""
+    items = spark.read.schema("question string, answer string").option("multiLine", True).json(path)
+    # Rows of a file lie together and in its order, so the numbers of its rows rise.
+    return question_pairs(items.select("question", "answer", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")))
