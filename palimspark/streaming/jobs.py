@@ -8,14 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from palimspark.storage import shared_path
+from palimspark.storage import is_folder, shared_path
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table as a stream of its files."""
+    """A table, one file or a folder of files, as a stream of its files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
     folder, _, name = path.rpartition("/")  # a file source watches a folder
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -178,7 +182,9 @@ def finished(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFr
         rows.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(out)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    rows = spark.read.parquet(out)
+    kept = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    spark.createDataFrame([], kept).write.mode("append").parquet(out)  # a stream without a row leaves no files
+    rows = spark.read.schema(kept).parquet(out)
     if mode == "append":
         return rows.drop("_batch")
     rest = [c for c in stream.columns if c not in keys]

@@ -97,3 +97,12 @@ def test_loop_alarm_over_batches(spark, tmp_path):
     events = _stream_of(spark, tmp_path, batches, "event_id long, user_id long, signature string, ts timestamp")
     got = jobs.finished(jobs.loop_alarm(events), ["run_id", "signature", "event_id"], "append").collect()
     assert [tuple(r[c] for c in ("run_id", "signature", "event_id")) for r in got] == [(7, "s", 3)]
+
+
+def test_stream_of_a_folder_of_files(spark, tmp_path):
+    path = f"{tmp_path}/turns.parquet"
+    spark.range(10).repartition(3).write.parquet(path)
+    rows = jobs.finished(jobs.table_stream(spark, path).withColumn("n", F.col("id") + 1), ["id"], "append")
+    assert sorted((r["id"], r["n"]) for r in rows.collect()) == [(i, i + 1) for i in range(10)]
+    empty = jobs.finished(jobs.table_stream(spark, path).filter("id < 0").withColumn("n", F.col("id") + 1), ["id"], "append")
+    assert empty.columns == ["id", "n"] and empty.count() == 0
