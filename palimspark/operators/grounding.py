@@ -84,7 +84,7 @@ def shared_runs(answers: DataFrame, chunks: DataFrame, n: int = 12) -> DataFrame
     An inverted table of the chunks' n-grams is the join key, so any answer meets any chunk with a common run and nothing
     else. A gram stands there once, with all its chunks; an answer's gram leaves its task once.
     """
-    grams = lambda c: F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))))
+    grams = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))  # noqa: E731 - one pass; substring counts from the start each time
     inverted = chunks.select("chunk_id", F.explode(grams(F.col("chunk"))).alias("gram")).groupBy("gram").agg(F.collect_set("chunk_id").alias("_chunks"))
     said = answers.select("answer_id", F.explode(grams(F.col("answer"))).alias("gram"))
     return said.join(inverted, "gram").groupBy("answer_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_chunks")))).alias("chunk_ids"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,15 @@ def test_shared_runs_equal_brute_force(spark):
     assert rows == {k: (25, len(want[k]), 1.0 if len(said or "") < 8 else round(min(1.0, len(want[k]) / 3), 6)) for k, said in answers}
 
 
+def test_runs_of_a_long_text_are_cut_in_linear_time(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcé漢\U0001f600") for _ in range(400_000))
+    a = spark.createDataFrame([(1, text)], "answer_id long, answer string")
+    c = spark.createDataFrame([(5, text[-12:]), (6, text[300_000:300_011] + "\n")], "chunk_id long, chunk string")
+    began = time.time()
+    assert [tuple(r) for r in grounding.shared_runs(a, c).collect()] == [(1, [5])] and time.time() - began < 30
+
+
 def test_cut_rules(spark):
     texts = ["x" * 7 + "。" + "y" * 9, "x" * 4 + "。" + "y" * 9, "x" * 5 + "\n" + "y" * 9, "x" * 4 + " " + "y" * 9, "y" * 20, "short", "x" * 6 + "。\n" + "。y" + "z" * 9, None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.boundary_before(F.col("t"), 10).alias("cut"))
