@@ -78,14 +78,18 @@ def dropped(master: DataFrame, kept: DataFrame, key: str, reason: Column) -> Dat
 def parent_titles(rows: DataFrame, child: Column) -> DataFrame:
     """Each child with the longest other title that it starts with and that has a higher rank (a smaller number).
 
-    A child meets parents by its own prefixes, as an equality of titles, so titles of any length count.
+    A child meets parents by its own prefixes, as an equality of titles, so titles of any length count. Rows of equal title and
+    rank share their parent, and of possible parents of one title and rank the first by id is enough, so copies meet only once.
     """
     n = F.length("title")
     prefixes = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.left(F.col("title"), i))).otherwise(F.array().cast("array<string>"))
-    c = rows.filter(child).select("id", "rank", F.explode(prefixes).alias("title"))
-    p = rows.select(F.col("id").alias("parent"), F.col("rank").alias("_rank"), "title")
-    pairs = c.join(p, "title").filter("_rank < rank").select("id", "parent", F.length("title").alias("_n"))
-    return pairs.groupBy("id").agg(F.max_by("parent", F.struct(F.col("_n"), -F.col("parent"))).alias("parent"))
+    children = rows.filter(child).select("id", "rank", "title")
+    c = children.select("rank", "title").distinct().select("rank", F.col("title").alias("_own"), F.explode(prefixes).alias("title"))
+    p = rows.groupBy("title", F.col("rank").alias("_rank")).agg(F.min("id").alias("_first"))
+    best = lambda parent: F.max(F.struct(F.length("title").alias("n"), (-F.col(parent)).alias("parent")))
+    found = c.join(p, "title").filter("_rank < rank").groupBy("rank", "_own").agg(best("_first").alias("_best"))
+    met = children.join(found.withColumnRenamed("_own", "title"), ["rank", "title"])
+    return met.groupBy("id").agg((-F.max("_best")["parent"]).alias("parent"))
 
 
 def pending_with_current(rows: DataFrame) -> DataFrame:

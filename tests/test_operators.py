@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,11 @@ def test_no_citation_means_no_precision(spark):
     held = spark.createDataFrame([(1, "见第五条"), (2, "见第五条")], "doc_id int, context string")
     got = {r["doc_id"]: (r["total"], r["hits"], r["precision"]) for r in grounding.citation_hits(cited, held).collect()}
     assert got == {1: (2, 1, 0.5), 2: (0, 0, None)}
+
+
+def test_copies_of_titles_do_not_meet_as_pairs(spark):
+    n = 60_000
+    rows = spark.range(2 * n).select("id", F.when(F.col("id") < n, "parent").otherwise("parent child").alias("title"), F.when(F.col("id") < n, 1).otherwise(2).alias("rank"))
+    began = time.time()
+    got = versions.parent_titles(rows, F.col("rank") > 1).agg(F.count("*").alias("n"), F.min("parent").alias("lo"), F.max("parent").alias("hi")).first()
+    assert tuple(got) == (n, 0, 0) and time.time() - began < 30
