@@ -44,12 +44,10 @@ def user_classes(spark, sf_dir):
     return access.classes_for(V.acl(spark, sf_dir), users(spark, sf_dir))
 
 
-@query(f"SELECT user_id, count(*) AS n_nodes, min(node_id) AS first_node, max(node_id) AS last_node FROM ({_ALLOWED}) GROUP BY user_id")
+@query(_ALLOWED)
 def p07_access_predicate(spark, sf_dir):
-    """What each user may see, summed over classes of nodes; no pair of a user and a node is made."""
-    sizes = access.with_class(V.acl(spark, sf_dir)).groupBy("cls").agg(F.count("*").alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi"))
-    met = user_classes(spark, sf_dir).select("user_id", F.explode("classes").alias("cls")).join(sizes, "cls")
-    return met.groupBy("user_id").agg(F.sum("n").alias("n_nodes"), F.min("lo").alias("first_node"), F.max("hi").alias("last_node"))
+    """Every node that a user may see, one row for each pair."""
+    return access.allowed_nodes(V.acl(spark, sf_dir), users(spark, sf_dir))
 
 
 @query(f"SELECT node_id, {_LEVEL} AS level FROM ({V.ACL_SQL})")

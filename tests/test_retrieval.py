@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimspark.operators import access, lexical, lexical_index, ranking
-from palimspark.plans import hybrid
+from palimspark.plans import hybrid, retrieval_queries
+from palimspark.sources import views as V
 from palimspark.storage import published, shared_path
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 rng = random.Random(11)
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -97,3 +100,12 @@ def test_as_of_ties(spark):
     rows = [(1, "T", d(2010, 1, 1), 2015, 0.1, 7), (1, "T", d(2010, 1, 1), 2015, 0.1, 4), (1, "U", None, 2015, 0.4, 9), (1, "U", None, 2015, 0.4, 3), (1, "V", d(2010, 1, 1), 2015, 0.1, 5), (1, "V", d(2012, 1, 1), None, 0.1, 6)]
     hits = spark.createDataFrame(rows, "query_id int, title string, effective_date date, year int, score double, node_id int")
     assert {r["node_id"] for r in ranking.as_of(hits).collect()} == {4, 3, 5}
+
+
+def test_access_predicate_gives_every_pair(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("the test tables aren't here")
+    got = retrieval_queries.p07_access_predicate(spark, SF)
+    want = access.allowed_nodes(V.acl(spark, SF), retrieval_queries.users(spark, SF))
+    assert sorted(got.columns) == ["node_id", "user_id"]
+    assert sorted(map(tuple, got.select("user_id", "node_id").collect())) == sorted(map(tuple, want.select("user_id", "node_id").collect()))
