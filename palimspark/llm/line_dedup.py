@@ -143,8 +143,10 @@ def deletion_keys(contents: DataFrame) -> DataFrame:
     return contents.mapInArrow(run, "key long, place int, node long")
 
 
-def near_lines(contents: DataFrame, scratch: Scratch) -> DataFrame:
+def near_lines(contents: DataFrame, scratch: Scratch, by_bytes: bool = False) -> DataFrame:
     """node and its earliest partner, for lines that have an earlier one within one edit."""
+    if by_bytes:  # a character for each byte
+        contents = contents.select("node", F.decode(F.encode("line", "UTF-8"), "ISO-8859-1").alias("line"))
     keys = deletion_keys(contents)
     several = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.when(F.col("place") < 0, F.col("node"))).alias("spelled")).filter("lo < hi")
     several = scratch.written(several.drop("hi"), "shared-keys")  # a table of its own, so that Spark can split frequent keys in the join
@@ -158,10 +160,11 @@ def near_lines(contents: DataFrame, scratch: Scratch) -> DataFrame:
     return best.join(a, "node").join(b, "partner").filter(F.levenshtein("_a", "_b", 1) >= 0).select("node", "partner")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, by_bytes: bool = False) -> DataFrame:
     """doc_id, text_hash, n_lines (compared lines), and ``repeated`` and ``near``: sorted positions of dropped lines.
 
-    One row per doc_id and text with a compared line. ``docs`` needs doc_id (a whole number) and text.
+    One row per doc_id and text with a compared line. ``docs`` needs doc_id (a whole number) and text. With ``by_bytes`` an edit
+    is one byte of UTF-8: a character outside ASCII is then one edit away only from those that differ in one byte.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -173,7 +176,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
     some = halves.join(shared, "half", "left_semi").select("node").distinct()
     wanted = nodes.join(some, "node", "left_semi").select("node", "first.doc_id", "first.text_hash", "first.pos", "h1", "h2")
     contents = scratch.written(_contents(docs, wanted, min_chars), "line-contents")
-    near = scratch.written(near_lines(contents, scratch).select("node", F.lit(True).alias("near")), "near-lines")
+    near = scratch.written(near_lines(contents, scratch, by_bytes).select("node", F.lit(True).alias("near")), "near-lines")
     scratch.keep_only(lines, nodes, near)
     judged = nodes.join(near, "node", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos")))
@@ -207,9 +210,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = N
     return cut
 
 
-def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, by_bytes: bool = False) -> DataFrame:
     """One row per document: doc_id, n_lines, n_repeated, n_near and the dropped positions as text."""
-    found = dropped_lines(docs, min_chars, near_chars).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"})
+    found = dropped_lines(docs, min_chars, near_chars, by_bytes).withColumnsRenamed({"doc_id": "_id", "text_hash": "_text"})
     gone = F.array_join(F.array_sort(F.concat("repeated", "near")), ",")
     counted = lambda c: F.coalesce(F.when(c >= 0, c), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("_own"))  # the texts stay out of the join
@@ -218,7 +221,7 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
 
 
 def oracle(min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> str:
-    """The same for DuckDB: edit distances of all lines of neighbouring lengths."""
+    """``line_digests`` by bytes for DuckDB, whose levenshtein counts bytes: edit distances of all lines of neighbouring lengths."""
     return f"""
 WITH l AS (SELECT doc_id, pos - 1 AS pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM (
              SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),

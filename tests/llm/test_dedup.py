@@ -6,6 +6,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pytest
 from llm.conftest import ODD
 
 from palimspark.llm import embed_dedup, line_dedup, minhash
@@ -158,6 +159,18 @@ def test_one_edit_counts_in_lines_of_any_length(make_docs):
     assert got == {i: ",".join(map(str, p)) for i, p in want.items()}
 
 
+def test_an_edit_may_be_one_byte_as_in_the_sql(make_docs):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    texts = ["\n".join("".join(rng.choice("ab1éèe漢𝄞 ") for _ in range(rng.randint(0, 5))) for _ in range(4)) for _ in range(60)]
+    got = {r["doc_id"]: tuple(r) for r in line_dedup.line_digests(make_docs(texts), by_bytes=True).collect()}
+    assert got != {r["doc_id"]: tuple(r) for r in line_dedup.line_digests(make_docs(texts)).collect()}
+    own = duckdb.connect()
+    own.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    own.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert got == {r[0]: r for r in own.execute(line_dedup.oracle()).fetchall()}
+
+
 def test_a_text_of_very_many_dropped_lines_is_cut_in_linear_time(make_docs):
     lines = [f"line number {i * 7919} of a long text" for i in range(60_000)]
     docs = make_docs(["\n".join(lines[::2]), "\n".join(lines)])
