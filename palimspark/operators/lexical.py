@@ -21,7 +21,12 @@ def term_statistics(tokens: DataFrame) -> DataFrame:
     Terms are counted once per row where they are read, so only partial counts of the vocabulary are shuffled.
     """
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = tokens.agg(F.count("*").alias("n"))  # one row
+    return with_idf(df, tokens)
+
+
+def with_idf(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df); ``nodes`` has a row for each node."""
+    total = nodes.agg(F.count("*").alias("n"))  # one row
     raw = df.join(F.broadcast(total)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, NEGATIVE_IDF * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

@@ -26,14 +26,14 @@ def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_index(spark: SparkSession, sf_dir: str) -> str:
     """The path of a new index of the documents, with their access classes."""
     built = shared_path(spark, "lexical-index")
-    nodes = access.with_class(V.view(spark, sf_dir, NODES_SQL)).select("node_id", "cls")
-    lexical_index.build(corpus_tokens(spark, sf_dir).join(nodes, "node_id", "left"), built)
+    nodes = access.with_class(V.view(spark, sf_dir, NODES_SQL.replace(" FROM documents", ", text FROM documents")))  # one scan, no join
+    lexical_index.build(nodes.select("node_id", "cls", T.tokens(F.col("text")).alias("tokens")), built)
     return built
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> lexical_index.LexicalIndex:
     """The index of the documents, built when their files have none yet in the shared folder."""
-    path = kept_path(spark, "lexical", fingerprint(V.table(spark, sf_dir, "documents"), sf_dir, NODES_SQL))
+    path = kept_path(spark, "lexical", fingerprint(V.table(spark, sf_dir, "documents"), sf_dir, NODES_SQL, "by node"))
     place = published(spark, path)
     if place is None or not lexical_index.is_built(spark, place):
         place = build_index(spark, sf_dir)

@@ -109,3 +109,25 @@ def test_access_predicate_gives_every_pair(spark):
     want = access.allowed_nodes(V.acl(spark, SF), retrieval_queries.users(spark, SF))
     assert sorted(got.columns) == ["node_id", "user_id"]
     assert sorted(map(tuple, got.select("user_id", "node_id").collect())) == sorted(map(tuple, want.select("user_id", "node_id").collect()))
+
+
+def shuffled_rows(spark):
+    array, jvm = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, array, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_search_shuffles_no_pair_of_a_query_and_a_node(spark):
+    corpus = spark.range(3000).select(F.col("id").alias("node_id"), F.array(F.lit("the"), F.concat(F.lit("w"), (F.col("id") % 50).cast("string"))).alias("tokens"))
+    path = shared_path(spark, "index")
+    lexical_index.build(corpus, path)
+    queries = spark.range(60).select(F.col("id").alias("query_id"), F.array(F.lit("the"), F.concat(F.lit("w"), (F.col("id") % 50).cast("string"))).alias("tokens"))
+    index, before = lexical_index.open_index(spark, path), shuffled_rows(spark)
+    assert lexical_index.search(index, queries, 5).count() == 60 * 5
+    assert shuffled_rows(spark) - before < 20_000  # there are 180,000 pairs
+
+
+def test_terms_are_counted_inside_their_row(spark):
+    rows = [["b", "a", "b", ""], [], None, ["x"] * 3]
+    got = spark.createDataFrame([(r,) for r in rows], "t array<string>").select(lexical_index.term_counts(F.col("t")).alias("c")).collect()
+    assert [[tuple(c) for c in r["c"]] for r in got] == [[("", 1), ("a", 1), ("b", 2)], [], [], [("x", 3)]]
