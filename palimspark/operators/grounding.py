@@ -103,10 +103,14 @@ def overlap_with_all(answers: DataFrame, chunks: DataFrame) -> DataFrame:
 def normalised(text: Column) -> Column:
     """Article, item and bracketed numbers written with digits."""
 
-    def rewrite(t: Column, pattern: str, write) -> Column:
-        whole, number = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-        new = F.zip_with(whole, number, lambda w, n: F.coalesce(write(w, T.cn_number(n).cast("string")), w))
-        return F.array_join(F.zip_with(F.split(t, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    def rewrite(text: Column, pattern: str, write) -> Column:
+        def own(t: Column) -> Column:
+            whole, number = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+            new = F.zip_with(whole, number, lambda w, n: F.coalesce(write(w, T.cn_number(n).cast("string")), w))
+            return F.array_join(F.zip_with(F.split(t, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+        # A lambda's variable, since each pass reads its text three times and would work out the passes before it as often.
+        return F.get(F.transform(F.array(text), own), F.lit(0))
 
     text = rewrite(text, ARTICLE, lambda w, n: F.concat(F.lit("第"), n, F.lit("条")))
     text = rewrite(text, ITEM, lambda w, n: F.concat(F.lit("第"), n, F.right(w, F.lit(1))))

@@ -104,3 +104,12 @@ def test_access_acts_before_ranking(spark):
     queries = spark.createDataFrame([(1, "low", ["word"]), (2, "high", ["word"])], "query_id long, grp string, tokens array<string>")
     got = bm25(tokens, queries, 3).collect()
     assert [r["node_id"] for r in got if r["query_id"] == 1] == [1] and len([r for r in got if r["query_id"] == 2]) == 3
+
+
+def test_passes_over_a_text_are_worked_out_once(spark):
+    from palimspark.operators import grounding
+
+    tried = []
+    plan = spark.createDataFrame([("依据第十二条第三款和（四）", )], "t string").select(grounding.normalised(F.col("t")).alias("n"))
+    tried.append(plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all"))
+    assert plan.first()["n"] == "依据第12条第3款和（4）" and tried == [6]  # two of each pass
