@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimspark.functions import text as T
 from palimspark.operators.chunks import folded_sections, pieces
+from palimspark.storage import shared_path
 
 # Fixed values of the domain: what the lines of a statute look like.
 NUMERAL = "[一二三四五六七八九十百千零〇0-9]+"
@@ -154,13 +155,11 @@ def resolved_files(records: DataFrame, listing: DataFrame) -> DataFrame:
 def chunk_table(docs: DataFrame, most: int, overlap: int, least: int) -> DataFrame:
     """Parents and children of (doc_id, text): a section of at most ``most`` characters is both; a longer one is a
     parent with its first ``2 * most`` characters, and its pieces are the children."""
-    own = article_sections(docs)
-    whole = own.filter(F.length("body") <= most)
-    small = whole.select("doc_id", "section", "path", "level", F.lit(True).alias("is_parent"), F.lit(True).alias("is_child"), F.lit(0).alias("child_index"), F.lit(1).alias("chunk_count"), F.col("body").alias("text"))
-    cut = own.filter(F.length("body") > most).withColumn("parts", pieces(F.col("body"), most, overlap, least))
-    parents = cut.select("doc_id", "section", "path", "level", F.lit(True).alias("is_parent"), F.lit(False).alias("is_child"), F.lit(0).alias("child_index"), F.size("parts").alias("chunk_count"), F.left("body", F.lit(2 * most)).alias("text"))
-    children = cut.select("doc_id", "section", "path", "level", F.lit(False).alias("is_parent"), F.lit(True).alias("is_child"), F.posexplode("parts").alias("child_index", "text"), F.size("parts").alias("chunk_count"))
-    return small.unionByName(parents).unionByName(children)
+    row = lambda parent, child, i, n, text: F.struct(F.lit(parent).alias("is_parent"), F.lit(child).alias("is_child"), i.alias("child_index"), n.alias("chunk_count"), text.alias("text"))
+    body = F.col("body")
+    family = lambda ps: F.concat(F.array(row(True, False, F.lit(0), F.size(ps), F.left(body, F.lit(2 * most)))), F.transform(ps, lambda p, i: row(False, True, i, F.size(ps), p)))
+    rows = F.when(F.length(body) <= most, F.array(row(True, True, F.lit(0), F.lit(1), body))).otherwise(_let(pieces(body, most, overlap, least), family))
+    return article_sections(docs).select("doc_id", "section", "path", "level", F.inline(rows))  # sections are cut once
 
 
 def ingest(records: DataFrame, listing: DataFrame, texts: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -173,5 +172,8 @@ def ingest(records: DataFrame, listing: DataFrame, texts: DataFrame, least: int
     has_contents = F.exists("paras", lambda t: T.bare(t).rlike(CONTENTS))
     made = read.withColumns({"text": rendered(F.col("paras"), F.col("title")), "contents": F.coalesce(has_contents, F.lit(False))})
     made = made.withColumn("outcome", F.when(F.col("paras").isNull(), "missing").when(F.length(T.bare(F.col("text"))) < least, "short").otherwise("kept"))
+    path = shared_path(records.sparkSession, "rendered")  # the counts and the corpus read it
+    made.select("record_id", "category", "title", "text", "contents", "outcome").write.parquet(path)
+    made = records.sparkSession.read.parquet(path)
     counts = made.groupBy("category").agg(F.count("*").alias("records"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("missing", "short", "kept")), F.count_if("contents").alias("with_contents"))
     return made.filter("outcome = 'kept'").select("record_id", "category", "title", "text"), counts
