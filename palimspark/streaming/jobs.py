@@ -46,32 +46,48 @@ def idempotent_intake(events: DataFrame, key: list[str], within: str) -> DataFra
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
-def success_intake(calls: DataFrame, key: list[str], ttl_ms: int, late: str = "1 hour") -> DataFrame:
+def success_intake(calls: DataFrame, key: list[str], ttl_ms: int, late: str = "1 hour", buckets: int = 4096) -> DataFrame:
     """The calls (key, event_id, ts, success) that run: all of a key but those while a success of it is remembered.
 
     Only a success is remembered, for ``ttl_ms`` of event time, so a failure doesn't block its repeat. Calls count in the
-    order of ts and event_id inside a micro-batch, and micro-batches in theirs; state expires by the watermark.
+    order of ts and event_id inside a micro-batch, and micro-batches in theirs. A call of Python and a row of state cost far
+    more than an event, so keys share them: by their hash they fall into ``buckets``, a number that a checkpoint fixes. A
+    bucket forgets what the watermark has passed with its next calls, and all of it with the last of its successes.
     """
     kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
+    parts = [f"key{n}" for n in range(len(key))]  # as strings, for a null among longs makes doubles of them in pandas
 
-    def admit(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def admit(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        until = state.get[0] if state.exists else -1  # up to here a success is remembered
+        until = {}  # of each key, up to where a success is remembered
+        if state.exists:
+            *own, ends = state.get
+            until = dict(zip(zip(*own, strict=True), ends, strict=True))
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["at_us", "event_id"])
         ran = []
-        for row in pd.concat(list(frames)).sort_values(["at_ms", "event_id"]).itertuples():
-            if row.at_ms >= until:
-                ran.append(row.event_id)
-                until = row.at_ms + ttl_ms if row.success else until
-        if until >= 0:
-            state.update((int(until),))
-            state.setTimeoutTimestamp(max(int(until), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**{k: [v] * len(ran) for k, v in zip(key, own, strict=True)}, "event_id": ran})
-
-    timed = calls.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*key, "event_id"])
-    return timed.groupBy(*key).applyInPandasWithState(admit, schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+        for who, at, success in zip(zip(*(rows[p] for p in parts), strict=True), rows["at_us"], rows["success"], strict=True):
+            runs = at >= until.get(who, float("-inf"))
+            if runs and success:
+                until[who] = int(at) + 1000 * ttl_ms
+            ran.append(runs)
+        passed = state.getCurrentWatermarkMs()
+        until = {who: end for who, end in until.items() if end > 1000 * passed}
+        if until:
+            state.update((*map(list, zip(*until, strict=True)), list(until.values())))
+            state.setTimeoutTimestamp(max(max(until.values()) // 1000, passed) + 1)
+        elif state.exists:
+            state.remove()
+        yield rows.loc[ran, [*parts, "event_id"]]
+
+    named = [F.col(k).cast("string").alias(p) for k, p in zip(key, parts, strict=True)]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket")
+    timed = calls.withWatermark("ts", late).select(bucket, *named, "ts", F.unix_micros("ts").alias("at_us"), "event_id", "success")
+    schema = ", ".join([*(f"{p} string" for p in parts), f"event_id {kinds['event_id']}"])
+    held = ", ".join([*(f"{p} array<string>" for p in parts), "until array<long>"])
+    ran = timed.groupBy("bucket").applyInPandasWithState(admit, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return ran.select(*(F.col(p).cast(kinds[k]).alias(k) for k, p in zip(key, parts, strict=True)), "event_id")
 
 
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -66,6 +66,57 @@ def test_a_failure_does_not_block_its_repeat_and_a_success_is_forgotten(spark):
     assert {r["event_id"] for r in ran.collect()} == {1, 2, 3, 5, 7, 8}
 
 
+def _intake(spark, calls):
+    """The rows that a stream gave, and how many rows of state it held after each of its micro-batches."""
+    met = shared_path(spark, "met")
+    run = calls.writeStream.option("checkpointLocation", shared_path(spark, "offsets")).trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("append").parquet(met)).start()
+    run.awaitTermination()
+    return spark.read.parquet(met), [op.numRowsTotal for p in run.recentProgress for op in p.stateOperators]
+
+
+def test_success_intake_equals_brute_force_and_keys_share_state(spark):
+    rng, path, ttl = random.Random(24), shared_path(spark, "calls"), 30 * 3_600_000
+    start, names = datetime.datetime(2024, 1, 1), [None, "", "None", "a", "b"]
+    batches, ids = [], iter(range(10**6))
+    for day in range(4):
+        at = lambda: start + datetime.timedelta(days=day, hours=rng.randrange(24), microseconds=rng.randrange(3))  # noqa: B023, E731
+        batches.append([(rng.choice(names), rng.choice([None, *range(2**60, 2**60 + 300)]), next(ids), at(), rng.choice([True, False, False, None])) for _ in range(6000)])
+        batches[-1].append(("late riser", 1, next(ids), start + datetime.timedelta(days=day, hours=23, minutes=59), True))
+    schema = "name string, part long, event_id long, ts timestamp, success boolean"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    until, want = {}, []
+    for name, part, event, at, success in (row for rows in batches for row in sorted(rows, key=lambda r: (r[3], r[2]))):
+        if at >= until.get((name, part), start):
+            want.append((name, part, event))
+            if success:
+                until[name, part] = at + datetime.timedelta(milliseconds=ttl)
+    got, states = _intake(spark, jobs.success_intake(stream, ["name", "part"], ttl, "1 hour", buckets=7))
+    assert got.dtypes == [("name", "string"), ("part", "bigint"), ("event_id", "bigint")]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[2]) == sorted(want, key=lambda r: r[2])
+    assert 0 < max(states) <= 7 and len(until) > 1000
+
+
+def test_a_bucket_is_forgotten_with_its_last_success(spark):
+    path, day = shared_path(spark, "calls"), lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    batches = [[("m", 1, day(1), True)], [("k", 2, day(10), True)], [("k", 3, day(20), True)], [("m", 4, day(20, 2), False), ("m", 5, day(20, 3), True), ("m", 6, day(20, 4), True)]]
+    schema = "key string, event_id long, ts timestamp, success boolean"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    got, states = _intake(spark, jobs.success_intake(stream, ["key"], 86_400_000))
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 4, 5]
+    assert max(states) == 2 and 1 in states[states.index(2) :]
+
+
+def test_a_call_a_moment_before_a_success_runs(spark):
+    path, at = shared_path(spark, "calls"), lambda us: datetime.datetime(2024, 1, 1, 0, 0, 0, us)
+    spark.createDataFrame([("k", 2, at(100), False), ("k", 1, at(900), True), ("k", 3, at(901), False)], "key string, event_id long, ts timestamp, success boolean").coalesce(1).write.parquet(path)
+    ran = jobs.finished(jobs.success_intake(jobs.table_stream(spark, path), ["key"], 86_400_000), ["key", "event_id"], "append")
+    assert sorted(r["event_id"] for r in ran.collect()) == [1, 2]
+
+
 def test_seeds_need_proof_in_current_texts(spark):
     own = spark.createDataFrame([("A", "1", 2), ("A", "2", 3), ("B", "3", None), ("C", "4", 3)], "title string, bbbs string, status_code int")
     texts = spark.createDataFrame([("1", "old word"), ("2", "new fine"), ("3", "a fine of 10"), ("4", None)], "bbbs string, text string")
