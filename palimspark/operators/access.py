@@ -79,18 +79,29 @@ def top_visible(scored: DataFrame, nodes: DataFrame, classes: DataFrame, k: int,
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "node_id", "score", "rank")
 
 
+#: Rows that are read one after another and grouped together; those of one class and slab make a slice.
+SLAB = 8192
+
+
+def slices(rows: DataFrame, attributes: list[str], key: str) -> DataFrame:
+    """(attributes, _slab, ids): what decides access, once for each slab, with the keys that share it, nulls and repeated ones too."""
+    own = rows.withColumn("_slab", F.floor(F.monotonically_increasing_id() / SLAB))
+    listed = own.groupBy(*attributes, "_slab").agg(F.collect_list(F.struct(key)).alias("ids"))
+    deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, since slices are small and what they expand to is not
+    return listed.withColumn("ids", F.transform("ids", lambda r: r[key])).repartition(deal)
+
+
 def allowed_nodes(chunks: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, node_id) of what each user may see.
 
-    Users meet chunks by what decides access, not pair by pair: chunks are grouped by their few distinct
-    attributes first, so only users times attribute groups are judged.
+    Slices of chunks meet slices of users, judged once for all their pairs, and expand in the task that met them, so no pair is
+    shuffled. A slice's users repeat for each of its nodes, which a columnar file holds in little.
     """
-    attributes = ATTRIBUTES
-    groups = chunks.select(*attributes).distinct()
-    allowed = may_access(F.col("tenant_id"), F.col("security_level"), F.col("audience"), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
-    seen = groups.join(users, allowed).select("user_id", *(F.col(a).alias(f"_{a}") for a in attributes))
-    same = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes]
-    return chunks.join(seen, same).select("user_id", "node_id")
+    allowed = may_access(*map(F.col, ATTRIBUTES), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
+    nodes = slices(chunks, ATTRIBUTES, "node_id").select(*ATTRIBUTES, F.col("ids").alias("_nodes"))
+    seers = slices(users, ["user_tenant", "clearance", "roles"], "user_id").select("user_tenant", "clearance", "roles", F.col("ids").alias("_users"))
+    met = nodes.join(seers, allowed).select("_users", F.explode("_nodes").alias("node_id"))
+    return met.select(F.explode("_users").alias("user_id"), "node_id")
 
 
 def open_to_groups(chunks: DataFrame, users: DataFrame) -> DataFrame:

@@ -111,6 +111,22 @@ def test_access_predicate_gives_every_pair(spark):
     assert sorted(map(tuple, got.select("user_id", "node_id").collect())) == sorted(map(tuple, want.select("user_id", "node_id").collect()))
 
 
+def test_pairs_of_users_and_nodes_are_dealt_to_all_tasks(spark):
+    nodes = spark.range(0, 40_000, 1, 1).select(F.nullif(F.col("id") % 30_000, F.lit(7)).alias("node_id"), F.when(F.col("id") % 3 > 0, "t1").alias("tenant_id"), F.when(F.col("id") % 5 > 0, "secret").alias("security_level"), F.lit("").alias("audience"))
+    users = spark.createDataFrame([(u or None, "t1" if u % 2 else None, u % 6 if u % 7 else None, ["qa"] if u % 3 else None) for u in range(20)], "user_id long, user_tenant string, clearance int, roles array<string>")
+    rule = access.may_access(*map(F.col, access.ATTRIBUTES), F.col("user_tenant"), F.col("clearance"), F.col("roles"))
+    want = nodes.crossJoin(users).filter(rule).groupBy("user_id", "node_id").count()
+    for most in ("10m", "-1"):  # users broadcast, and not
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            got = access.allowed_nodes(nodes, users)
+            assert got.groupBy("user_id", "node_id").count().exceptAll(want).isEmpty() and got.count() == want.agg(F.sum("count")).first()[0]
+            tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert max(tasks) < sum(tasks) / 2
+
+
 def shuffled_rows(spark):
     array, jvm = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, array, jvm.java.util.ArrayList())
