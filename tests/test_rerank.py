@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -60,6 +62,20 @@ def test_sufficiency(spark):
     assert got == {1: (0.166667, True, 0.333333, ""), 2: (0.0, False, 0.0, "abcdefgh"), 3: (0.0, False, 0.0, ""), 4: (0.0, False, 0.0, "abcd"), 5: (1.0, True, 1.0, "")}
 
 
+def test_sufficiency_of_long_texts_is_linear(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abé一二三四五六七八九十😀 \n", k=n))
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60_000))
+    rows = [(text(rng.randrange(6)), text(rng.randrange(9))) for _ in range(200)] + [(text(300), text(900)) for _ in range(20)] + [(long, long[30_000:] + long[:20_000])]
+    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
+    want = [round(len(grams(q) & grams(t)) / len(grams(q)), 6) if grams(q) else 0.0 for q, t in rows]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, q string, t string")
+    began = time.time()
+    got = frame.select("id", T.sufficiency(F.col("q"), F.col("t"))["coverage"].alias("x"), T.sufficiency(F.col("q"), F.col("t"))["sufficient"].alias("y")).orderBy("id").collect()
+    assert time.time() - began < 20
+    assert [r["x"] for r in got] == want and [r["y"] for r in got] == [x >= T.LEAST_COVERAGE for x in want]
+
+
 def test_question_pairs_from_arrays(spark, tmp_path):
     one = [{"question": " q1 ", "answer": "答案： a1"}, {"question": "q2", "answer": "答案:"}, {"question": None, "answer": "x"}, {"question": "q1", "answer": "a1"}, {"question": "q3", "answer": "不含答案：三"}]
     two = [{"question": "q3", "answer": "不含答案：三", "other": 1}, {"question": "q4"}, {"question": "q1", "answer": "a2"}]
