@@ -42,27 +42,62 @@ def verified_answers(answers: DataFrame, evidence: DataFrame, notice: str = "")
 
     Grounding of its statements without Markdown scaffolding; citations, and those whose article the evidence names; the share of
     chunks with a common run of 12 characters; what must be redacted; and the answer that is left: without unsupported sentences,
-    redacted (``notice`` where nothing is left).
+    redacted (``notice`` where nothing is left). A query's answers meet its evidence in one row, whose n-grams are cut once for all of them.
     """
-    plain = answers.withColumn("text", T.without_scaffolding(F.col("text")))
-    support = best_support(plain, evidence)
-    report = grounding_report(support)
-    weak = support.filter(F.col("score") < SUPPORTED).groupBy("query_id", "answer_id").agg(F.collect_set("pos").alias("_weak"))
-    key = F.struct("query_id", "answer_id")
-    keyed = answers.select(key.alias("doc_id"), "query_id", "text")
-    context = evidence.groupBy("query_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda c: c["text"])).alias("context"))  # what one prompt holds
-    cited = citation_hits(citations(keyed.select("doc_id", "text")), keyed.join(context, "query_id", "left").select("doc_id", "context"))
-    pairs = keyed.join(evidence.select("query_id", T.bare(F.col("text")).alias("chunk")), "query_id", "left").select(F.col("doc_id").alias("answer_id"), T.bare(F.col("text")).alias("answer"), "chunk")
-    overlap = overlap_ratio(pairs).select(F.col("answer_id.query_id").alias("query_id"), F.col("answer_id.answer_id").alias("answer_id"), F.col("ratio").alias("overlap"))
-    cited = cited.select(F.col("doc_id.query_id").alias("query_id"), F.col("doc_id.answer_id").alias("answer_id"), F.col("total").alias("n_citations"), F.col("hits").alias("n_verified"))
-    said = plain.select("query_id", "answer_id", T.sentences(F.col("text")).alias("_said")).join(weak, ["query_id", "answer_id"], "left")
-    gone = said.select("query_id", "answer_id", F.filter("_said", lambda s, i: F.coalesce(F.array_contains("_weak", i), F.lit(False))).alias("_gone"))
-    found = answers.select("query_id", "answer_id", "text", T.redactions(F.col("text")).alias("redactions"))
-    for part in (report, cited, overlap, gone):
-        found = found.join(part, ["query_id", "answer_id"], "left")
-    left = T.redacted(without_unsupported(F.col("text"), F.coalesce("_gone", F.array().cast("array<string>")), notice))
-    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_sentences", "n_citations", "n_verified")}
-    return found.withColumns(counts | {"passed": F.coalesce("passed", F.lit(False)), "clean_md5": F.md5(left)}).drop("text", "_gone")
+    listed = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
+    held = evidence.groupBy("query_id").agg(listed.alias("_held")).withColumn("_held", F.transform("_held", lambda c: c["text"]))
+    asked = answers.groupBy("query_id").agg(F.collect_list(F.struct("answer_id", "text")).alias("_answers"))
+    judged = asked.join(held, "query_id", "left").select("query_id", F.explode(_judged(F.col("_answers"), F.col("_held"))).alias("a")).select("query_id", "a.*")
+    context = held.select("query_id", normalised(F.concat_ws("\n", "_held")).alias("context"))  # what one prompt holds
+    keyed = answers.select(F.struct("query_id", "answer_id").alias("doc_id"), "text")
+    cited = citations(keyed).select("doc_id.query_id", "doc_id.answer_id", "article").join(context, "query_id", "left")
+    named = F.contains("context", F.concat(F.lit("第"), F.col("article").cast("string"), F.lit("条")))
+    cited = cited.groupBy("query_id", "answer_id").agg(F.count("article").alias("n_citations"), F.count_if(named).alias("n_verified"))
+    weak = F.transform(F.filter("_said", lambda s: ~s["supported"]), lambda s: s["sentence"])
+    n = F.size("_said")
+    share = F.size("_weak") / F.nullif(n, F.lit(0))
+    left = T.redacted(without_unsupported(F.col("text"), F.col("_weak"), notice))
+    found = judged.withColumn("_weak", weak).join(cited, ["query_id", "answer_id"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_citations", "n_verified")]
+    return found.select(
+        "query_id", "answer_id", T.redactions(F.col("text")).alias("redactions"), n.cast("long").alias("n_sentences"), F.round(share, 6).alias("unsupported"),
+        F.coalesce(share <= MAX_UNSUPPORTED, F.lit(False)).alias("passed"), *counts, "overlap", F.md5(left).alias("clean_md5"))
+
+
+def _judged(answers: Column, texts: Column) -> Column:
+    """Of each answer (answer_id, text) against the texts of its evidence: ``_said``, its sentences and whether one text supports each, and ``overlap``.
+
+    A common run of 4 characters gives a sentence more than the least support, so grams are compared only where there is none.
+    """
+
+    def supported(sentence: Column, held: Column) -> Column:
+        def run(s: Column) -> Column:
+            return F.exists(T.char_runs(s, 4), lambda g: F.contains(held["all"], g))
+
+        def near(s: Column) -> Column:
+            # Of two sets of grams the smaller must be SUPPORTED of the larger; what rounding may add is left to the exact test.
+            fits = lambda a, b: F.least(F.size(a), F.size(b)) >= (SUPPORTED - 0.001) * F.greatest(F.size(a), F.size(b))
+            alike = lambda a, b: F.when(fits(a, b), F.round(T.jaccard(a, b), 6) >= SUPPORTED).otherwise(False)
+            return T.once(T.char_ngrams(s), lambda a: F.exists(held["grams"], lambda b: alike(a, b)))
+
+        return T.once(T.bare(sentence), lambda s: run(s) | near(s))
+
+    def overlap(answer: Column, held: Column) -> Column:
+        common = F.array_intersect(held["runs"], T.char_runs(answer, 12))
+        hits = T.once(common, lambda gs: F.size(F.filter(held["chunks"], lambda c: F.exists(gs, lambda g: F.contains(c, g)))))
+        n = F.size(held["chunks"])
+        return F.round(F.when((F.length(answer) < 8) | (n == 0), 1.0).otherwise(F.least(F.lit(1.0), hits / F.least(F.lit(3), n))), 6)
+
+    def judge(a: Column, held: Column) -> Column:
+        said = F.transform(T.sentences(T.without_scaffolding(a["text"])), lambda s: F.struct(s.alias("sentence"), supported(s, held).alias("supported")))
+        return F.struct(a["answer_id"].alias("answer_id"), a["text"].alias("text"), said.alias("_said"), T.once(T.bare(a["text"]), lambda t: overlap(t, held)).alias("overlap"))
+
+    def held(chunks: Column) -> Column:
+        every = F.array_join(chunks, "\n")  # no bare text holds a line end, so no run passes from one to the next
+        return F.struct(chunks.alias("chunks"), every.alias("all"), F.transform(chunks, lambda c: T.char_ngrams(c)).alias("grams"), F.array_distinct(T.char_runs(every, 12)).alias("runs"))
+
+    chunks = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: T.bare(t)), lambda t: t.isNotNull())
+    return T.once(chunks, lambda cs: T.once(held(cs), lambda h: F.transform(answers, lambda a: judge(a, h))))
 
 
 def overlap_ratio(pairs: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from palimspark.functions import text as T
 from palimspark.operators import access, grounding, statutes, vectors
 from palimspark.operators.lexical import bm25
 from palimspark.sources import files
@@ -74,6 +78,47 @@ def test_verified_answers_judge_statements_only(spark):
     assert got[2]["n_sentences"] == 0 and not got[2]["passed"]
 
 
+def talk(rng, queries, answers, chunks, words):
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    law = ["依《民法典》第十二条第一款办理。", "按第3条（二）项。", "第十二条。"]
+    said = [(q, a, "## 结论\n- " + " ".join(say(rng.randrange(9)) + rng.choice(["。", "! ", *law]) for _ in range(rng.randrange(6)))) for q in range(queries) for a in range(answers)]
+    held = [(q, c, say(rng.randrange(12)) + rng.choice(["", "。", *law])) for q in range(1, queries) for c in range(chunks)]
+    return said + [(queries, 0, None), (1, 98, "短"), (1, 99, "")], held + [(1, 98, None), (1, 99, ""), (1, 97, "短")]
+
+
+def test_verified_answers_equal_what_pairs_tell(spark):
+    rng = random.Random(5)
+    said, held = talk(rng, 12, 3, 3, ["ab", "cde", "合同", "efé", "xyz", "自成立", "q", "😀u"])
+    answers, evidence = spark.createDataFrame(said, "query_id long, answer_id long, text string"), spark.createDataFrame(held, "query_id long, chunk_id long, text string")
+    got = {(r["query_id"], r["answer_id"]): r for r in grounding.verified_answers(answers, evidence, "无").collect()}
+    assert len(got) == len(said)
+    plain = answers.withColumn("text", T.without_scaffolding(F.col("text")))
+    support = grounding.best_support(plain, evidence)
+    report = {(r["query_id"], r["answer_id"]): (r["n_sentences"], r["unsupported"], r["passed"]) for r in grounding.grounding_report(support).collect()}
+    assert {k: (r["n_sentences"], r["unsupported"], r["passed"]) for k, r in got.items()} == {k: report.get(k, (0, None, False)) for k in got}
+    assert len({r["unsupported"] for r in got.values()}) > 3 and any(0 < r["score"] < 0.45 for r in support.collect()) and any(r["score"] >= 0.45 and r["chunk_id"] == 97 for r in support.collect())
+    key = F.struct("query_id", "answer_id")
+    keyed = answers.select(key.alias("doc_id"), "query_id", "text")
+    context = evidence.groupBy("query_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("context"))
+    hits = {tuple(r["doc_id"]): (r["total"], r["hits"]) for r in grounding.citation_hits(grounding.citations(keyed.select("doc_id", "text")), keyed.join(context, "query_id", "left").select("doc_id", "context")).collect()}
+    assert {k: (r["n_citations"], r["n_verified"]) for k, r in got.items()} == hits and len(set(hits.values())) > 3
+    pairs = keyed.join(evidence.select("query_id", T.bare(F.col("text")).alias("chunk")), "query_id", "left").select(F.col("doc_id").alias("answer_id"), T.bare(F.col("text")).alias("answer"), "chunk")
+    ratios = {tuple(r["answer_id"]): r["ratio"] for r in grounding.overlap_ratio(pairs).collect()}
+    assert {k: r["overlap"] for k, r in got.items()} == ratios and len(set(ratios.values())) > 2
+
+
+def test_verified_answers_of_a_long_talk(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(400)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    answers = spark.createDataFrame([(1, a, ". ".join(say(9) + "!" for _ in range(10))) for a in range(100)], "query_id long, answer_id long, text string")
+    evidence = spark.createDataFrame([(1, c, say(30)) for c in range(300)], "query_id long, chunk_id long, text string")
+    began = time.time()
+    got = grounding.verified_answers(answers, evidence).collect()
+    assert time.time() - began < 45  # 300,000 pairs of a sentence and a text
+    assert len(got) == 100 and all(r["n_sentences"] == 10 and r["passed"] for r in got)
+
+
 def test_front_matter_with_mark_and_other_line_ends(spark):
     for text in ("﻿---\r\na: 'x'\r\n# no: 1\r\nstatus_code: 3\r\n---\r\n\r\n body", "---\na: x\nstatus_code: 3\n----\n body", "---  \na: x\na: \"x\"\nstatus_code: 3\n---"):
         meta = one(spark, files.front_matter(F.col("t")), t=text)
